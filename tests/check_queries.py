@@ -1,0 +1,101 @@
+"""Run every registered query against its SQL and print the differences.
+
+    python tests/check_queries.py /root/testdata/sf0.01 [name ...]
+"""
+
+from __future__ import annotations
+
+import math
+import sys
+import time
+from pathlib import Path
+
+import duckdb
+
+sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+
+TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
+          "pages benchmark labels conversations").split()
+
+INTEGER = {"tinyint", "smallint", "int", "bigint", "integer", "hugeint", "utinyint"}
+
+
+def family(name: str) -> str:
+    name = name.lower()
+    if name in ("string", "varchar"):
+        return "string"
+    return name
+
+
+def canonical(row: tuple, order: list[int]) -> tuple:
+    out = []
+    for i in order:
+        v = row[i]
+        if isinstance(v, float) and not math.isnan(v):
+            v = repr(v)
+        elif isinstance(v, float):
+            v = "nan"
+        out.append(repr(v) if not isinstance(v, str) else v)
+    return tuple(out)
+
+
+def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
+    con = duckdb.connect()
+    for t in TABLES:
+        con.sql(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
+    return con
+
+
+def compare(spark, con, name, query, sql, sf_dir) -> tuple[bool, str]:
+    start = time.time()
+    df = query(spark, sf_dir)
+    rows = [tuple(r) for r in df.collect()]
+    took = time.time() - start
+    if sql is None:
+        return True, f"{len(rows)} rows, no SQL, {took:.1f}s"
+    result = con.sql(sql)
+    want = result.fetchall()
+    if sorted(df.columns) != sorted(result.columns):
+        return False, f"columns {sorted(df.columns)} != {sorted(result.columns)}"
+    mine = {c: family(t) for c, t in df.dtypes}
+    theirs = {c: family(str(t)) for c, t in zip(result.columns, result.types)}
+    same = {"int": "integer"}
+    odd = [f"{c}: {mine[c]} vs {theirs[c]}" for c in mine
+           if same.get(mine[c], mine[c]) != theirs[c]]
+    names = sorted(df.columns)
+    a = sorted(canonical(r, [df.columns.index(c) for c in names]) for r in rows)
+    b = sorted(canonical(r, [result.columns.index(c) for c in names]) for r in want)
+    if a != b:
+        only_a = sorted(set(a) - set(b))[:3]
+        only_b = sorted(set(b) - set(a))[:3]
+        return False, (f"{len(a)} vs {len(b)} rows; {names}\n   spark only {only_a}\n"
+                       f"   sql only   {only_b}; types {odd}")
+    if odd:
+        return False, f"types differ: {odd}"
+    return True, f"{len(rows)} rows, {took:.1f}s"
+
+
+def main() -> int:
+    import __spark_entry__ as entry
+    from pyspark.sql import SparkSession
+    sf_dir, names = sys.argv[1], sys.argv[2:]
+    spark = (SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
+             .config("spark.ui.enabled", "false").config("spark.driver.memory", "8g")
+             .config("spark.ui.showConsoleProgress", "false").getOrCreate())
+    spark.sparkContext.setLogLevel("ERROR")
+    con = connect(sf_dir)
+    queries, sqls = entry.queries(), entry.oracle_sql()
+    bad = 0
+    for name in names or queries:
+        try:
+            ok, note = compare(spark, con, name, queries[name], sqls.get(name), sf_dir)
+        except Exception as e:  # report and go on with the next query
+            ok, note = False, f"{type(e).__name__}: {str(e)[:700]}"
+        bad += not ok
+        print(("ok   " if ok else "FAIL ") + name + ": " + note, flush=True)
+    print(f"{bad} failing")
+    return bad
+
+
+if __name__ == "__main__":
+    sys.exit(main())
