@@ -2,77 +2,92 @@
 
 Caps are small constants (3 to 6 objects), so the fixed shape is written out slot by slot with
 ``get``. That keeps the whole projection inside generated code, whereas ``slice``/``transform``
-build intermediate arrays for every row.
+build intermediate arrays for every row. The slots are generated as SQL text: one parsed
+expression per tensor instead of a driver round trip per node.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from setframe.config import PAD_VALUE
-from setframe.functions.clean import clean_nonfinite
+from setframe.functions.clean import MAX_DOUBLE
 
 
-def pad_clip(arr: Column, cap: int, fill: float = PAD_VALUE) -> Column:
-    """First ``cap`` elements; absent or NULL elements become ``fill``."""
-    return F.array(*[_slot(arr, i, fill) for i in range(cap)])
+def _finite(x: str) -> str:
+    """NaN to 0 and infinities to the largest finite values, for an ``x`` that is never NULL.
+
+    A clamp mentions its operand once, so the slot is looked up once.
+    """
+    return f"greatest({-MAX_DOUBLE!r}D, least({MAX_DOUBLE!r}D, nanvl({x}, 0D)))"
+
+
+def _filled(x: str, fill: float) -> str:
+    return f"coalesce(cast({x} as double), {float(fill)!r}D)"
 
 
-def object_slots(objects: Column, feature: str, cap: int, fill: float = PAD_VALUE,
-                 clean: Callable[[Column], Column] = clean_nonfinite) -> list[Column]:
-    """One cleaned column per object slot for one field of an ``array<struct>``."""
-    return [clean(F.coalesce(F.get(objects, F.lit(i))[feature].cast("double"), F.lit(fill)))
-            for i in range(cap)]
+def slot_sql(objects: str, feature: str, slot: int, fill: float = PAD_VALUE,
+             clean: bool = True) -> str:
+    """One field of one object of an ``array<struct>`` column, padded and made finite."""
+    filled = _filled(f"get(`{objects}`, {slot}).`{feature}`", fill)
+    return _finite(filled) if clean else filled
 
 
-def object_tensor(objects: Column, features: Sequence[str], cap: int, fill: float = PAD_VALUE,
-                  clean: Callable[[Column], Column] = clean_nonfinite) -> Column:
-    """``array<array<double>>`` of shape (feature, object) from an ``array<struct>``."""
-    return F.array(*[F.array(*object_slots(objects, f, cap, fill, clean)) for f in features])
+def pad_clip(lists: str, cap: int, fill: float = PAD_VALUE, clean: bool = False) -> Column:
+    """First ``cap`` elements of an array column; absent or NULL elements become ``fill``."""
+    filled = [_filled(f"get(`{lists}`, {i})", fill) for i in range(cap)]
+    return F.expr(_array([_finite(x) if clean else x for x in filled]))
 
 
-def flat_tensor(objects: Column, features: Sequence[str], cap: int, fill: float = PAD_VALUE,
-                clean: Callable[[Column], Column] = clean_nonfinite) -> Column:
+def object_tensor(objects: str, features: Sequence[str], cap: int, fill: float = PAD_VALUE,
+                  clean: bool = True) -> Column:
+    """``array<array<double>>`` of shape (feature, object) from an ``array<struct>`` column."""
+    return F.expr(_array([_array([slot_sql(objects, f, i, fill, clean) for i in range(cap)])
+                          for f in features]))
+
+
+def flat_tensor(objects: str, features: Sequence[str], cap: int, fill: float = PAD_VALUE,
+                clean: bool = True) -> Column:
     """The same values as :func:`object_tensor`, feature-major in one ``array<double>``.
 
     One flat list per row is what Arrow hands to numpy without copying element by element.
     """
-    return F.array(*[s for f in features for s in object_slots(objects, f, cap, fill, clean)])
+    return F.expr(_array([slot_sql(objects, f, i, fill, clean)
+                          for f in features for i in range(cap)]))
 
 
-def list_tensor(lists: Sequence[Column], cap: int, fill: float = PAD_VALUE,
-                clean: Callable[[Column], Column] = clean_nonfinite) -> Column:
-    """(feature, object) tensor, flat, when every feature is its own ``array<double>`` column."""
-    return F.array(*[clean(_slot(a, i, fill)) for a in lists for i in range(cap)])
+def list_tensor(lists: Sequence[str], cap: int, fill: float = PAD_VALUE) -> Column:
+    """Flat (feature, object) tensor when every feature is an ``array<double>`` column itself."""
+    return F.expr(_array([_finite(_filled(f"get(`{a}`, {i})", fill))
+                          for a in lists for i in range(cap)]))
 
 
-def scalar_vector(columns: Sequence[Column],
-                  clean: Callable[[Column], Column] = clean_nonfinite) -> Column:
-    return F.array(*[clean(c.cast("double")) for c in columns])
+def scalar_vector(columns: Sequence[str]) -> Column:
+    """Scalars as one finite vector; NULL counts as NaN does."""
+    return F.expr(_array([_finite(f"coalesce(cast(`{c}` as double), 0D)") for c in columns]))
 
 
-def masked_sum(objects: Column, features: Sequence[str], cap: int,
+def masked_sum(objects: str, features: Sequence[str], cap: int,
                fill: float = PAD_VALUE) -> list[Column]:
     """Per-feature sum over the object slots that are not all pad."""
-    slots = {f: object_slots(objects, f, cap, fill) for f in features}
     pooled = []
     for f in features:
-        total = F.lit(0.0)
+        terms = []
         for i in range(cap):
-            padded = F.lit(True)
-            for g in features:
-                padded = padded & (slots[g][i] == F.lit(fill))
-            total = total + F.when(padded, F.lit(0.0)).otherwise(slots[f][i])
-        pooled.append(total)
+            padded = " and ".join(f"{slot_sql(objects, g, i, fill)} = {float(fill)!r}D"
+                                  for g in features)
+            terms.append(f"if({padded}, 0D, {slot_sql(objects, f, i, fill)})")
+        pooled.append(F.expr(" + ".join(terms)))
     return pooled
 
 
-def multiplicity(arr: Column) -> Column:
-    return F.coalesce(F.size(arr), F.lit(0))
+def multiplicity(lists: str) -> Column:
+    return F.coalesce(F.size(lists), F.lit(0))
+
 
+def _array(items: Sequence[str]) -> str:
+    return f"array({', '.join(items)})"
 
-def _slot(arr: Column, i: int, fill: float) -> Column:
-    return F.coalesce(F.get(arr, F.lit(i)).cast("double"), F.lit(fill))

@@ -27,21 +27,23 @@ def collect_objects(objects: DataFrame, key: str, order: Sequence[str], fields:
 
 
 def collect_collections(objects: DataFrame, key: str, order: Sequence[str],
-                        fields: Sequence[str], caps: Mapping[str, int],
-                        membership: Column) -> DataFrame:
-    """Several capped collections per record at once.
+                        fields: Sequence[str], kind: str, caps: Mapping[str, int],
+                        overall: tuple[str, int] | None = None) -> DataFrame:
+    """One capped list per kind of object and record, and optionally one over all kinds.
 
-    ``membership`` is an array column naming the collections an object belongs to.
+    Objects are first limited per (record, kind). The first ``n`` objects of all kinds are among
+    the first ``n`` of their own kinds, so the overall list needs no ranking of its own and no
+    second copy of the objects.
     """
-    members = objects.select(key, *order, *[f for f in fields if f not in order],
-                             F.explode(membership).alias("_in"))
-    first = leading_objects(members, [key, "_in"], order, max(caps.values()))
-    within = F.lit(False)
-    for c, cap in caps.items():
-        within = within | ((F.col("_in") == F.lit(c)) & (F.col("idx") <= F.lit(cap)))
-    item = F.struct("idx", *fields)
-    return first.where(within).groupBy(key).agg(*[
-        _in_order(F.when(F.col("_in") == F.lit(c), item)).alias(c) for c in caps])
+    name, n = overall or ("", 0)
+    first = leading_objects(objects, [key, kind], order, max(*caps.values(), n))
+    lists = [_in_order(F.when((F.col(kind) == F.lit(k)) & (F.col("idx") <= F.lit(cap)),
+                              F.struct("idx", *fields))).alias(k) for k, cap in caps.items()]
+    if overall is not None:
+        candidates = F.when(F.col("idx") <= F.lit(n), F.struct(
+            *order, *[f for f in fields if f not in order]))
+        lists.append(F.slice(_in_order(candidates), 1, n).alias(name))
+    return first.groupBy(key).agg(*lists)
 
 
 def _in_order(item: Column) -> Column:
@@ -54,18 +56,17 @@ def model_inputs(records: DataFrame, collections: Mapping[str, tuple[Sequence[st
 
     ``records`` has an ``array<struct>`` column per collection (NULL when there is no object).
     """
-    tensors = [flat_tensor(F.col(c), fields, cap).alias(c)
+    tensors = [flat_tensor(c, fields, cap).alias(c)
                for c, (fields, cap) in collections.items()]
     return records.select(*keep, *tensors,
-                          scalar_vector([F.col(s) for s in scalars]).alias("scalars"))
+                          scalar_vector(scalars).alias("scalars"))
 
 
 def dataset_inputs(df: DataFrame, config: DatasetConfig, keep: Sequence[str] = ()) -> DataFrame:
     """Inputs for the stored layout, where every feature is a column of its own."""
     inputs = []
     for c in config.collections:
-        columns = [F.col(f) for f in c.features]
-        built = list_tensor(columns, c.max_objects) if c.ragged else scalar_vector(columns)
+        built = list_tensor(c.features, c.max_objects) if c.ragged else scalar_vector(c.features)
         inputs.append(built.alias(c.name))
     kept = list(dict.fromkeys([*keep, config.label, config.weight]))
     return df.select(*inputs, *kept)

@@ -23,9 +23,8 @@ def fixed_histogram(df: DataFrame, value: str, n_bins: int = REWEIGHT_BINS,
     """``(bin, lo, hi, value)`` for every bin; values outside the range are not counted."""
     lo, hi = value_range
     measure = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    binned = (df.select(equal_width_bin(F.col(value), lo, hi, n_bins).alias("bin"), "*")
-              .where(F.col("bin").isNotNull())
-              .groupBy("bin").agg(measure.alias("value")))
+    binned = df.groupBy(equal_width_bin(F.col(value), lo, hi, n_bins).alias("bin")).agg(
+        measure.alias("value"))
     return _with_edges(fill_grid(binned, "bin", n_bins, ["value"]), lo, hi, n_bins, ["value"])
 
 
@@ -38,7 +37,6 @@ def ratio_histogram(df: DataFrame, value: str, background: Column,
     one = F.lit(1.0) if weight is None else weight
     binned = (df.select(equal_width_bin(F.col(value), lo, hi, n_bins).alias("bin"),
                         background.alias("_bg"), one.alias("_w"))
-              .where(F.col("bin").isNotNull())
               .groupBy("bin").agg(
                   F.sum(F.when(~F.col("_bg"), F.col("_w")).otherwise(0.0)).alias("signal"),
                   F.sum(F.when(F.col("_bg"), F.col("_w")).otherwise(0.0)).alias("background")))

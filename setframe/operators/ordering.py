@@ -127,42 +127,38 @@ def cumulative_sums(df: DataFrame, order: str, sums: Mapping[str, Column],
     joined = _attach(bucketed, offsets, keys, bound)
     earlier = (Window.partitionBy(*keys).orderBy(order)
                .rowsBetween(Window.unboundedPreceding, -1))
-    return joined.select(
+    inside = joined.select("*", *[F.sum(x).over(earlier).alias(f"_in_{x}") for x in sums])
+    return inside.selectExpr(
         *group, order, *sums,
-        *[(F.col(f"_off_{x}") + F.coalesce(F.sum(x).over(earlier), F.lit(0))).alias(f"{x}_before")
-          for x in sums],
+        *[f"_off_{x} + coalesce(_in_{x}, 0) as {x}_before" for x in sums],
         *[f"{x}_total" for x in sums])
 
 
-def exact_percentiles(df: DataFrame, value: str, percents: Sequence[float],
-                      group: Sequence[str] = (), max_groups: int | None = 1) -> DataFrame:
-    """Linear-interpolation percentiles, exact, in long form ``(group..., percent, value)``.
+def percentiles(counts: DataFrame, value: str, n: str, percents: Sequence[float],
+                group: Sequence[str] = (), descending: bool = False) -> DataFrame:
+    """Exact linear-interpolation percentiles, ``(group..., percentiles)`` with a map column.
 
-    The built-in exact ``percentile`` gathers every distinct value of a group in one task; here
-    the two neighbouring order statistics are picked from distributed running counts.
+    ``counts`` comes from :func:`cumulative_sums` and ``n`` names one of its row counts (rows may
+    have a count of zero). The built-in exact ``percentile`` gathers every distinct value of a
+    group in one task; here the two neighbouring order statistics of each percent are picked from
+    the distributed running counts by conditional maxima.
     """
-    counted = cumulative_sums(df.where(F.col(value).isNotNull()), value,
-                              {"_c": F.count(F.lit(1))}, group, max_groups)
-    last = F.col("_c_total") - F.lit(1)
-
-    def statistic(position: Column) -> Column:
-        here = (F.col("_c_before") <= position) & (position < F.col("_c_before") + F.col("_c"))
-        return F.max(F.when(here, F.col(value)))
-
-    picks = [F.max("_c_total").alias("_total")]
+    low, high, picks = {}, {}, [f"max({n}_total) as _n"]
+    for i, p in enumerate(percents):
+        position = f"{p / 100.0!r}D * ({n}_total - 1)"
+        low[i], high[i] = f"_lo{i}", f"_hi{i}"
+        for name, place in ((low[i], f"floor({position})"),
+                            (high[i], f"least(floor({position}) + 1, {n}_total - 1)")):
+            at = f"({n}_total - 1 - {place})" if descending else place
+            picks.append(f"max(case when {n}_before <= {at} and {at} < {n}_before + {n}"
+                         f" then {value} end) as {name}")
+    picked = counts.groupBy(*group).agg(*[F.expr(e) for e in picks])
+    entries = []
     for i, p in enumerate(percents):
-        low = F.floor(F.lit(p / 100.0) * last)
-        picks += [statistic(low).alias(f"_lo{i}"),
-                  statistic(F.least(low + F.lit(1), last)).alias(f"_hi{i}")]
-    picked = counted.groupBy(*group).agg(*picks)
-
-    def interpolated(i: int, p: float) -> Column:
-        exact = F.lit(p / 100.0) * (F.col("_total") - F.lit(1))
-        return F.col(f"_lo{i}") + (exact - F.floor(exact)) * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))
-
-    rows = F.array(*[F.struct(F.lit(float(p)).alias("percent"), interpolated(i, p).alias("value"))
-                     for i, p in enumerate(percents)])
-    return picked.select(*group, F.inline(rows))
+        exact = f"{p / 100.0!r}D * (_n - 1)"
+        entries.append(f"{float(p)!r}D, {low[i]} + ({exact} - floor({exact}))"
+                       f" * ({high[i]} - {low[i]})")
+    return picked.select(*group, F.expr(f"map({', '.join(entries)})").alias("percentiles"))
 
 
 def _attach(df: DataFrame, offsets: DataFrame, keys: Sequence[str],

@@ -7,23 +7,24 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from setframe.operators.ordering import cumulative_sums, exact_percentiles
+from setframe.operators.ordering import cumulative_sums, percentiles
+from setframe.session import broadcast_bounded
 
 
 def score_counts(df: DataFrame, score: Column, is_signal: Column, weight: Column | None = None,
                  group: Sequence[str] = (), max_groups: int | None = 1) -> DataFrame:
     """Running signal/background weight by descending score, one row per distinct score.
 
-    Columns: ``group..., score, pos, neg, n`` with ``_before`` and ``_total`` for each. Everything
-    about the curve is arithmetic on this table.
+    Columns: ``group..., score`` and, each with ``_before`` and ``_total``: ``pos`` and ``neg``
+    (weights), ``n`` (rows), ``n_pos`` (signal rows). Everything about a curve or a working point
+    is arithmetic on this table, so the records themselves are scanned and shuffled once.
     """
     w = F.lit(1.0) if weight is None else weight.cast("double")
     rows = df.select(*group, (-score).alias("_down"), is_signal.alias("_sig"), w.alias("_w"))
     counts = cumulative_sums(
         rows, "_down",
-        {"pos": F.sum(F.when(F.col("_sig"), F.col("_w")).otherwise(0.0)),
-         "neg": F.sum(F.when(~F.col("_sig"), F.col("_w")).otherwise(0.0)),
-         "n": F.count(F.lit(1))},
+        {"pos": F.expr("sum(if(_sig, _w, 0D))"), "neg": F.expr("sum(if(_sig, 0D, _w))"),
+         "n": F.expr("count(1)"), "n_pos": F.expr("count_if(_sig)")},
         group, max_groups)
     return counts.withColumn("score", -F.col("_down")).drop("_down")
 
@@ -60,72 +61,39 @@ def auc(counts: DataFrame, group: Sequence[str] = ()) -> DataFrame:
         F.count(F.lit(1)).alias("n_thresholds"))
 
 
-def working_points(df: DataFrame, score: Column, is_signal: Column, efficiencies: Sequence[int],
-                   group: Sequence[str] = (), max_groups: int | None = 1) -> DataFrame:
+def working_points(counts: DataFrame, efficiencies: Sequence[int],
+                   group: Sequence[str] = ()) -> DataFrame:
     """``(group..., wp, cut, raw_percentile_cut)`` from the score distribution of signal rows.
 
     ``cut`` keeps ``wp`` percent of the signal above it (percentile ``100 - wp``);
-    ``raw_percentile_cut`` is the percentile ``wp`` itself.
+    ``raw_percentile_cut`` is the percentile ``wp`` itself. Signal rows are counted unweighted.
     """
-    signal = df.where(is_signal).select(*group, score.alias("_score"))
     wanted = sorted({float(100 - e) for e in efficiencies} | {float(e) for e in efficiencies})
-    long = exact_percentiles(signal, "_score", wanted, group, max_groups)
-    by_percent = F.map_from_entries(F.collect_list(F.struct("percent", "value")))
-    picked = long.groupBy(*group).agg(by_percent.alias("_m"))
-    rows = F.array(*[F.struct(
-        F.lit(int(e)).alias("wp"),
-        F.try_element_at("_m", F.lit(float(100 - e))).alias("cut"),
-        F.try_element_at("_m", F.lit(float(e))).alias("raw_percentile_cut"))
-        for e in efficiencies])
-    return picked.select(*group, F.inline(rows))
+    found = percentiles(counts, "score", "n_pos", wanted, group, descending=True)
+    rows = ", ".join(
+        f"struct({int(e)} as wp, percentiles[{float(100 - e)!r}D] as cut,"
+        f" percentiles[{float(e)!r}D] as raw_percentile_cut)" for e in efficiencies)
+    return found.select(*group, F.expr(f"inline(array({rows}))"))
 
 
-def cut_lookup(points: DataFrame, group: Sequence[str] = ()) -> dict:
-    """Working points as ``(group values..., wp) -> cut``; a handful of rows by construction."""
-    return {(*[r[g] for g in group], r["wp"]): r["cut"] for r in points.collect()}
-
-
-def pass_counts(df: DataFrame, score: Column, is_signal: Column, weight: Column,
-                cuts: dict[int, float]) -> DataFrame:
-    """Rows and weight above each working point, by truth, all points in one pass.
-
-    Each working point is a set of conditional sums over the same scan, so neither a join nor a
-    copy of the row per point is needed.
-    """
-    w = weight.cast("double")
-    aggregates = []
-    for wp, cut in cuts.items():
-        above = score > F.lit(cut)
-        for kind, member in (("signal", is_signal), ("background", ~is_signal)):
-            aggregates += [F.count_if(above & member).alias(f"n_{kind}_{wp}"),
-                           F.coalesce(F.sum(F.when(above & member, w)), F.lit(0.0))
-                           .alias(f"w_{kind}_{wp}")]
-    rows = [F.struct(F.lit(int(wp)).alias("wp"),
-                     *[F.col(f"{x}_{wp}").alias(x) for x in
-                       ("n_signal", "w_signal", "n_background", "w_background")])
-            for wp in cuts]
-    return df.agg(*aggregates).select(F.inline(F.array(*rows)))
-
-
-def summary_above_cuts(counts: DataFrame, points: DataFrame, group: Sequence[str],
-                       max_groups: int) -> DataFrame:
-    """Per group and working point: passing rows, efficiency, rejection, AUC of what passes.
+def above_cuts(counts: DataFrame, points: DataFrame, n_points: int, group: Sequence[str] = (),
+               max_groups: int = 1) -> DataFrame:
+    """Per group and working point: rows and weights above the cut, efficiency, rejection, AUC.
 
     Rows above a cut are a prefix of the descending score table, so the running sums of the full
-    curve are already those of the restricted one; only its totals differ.
+    curve are already those of the restricted one; only its totals differ. No record is read again.
     """
     cuts = points.groupBy(*group).agg(F.collect_list(F.struct("wp", "cut")).alias("_cuts"))
-    cuts = cuts.select(*[F.col(g).alias(f"_c_{g}") for g in group], "_cuts")
+    cuts = broadcast_bounded(cuts.withColumnsRenamed({g: f"_c_{g}" for g in group}),
+                             max_groups * n_points)
     condition = F.lit(True)
     for g in group:
         condition = condition & F.col(g).eqNullSafe(F.col(f"_c_{g}"))
-    from setframe.session import broadcast_bounded
-    joined = counts.join(broadcast_bounded(cuts, max_groups), condition)
-    passing = (joined.select("*", F.inline("_cuts")).where(F.col("score") > F.col("cut")))
-    pos, neg = F.sum("pos"), F.sum("neg")
-    area = F.sum(F.col("neg") * (F.col("pos_before") + F.col("pos") / F.lit(2.0)))
-    return passing.groupBy(*group, "wp", "cut").agg(
-        F.sum("n").alias("n_pass"),
-        F.try_divide(pos, F.max("pos_total")).alias("efficiency"),
-        F.try_divide(F.max("neg_total"), neg).alias("rejection"),
-        F.try_divide(area, pos * neg).alias("auc"))
+    passing = (counts.join(cuts, condition).select("*", F.inline("_cuts"))
+               .where("score > cut"))
+    return passing.groupBy(*group, "wp", "cut").agg(*[F.expr(e) for e in (
+        "sum(n) as n_pass", "sum(n_pos) as n_signal", "sum(pos) as w_signal",
+        "sum(n - n_pos) as n_background", "sum(neg) as w_background",
+        "try_divide(sum(pos), max(pos_total)) as efficiency",
+        "try_divide(max(neg_total), sum(neg)) as rejection",
+        "try_divide(sum(neg * (pos_before + pos / 2D)), sum(pos) * sum(neg)) as auc")])

@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from setframe.config import SPLIT_SEED, TEST_SPLIT, VAL_SPLIT
-from setframe.functions.hashing import below_fraction, order_key
-from setframe.operators.ordering import numbered_by_key, numbered_by_value
+from setframe.functions.hashing import below_fraction, key_bucket, order_key
+from setframe.operators.ordering import (BUCKET, hash_digits, numbered_by_key,
+                                         numbered_by_value)
+from setframe.session import broadcast_bounded
 
 
 def hash_split(df: DataFrame, unit: str, test: float = TEST_SPLIT, val: float = VAL_SPLIT,
@@ -93,18 +95,21 @@ def permute_columns(df: DataFrame, columns: Sequence[str], unit: str, seed: int
     In seeded digest order each row takes the values of its successor and the last row those of
     the first. Inside a digest bucket that is ``lead``; a bucket's last row takes the head of the
     next occupied bucket, from a table of one row per bucket. All columns share the permutation,
-    so any number of features costs one shuffle, and no row is ever matched with itself as long as
-    the table has two rows.
+    so any number of features costs one shuffle of the rows, and no row is matched with itself as
+    long as the table has two rows.
     """
-    from setframe.functions.hashing import key_bucket
-    from setframe.operators.ordering import BUCKET, hash_digits
-    from setframe.session import broadcast_bounded
-
     digits = hash_digits(df.sparkSession)
     keyed = df.withColumn("_key", order_key(F.col(unit), seed))
     keyed = keyed.withColumn(BUCKET, key_bucket(F.col("_key"), digits))
     taken = F.struct(*columns)
-    heads = keyed.groupBy(BUCKET).agg(F.min_by(taken, F.struct("_key", unit)).alias("_head"))
+    # The lowest key of each bucket comes from narrow integer minima (a hash aggregation that
+    # reads only ``unit``); just the rows holding it are then looked up with all their columns.
+    prefix = F.conv(F.substring("_key", 1, 15), 16, 10).cast("bigint")
+    lowest = keyed.groupBy(BUCKET).agg(F.min(prefix).alias("_lowest")).select(
+        F.col(BUCKET).alias("_l_bucket"), "_lowest")
+    firsts = keyed.join(broadcast_bounded(lowest, 16 ** digits),
+                        (F.col(BUCKET) == F.col("_l_bucket")) & (prefix == F.col("_lowest")))
+    heads = firsts.groupBy(BUCKET).agg(F.min_by(taken, F.struct("_key", unit)).alias("_head"))
     by_bucket = Window.orderBy(BUCKET)
     whole = by_bucket.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     next_heads = heads.select(

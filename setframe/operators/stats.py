@@ -15,9 +15,15 @@ STATS_SCHEMA = "feature string, mean double, stddev double"
 
 def _long(one_row: DataFrame, columns: Sequence[str], fields: Sequence[str]) -> DataFrame:
     """Turn ``{field}_{i}`` columns of one row into one row per column name."""
-    rows = [F.struct(F.lit(c).alias("feature"), *[F.col(f"{f}_{i}").alias(f) for f in fields])
-            for i, c in enumerate(columns)]
-    return one_row.select(F.inline(F.array(*rows)))
+    rows = ", ".join(
+        f"struct('{c}' as feature, {', '.join(f'{f}_{i} as {f}' for f in fields)})"
+        for i, c in enumerate(columns))
+    return one_row.selectExpr(f"inline(array({rows}))")
+
+
+def _moments(x: str, i: int) -> list[Column]:
+    return [F.expr(f"avg({x})").alias(f"mean_{i}"), F.expr(f"stddev_pop({x})").alias(f"stddev_{i}"),
+            F.expr(f"count({x})").alias(f"n_{i}")]
 
 
 def flatten_lists(df: DataFrame, list_columns: Sequence[str]) -> DataFrame:
@@ -28,11 +34,7 @@ def flatten_lists(df: DataFrame, list_columns: Sequence[str]) -> DataFrame:
 
 def column_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``(feature, mean, stddev, n)`` for all columns in one aggregation; population stddev."""
-    aggregates = []
-    for i, c in enumerate(columns):
-        x = F.col(c).cast("double")
-        aggregates += [F.avg(x).alias(f"mean_{i}"), F.stddev_pop(x).alias(f"stddev_{i}"),
-                       F.count(x).alias(f"n_{i}")]
+    aggregates = [m for i, c in enumerate(columns) for m in _moments(f"cast(`{c}` as double)", i)]
     return _long(df.agg(*aggregates), columns, ["mean", "stddev", "n"])
 
 

@@ -66,14 +66,9 @@ def evaluation_report(df: DataFrame, classifiers: Mapping[str, Column], scores:
     what passes, and the diagonal scores of its signal-class confusion matrix."""
     n = len(classifiers)
     group = ["classifier", "wp"]
-    rows = side_by_side(df.select("*", is_signal.alias("_signal")), classifiers, ["_signal"])
-    points = roc.working_points(rows, F.col("score"), F.col("_signal"), efficiencies,
-                                ["classifier"], n)
-    # The cut table has classifiers x points rows; fixing it here keeps the two uses identical.
-    spark = df.sparkSession
-    points = spark.createDataFrame(points.collect(), points.schema)
     counts = curve_counts(df, classifiers, is_signal, weight)
-    summary = roc.summary_above_cuts(counts, points, ["classifier"], n)
+    points = roc.working_points(counts, efficiencies, ["classifier"])
+    summary = roc.above_cuts(counts, points, len(efficiencies), ["classifier"], n)
     matrices = working_point_matrices(df, classifiers, scores, label, weight, points, n_classes)
     diagonal = confusion.diagonal_score(confusion.normalised(matrices, group), n_classes - 1,
                                         group)

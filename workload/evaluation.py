@@ -286,7 +286,7 @@ def _quantile(column: str, q: str) -> str:
     f"select {w}::int as wp, {r(_quantile('utc', str((100 - w) / 100)))} as cut,"
     f" {r(_quantile('utc', str(w / 100)))} as raw_percentile_cut" for w in WORKING_POINTS)))
 def working_points(spark: SparkSession, d: str) -> DataFrame:
-    points = roc.working_points(fx.scores(spark, d), fx.utc_score(), is_signal(), WORKING_POINTS)
+    points = roc.working_points(utc_counts(spark, d), WORKING_POINTS)
     return points.select("wp", rd("cut").alias("cut"),
                          rd("raw_percentile_cut").alias("raw_percentile_cut"))
 
@@ -304,11 +304,10 @@ select wp, count(*) filter (where not is_fake)::bigint as n_signal,
        {r('coalesce(sum(w_mc) filter (where is_fake), 0)')} as w_background
 from cuts join scores on utc > cut where classifier = 'UTC' group by wp"""))
 def wp_pass_counts(spark: SparkSession, d: str) -> DataFrame:
-    rows = fx.scores(spark, d)
-    points = roc.working_points(rows, fx.utc_score(), is_signal(), WORKING_POINTS)
-    cuts = {wp: cut for (wp,), cut in roc.cut_lookup(points).items()}
-    counts = roc.pass_counts(rows, fx.utc_score(), is_signal(), F.col("w_mc"), cuts)
-    return counts.select("wp", "n_signal", rd("w_signal").alias("w_signal"), "n_background",
+    counts = utc_counts(spark, d)
+    points = roc.working_points(counts, WORKING_POINTS)
+    passed = roc.above_cuts(counts, points, len(WORKING_POINTS))
+    return passed.select("wp", "n_signal", rd("w_signal").alias("w_signal"), "n_background",
                          rd("w_background").alias("w_background"))
 
 
@@ -329,7 +328,7 @@ h as (select classifier, wp, score, sum(case when is_fake then 0 else w_mc end)
 area as (select a.classifier, a.wp,
                 sum(a.pos * b.neg * case when a.score > b.score then 1::double
                     when a.score = b.score then 0.5::double else 0 end)
-                / sum(a.pos * b.neg) as auc
+                / nullif(sum(a.pos * b.neg), 0) as auc
          from h a join h b on a.classifier = b.classifier and a.wp = b.wp group by 1, 2),
 cells as (select classifier, wp, pred, truth, sum(w_mc) as w from passing group by 1, 2, 3, 4),
 normed as (
@@ -338,7 +337,7 @@ normed as (
 diag as (select classifier, wp, sum(bt) filter (where pred = truth) / 5 as dt,
                 sum(bp) filter (where pred = truth) / 5 as dp from normed group by 1, 2)
 select s.classifier, s.wp, {r('s.cut')} as cut, s.n_pass, {r('s.p / t.p')} as efficiency,
-       {r('t.n / s.n')} as rejection, {r('area.auc')} as auc,
+       {r('t.n / nullif(s.n, 0)')} as rejection, {r('area.auc')} as auc,
        {r('diag.dt')} as diag_by_truth, {r('diag.dp')} as diag_by_pred
 from summary s join totals t using (classifier) join area using (classifier, wp)
 join diag using (classifier, wp)"""))

@@ -89,27 +89,21 @@ def with_tracks(records: DataFrame, spark: SparkSession, sf_dir: str,
 
 def with_collections(records: DataFrame, spark: SparkSession, sf_dir: str,
                      fields: Sequence[str]) -> DataFrame:
-    membership = F.array(F.lit("tracks"), F.col("kind"))
-    lists = collect_collections(objects(spark, sf_dir), "id", OBJECT_ORDER, fields, CAPS,
-                                membership)
+    caps = {k: cap for k, cap in CAPS.items() if k != "tracks"}
+    lists = collect_collections(objects(spark, sf_dir), "id", OBJECT_ORDER, fields, "kind", caps,
+                                ("tracks", CAPS["tracks"]))
     return records.join(lists, "id", "left")
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six softmax scores per candidate, with heavy ties."""
-    rows = cand(spark, sf_dir)
-    terms = {}
-    for c in range(N_CLASSES):
-        spread = ((F.col("id") * (7 + 2 * c) + 13 * c) % 101).cast("double") / F.lit(101.0)
-        bonus = F.when(F.col("label") == c, F.lit(0.8)).otherwise(0.0)
-        terms[f"e{c}"] = F.exp(spread + bonus)
-    rows = rows.select("id", "label", "is_fake", "pt", "prong", "source", "w_mc", "rnn",
-                       *[e.alias(n) for n, e in terms.items()])
-    total = sum((F.col(f"e{c}") for c in range(1, N_CLASSES)), F.col("e0"))
-    rows = rows.withColumn("_total", total)
-    return rows.select("id", "label", "is_fake", "pt", "prong", "source", "w_mc", "rnn",
-                       *[(F.col(f"e{c}") / F.col("_total")).alias(f"s{c}")
-                         for c in range(N_CLASSES)])
+    keep = ["id", "label", "is_fake", "pt", "prong", "source", "w_mc", "rnn"]
+    terms = [f"exp(cast((id * {7 + 2 * c} + {13 * c}) % 101 as double) / 101D"
+             f" + if(label = {c}, 0.8D, 0D)) as e{c}" for c in range(N_CLASSES)]
+    total = " + ".join(f"e{c}" for c in range(N_CLASSES))
+    return (cand(spark, sf_dir).selectExpr(*keep, *terms)
+            .selectExpr("*", f"{total} as total")
+            .selectExpr(*keep, *[f"e{c} / total as s{c}" for c in range(N_CLASSES)]))
 
 
 def score_vector() -> Column:

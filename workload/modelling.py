@@ -146,7 +146,7 @@ def train_classifier(spark: SparkSession, d: str) -> DataFrame:
     """Fit on the train share with class weights, then loss and accuracy on every share."""
     rows = fx.with_model_scalars(fx.cand_with_file(spark, d))
     rows = fx.with_tracks(rows, spark, d, fx.OBJECT_FEATURES)
-    pooled = masked_sum(F.col("tracks"), fx.OBJECT_FEATURES, fx.CAPS["tracks"])
+    pooled = masked_sum("tracks", fx.OBJECT_FEATURES, fx.CAPS["tracks"])
     rows = rows.select("id", "file", "label", "w_mc", "x_pt", "x_eta", "rnn",
                        *[p.alias(f"{f}_sum") for f, p in zip(fx.OBJECT_FEATURES, pooled)])
     rows = training.with_class_weight(splitting.hash_split(rows, "file"), "label", "w_mc")

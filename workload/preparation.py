@@ -272,7 +272,8 @@ select c.id, {', '.join(f"{_slot_sql('f3', s, clean=False)} as f3_{s}" for s in
 from cand c left join obj o on o.id = c.id group by c.id"""), name="pad_clip")
 def padded_lists(spark: SparkSession, d: str) -> DataFrame:
     rows = fx.with_tracks(fx.cand(spark, d).select("id"), spark, d, ["f3"])
-    padded = rows.select("id", pad_clip(F.col("tracks.f3"), 3).alias("t"))
+    padded = rows.select("id", F.col("tracks.f3").alias("f3")).select(
+        "id", pad_clip("f3", 3).alias("t"))
     return padded.select("id", *[F.col("t")[s].alias(f"f3_{s}") for s in range(3)])
 
 
@@ -284,7 +285,7 @@ from cand c left join obj o on o.id = c.id group by c.id"""))
 def branch_tensor(spark: SparkSession, d: str) -> DataFrame:
     features = ["f1", "f2", "f3"]
     rows = fx.with_tracks(fx.cand(spark, d).select("id"), spark, d, features)
-    tensor = rows.select("id", object_tensor(F.col("tracks"), features, 3).alias("t"))
+    tensor = rows.select("id", object_tensor("tracks", features, 3).alias("t"))
     return tensor.select("id", *[F.col("t")[i][s].alias(f"{f}_{s}")
                                  for i, f in enumerate(features) for s in range(3)])
 
@@ -295,7 +296,7 @@ VECTOR = ["pt", "eta", "truth_pt", "truth_eta", "rnn", "w_mc"]
 @query(with_parts("cand", f"""
 select id, {', '.join(f'{r(c)} as v{i}' for i, c in enumerate(VECTOR))} from cand"""), name="scalar_vector")
 def scalar_vectors(spark: SparkSession, d: str) -> DataFrame:
-    rows = fx.cand(spark, d).select("id", scalar_vector([F.col(c) for c in VECTOR]).alias("v"))
+    rows = fx.cand(spark, d).select("id", scalar_vector(VECTOR).alias("v"))
     return rows.select("id", *[rd(F.col("v")[i]).alias(f"v{i}") for i in range(len(VECTOR))])
 
 
@@ -364,7 +365,7 @@ from cand c left join obj o on o.id = c.id group by c.id"""))
 def masked_pool(spark: SparkSession, d: str) -> DataFrame:
     features = ["f2", "f3"]
     rows = fx.with_tracks(fx.cand(spark, d).select("id"), spark, d, features)
-    pooled = masked_sum(F.col("tracks"), features, 3)
+    pooled = masked_sum("tracks", features, 3)
     return rows.select("id", *[rd(p).alias(f"{f}_sum") for f, p in zip(features, pooled)])
 
 

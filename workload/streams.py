@@ -33,7 +33,8 @@ def stream_prepare(spark: SparkSession, d: str) -> DataFrame:
     def prepare(rows: DataFrame) -> DataFrame:
         kept = apply_cut(rows, "(label > 2) & (abs(vec_id) < 400)")
         lists = F.slice("embedding", F.lit(1), (F.col("vec_id") % 8).cast("int"))
-        return kept.select("vec_id", "label", pad_clip(lists, 4).alias("x"))
+        return kept.select("vec_id", "label", lists.alias("list")).select(
+            "vec_id", "label", pad_clip("list", 4).alias("x"))
 
     written = ingest.process_stream(table_stream(spark, d, "embeddings"), prepare, "prepare")
     return written.select("vec_id", "label", *[rd(F.col("x")[i]).alias(f"x{i}") for i in range(4)])
@@ -74,7 +75,7 @@ def stream_score(spark: SparkSession, d: str) -> DataFrame:
     def score(orders: DataFrame) -> DataFrame:
         rows = apply_cut(fx.cand_from(orders), fx.BASE_CUT)
         rows = fx.with_model_scalars(rows).select(
-            "id", "source", scalar_vector([F.col("x_pt"), F.col("x_eta")]).alias("scalars"))
+            "id", "source", scalar_vector(["x_pt", "x_eta"]).alias("scalars"))
         return batch_score(rows, scalar_model(), ["id", "source"])
 
     written = ingest.process_stream(table_stream(spark, d, "orders"), score, "score", ["source"])
