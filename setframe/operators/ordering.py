@@ -18,10 +18,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from setframe.functions.hashing import key_bucket
-from setframe.session import broadcast_bounded
+from setframe.session import broadcast_bounded, materialise
 
 MIN_BUCKETS = 8
 MAX_BUCKETS = 4096
+ROWS_PER_BUCKET = 1_000_000
+MAX_VALUE_BUCKETS = 16_384
 BUCKET = "_bucket"
 
 
@@ -40,17 +42,15 @@ def hash_digits(spark: SparkSession) -> int:
     return digits
 
 
-def with_range_bucket(df: DataFrame, column: str, sampled: DataFrame | None = None,
-                      n_buckets: int | None = None, name: str = BUCKET) -> DataFrame:
+def with_range_bucket(df: DataFrame, column: str, n_buckets: int,
+                      name: str = BUCKET) -> DataFrame:
     """Add an integer bucket that grows with ``column``; equal values share a bucket.
 
-    Split points come from one quantile-sketch pass over ``sampled`` (default: ``df``). The sketch
-    is merged from per-partition summaries and its size depends only on ``n_buckets``.
+    Split points come from one quantile-sketch pass over that column alone. The sketch is merged
+    from per-partition summaries and its size depends only on ``n_buckets``.
     """
-    n = n_buckets or default_buckets(df.sparkSession)
-    source = df if sampled is None else sampled
-    probabilities = [i / n for i in range(1, n)]
-    cuts = sorted(set(source.approxQuantile(column, probabilities, 1.0 / (4 * n))))
+    probabilities = [i / n_buckets for i in range(1, n_buckets)]
+    cuts = sorted(set(df.approxQuantile(column, probabilities, 1.0 / (4 * n_buckets))))
     if not cuts:
         return df.withColumn(name, F.lit(0))
     splits = [float("-inf"), *cuts, float("inf")]
@@ -98,7 +98,7 @@ def numbered_by_value(df: DataFrame, column: str, group: Sequence[str] = (),
                       total: str | None = None) -> DataFrame:
     """Row numbers in the order of a numeric column whose values are (nearly) unique."""
     n = default_buckets(df.sparkSession)
-    bucketed = with_range_bucket(df, column, n_buckets=n)
+    bucketed = with_range_bucket(df, column, n)
     return row_numbers(bucketed, [column], BUCKET, n + 1, group, max_groups, name,
                        total).drop(BUCKET)
 
@@ -109,11 +109,14 @@ def cumulative_sums(df: DataFrame, order: str, sums: Mapping[str, Column],
 
     For each name ``x`` in ``sums`` the result has ``x`` (at this value), ``x_before`` (over all
     smaller values) and ``x_total`` (over the group). Rows are combined by value before anything
-    is ordered, so a value shared by a large part of the table is one row by then.
+    is ordered, so a value shared by a large part of the table is one row by then. The combined
+    table is written out: the input is read once, and the bucket count follows the real size.
     """
-    n = default_buckets(df.sparkSession)
-    combined = df.groupBy(*group, order).agg(*[c.alias(x) for x, c in sums.items()])
-    bucketed = with_range_bucket(combined, order, sampled=df.select(order), n_buckets=n)
+    combined = materialise(df.groupBy(*group, order).agg(*[c.alias(x) for x, c in sums.items()]),
+                           "combined")
+    n = min(MAX_VALUE_BUCKETS, -(-combined.count() // ROWS_PER_BUCKET))
+    bucketed = (with_range_bucket(combined, order, n) if n > 1
+                else combined.withColumn(BUCKET, F.lit(0)))
     keys = [*group, BUCKET]
     before_bucket = (Window.partitionBy(*group).orderBy(BUCKET)
                      .rowsBetween(Window.unboundedPreceding, -1))

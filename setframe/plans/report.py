@@ -67,7 +67,9 @@ def evaluation_report(df: DataFrame, classifiers: Mapping[str, Column], scores:
     n = len(classifiers)
     group = ["classifier", "wp"]
     counts = curve_counts(df, classifiers, is_signal, weight)
+    # classifiers x efficiencies rows: fixed here so that both uses below see plain literals.
     points = roc.working_points(counts, efficiencies, ["classifier"])
+    points = df.sparkSession.createDataFrame(points.collect(), points.schema)
     summary = roc.above_cuts(counts, points, len(efficiencies), ["classifier"], n)
     matrices = working_point_matrices(df, classifiers, scores, label, weight, points, n_classes)
     diagonal = confusion.diagonal_score(confusion.normalised(matrices, group), n_classes - 1,

@@ -33,3 +33,14 @@ def broadcast_bounded(small: DataFrame, row_bound: int | None) -> DataFrame:
     if row_bound is not None and row_bound <= MAX_BROADCAST_ROWS:
         return F.broadcast(small)
     return small
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared scratch folder and read it back.
+
+    For an intermediate that several later steps use: its input is read once, whatever the
+    optimiser does with the copies, and a lost executor costs a re-read instead of a re-run.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
