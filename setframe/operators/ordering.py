@@ -115,8 +115,9 @@ def cumulative_sums(df: DataFrame, order: str, sums: Mapping[str, Column],
     combined = materialise(df.groupBy(*group, order).agg(*[c.alias(x) for x, c in sums.items()]),
                            "combined")
     n = min(MAX_VALUE_BUCKETS, -(-combined.count() // ROWS_PER_BUCKET))
-    bucketed = (with_range_bucket(combined, order, n) if n > 1
-                else combined.withColumn(BUCKET, F.lit(0)))
+    if n <= 1:
+        return _cumulative_small(combined, order, list(sums), group)
+    bucketed = with_range_bucket(combined, order, n)
     keys = [*group, BUCKET]
     before_bucket = (Window.partitionBy(*group).orderBy(BUCKET)
                      .rowsBetween(Window.unboundedPreceding, -1))
@@ -137,6 +138,17 @@ def cumulative_sums(df: DataFrame, order: str, sums: Mapping[str, Column],
         *[f"{x}_total" for x in sums])
 
 
+def _cumulative_small(combined: DataFrame, order: str, sums: Sequence[str],
+                      group: Sequence[str]) -> DataFrame:
+    """The same for a table that was counted and fits one bucket: a window per group will do."""
+    in_group = Window.partitionBy(*group)
+    earlier = in_group.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return combined.select(
+        *group, order, *sums,
+        *[F.coalesce(F.sum(x).over(earlier), F.lit(0)).alias(f"{x}_before") for x in sums],
+        *[F.sum(x).over(in_group).alias(f"{x}_total") for x in sums])
+
+
 def percentiles(counts: DataFrame, value: str, n: str, percents: Sequence[float],
                 group: Sequence[str] = (), descending: bool = False) -> DataFrame:
     """Exact linear-interpolation percentiles, ``(group..., percentiles)`` with a map column.

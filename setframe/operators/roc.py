@@ -84,13 +84,16 @@ def above_cuts(counts: DataFrame, points: DataFrame, n_points: int, group: Seque
     curve are already those of the restricted one; only its totals differ. No record is read again.
     """
     cuts = points.groupBy(*group).agg(F.collect_list(F.struct("wp", "cut")).alias("_cuts"))
-    cuts = broadcast_bounded(cuts.withColumnsRenamed({g: f"_c_{g}" for g in group}),
-                             max_groups * n_points)
-    condition = F.lit(True)
-    for g in group:
-        condition = condition & F.col(g).eqNullSafe(F.col(f"_c_{g}"))
-    passing = (counts.join(cuts, condition).select("*", F.inline("_cuts"))
-               .where("score > cut"))
+    if group:
+        cuts = broadcast_bounded(cuts.withColumnsRenamed({g: f"_c_{g}" for g in group}),
+                                 max_groups * n_points)
+        condition = F.lit(True)
+        for g in group:
+            condition = condition & F.col(g).eqNullSafe(F.col(f"_c_{g}"))
+        listed = counts.join(cuts, condition)
+    else:
+        listed = counts.withColumn("_cuts", cuts.scalar())
+    passing = listed.select("*", F.inline("_cuts")).where("score > cut")
     return passing.groupBy(*group, "wp", "cut").agg(*[F.expr(e) for e in (
         "sum(n) as n_pass", "sum(n_pos) as n_signal", "sum(pos) as w_signal",
         "sum(n - n_pos) as n_background", "sum(neg) as w_background",

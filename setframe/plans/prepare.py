@@ -93,4 +93,4 @@ def run(spark: SparkSession, paths: str | Sequence[str], out: str, config: Prepa
     prepared = prepare(raw, stats.stats_lookup(table), config)
     split = splitting.hash_split(prepared, "file")
     sinks.write_chunks(split, out, config.rows_per_file, ["split", "is_fake"])
-    return spark.read.parquet(out)
+    return spark.read.schema(split.schema).parquet(out)
