@@ -83,28 +83,32 @@ def auto_histograms(df: DataFrame, columns: Sequence[str], n_bins: int = CONTROL
     Pass one takes all ranges at once; pass two bins every column of a row and combines by
     ``(group, feature, bin)``. Only occupied bins are listed. Pads and NULLs are left out.
     """
-    def usable(c: str) -> Column:
-        x = F.col(c).cast("double")
-        return x if pad is None else F.when(x != F.lit(float(pad)), x)
+    def usable(c: str) -> str:
+        x = f"cast(`{c}` as double)"
+        return x if pad is None else f"nullif({x}, {float(pad)!r}D)"
 
-    long = df.select(*group, F.inline(F.array(*[
-        F.struct(F.lit(c).alias("feature"), usable(c).alias("x")) for c in columns])))
-    long = long.where(F.col("x").isNotNull())
     keys = [*group, "feature"]
-    ranges = long.groupBy(*keys).agg(F.min("x").alias("_min"), F.max("x").alias("_max"))
-    half = F.when(F.col("_min") == F.col("_max"), F.lit(0.5)).otherwise(F.lit(0.0))
-    ranges = ranges.select(*[F.col(k).alias(f"_r_{k}") for k in keys],
-                           (F.col("_min") - half).alias("lo"), (F.col("_max") + half).alias("hi"))
+    per_column = ", ".join(f"struct('{c}' as feature, {usable(c)} as x)" for c in columns)
+    long = df.select(*group, F.expr(f"inline(array({per_column}))")).where("x is not null")
+    # Ranges come from one wide aggregation, before any row is taken apart by column.
+    extremes = df.groupBy(*group).agg(*[
+        F.expr(f"{f}({usable(c)})").alias(f"{f}_{i}")
+        for i, c in enumerate(columns) for f in ("min", "max")])
+    per_range = ", ".join(
+        f"struct('{c}' as _r_feature, min_{i} - if(min_{i} = max_{i}, 0.5D, 0D) as lo,"
+        f" max_{i} + if(min_{i} = max_{i}, 0.5D, 0D) as hi)" for i, c in enumerate(columns))
+    ranges = extremes.select(*[F.col(g).alias(f"_r_{g}") for g in group],
+                             F.expr(f"inline(array({per_range}))"))
     condition = F.lit(True)
     for k in keys:
-        condition = condition & (F.col(k) == F.col(f"_r_{k}"))
+        condition = condition & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
     # One range per feature and group; without a bound on the groups no broadcast is asked for.
     groups = 1 if not group else max_groups
     bound = None if groups is None else len(columns) * groups
     joined = long.join(broadcast_bounded(ranges, bound), condition)
     counted = joined.groupBy(
         *keys, equal_width_bin(F.col("x"), F.col("lo"), F.col("hi"), n_bins, True).alias("bin"),
-        "lo", "hi").agg(F.count(F.lit(1)).alias("n"))
+        "lo", "hi").agg(F.count(F.lit(1)).alias("n")).where("bin is not null")
     low, high = bin_edges(F.col("bin"), F.col("lo"), F.col("hi"), n_bins)
     return counted.select(*keys, "bin", low.alias("lo"), high.alias("hi"), "n")
 

@@ -35,6 +35,12 @@ def broadcast_bounded(small: DataFrame, row_bound: int | None) -> DataFrame:
     return small
 
 
+def broadcast_if_small(small: DataFrame) -> DataFrame:
+    """Count a table (meant for stored ones, where footers answer) and hint a broadcast if it is
+    within the limit; beyond it the join is left to the optimiser."""
+    return broadcast_bounded(small, small.count())
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared scratch folder and read it back.
 

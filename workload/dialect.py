@@ -50,7 +50,7 @@ def _softmax_terms() -> str:
 SCORES = f"""scores as (
   select id, label, is_fake, pt, prong, source, w_mc, round(rnn, 6) as rnn,
          {', '.join(f'e{c} / (e0 + e1 + e2 + e3 + e4 + e5) as s{c}' for c in range(6))},
-         round(1::double - e0 / (e0 + e1 + e2 + e3 + e4 + e5), 6) as utc
+         round(1::double - e0 / (e0 + e1 + e2 + e3 + e4 + e5), 6) as net
   from (select *, {_softmax_terms()} from cand) t)"""
 
 DECODED = """decoded as (

@@ -164,9 +164,9 @@ def slice_metrics(spark: SparkSession, d: str) -> DataFrame:
 # ---- histograms of scores -----------------------------------------------------------------
 
 TWO_SCORES = """both_scores as (
-  select 'UTC' as classifier, utc as score, label, is_fake, w_mc, s1, s2, s3, s4, s5 from scores
+  select 'network' as classifier, net as score, label, is_fake, w_mc, s1, s2, s3, s4, s5 from scores
   union all
-  select 'RNN', rnn, label, is_fake, w_mc, s1, s2, s3, s4, s5 from scores)"""
+  select 'baseline', rnn, label, is_fake, w_mc, s1, s2, s3, s4, s5 from scores)"""
 
 
 @query(with_parts("scores", f"""
@@ -180,7 +180,7 @@ from (select classifier, (not is_fake)::int as truth, lo0, hi0,
 group by classifier, truth, bin, lo0, hi0"""))
 def score_histograms(spark: SparkSession, d: str) -> DataFrame:
     rows = fx.scores(spark, d).withColumn("truth", is_signal().cast("int"))
-    long = sets.side_by_side(rows, {"UTC": fx.utc_score(), "RNN": fx.rnn_score()}, ["truth"])
+    long = sets.side_by_side(rows, {"network": fx.network_score(), "baseline": fx.baseline_score()}, ["truth"])
     found = histograms.auto_histograms(long, ["score"], 100, group=["classifier", "truth"],
                                        max_groups=4)
     return found.select("classifier", "truth", "bin", rd("lo").alias("lo"), rd("hi").alias("hi"),
@@ -206,26 +206,26 @@ def _curve_sql(source: str, group: str = "") -> str:
       select {keys}max(score) + 1, 0, 0 from {source} {f'group by {group}' if group else ''})"""
 
 
-UTC_ONLY = "utc_only as (select utc as score, is_fake, w_mc from scores)"
+NET_ONLY = "net_only as (select net as score, is_fake, w_mc from scores)"
 
 
-def utc_counts(spark: SparkSession, d: str) -> DataFrame:
-    return roc.score_counts(fx.scores(spark, d), fx.utc_score(), is_signal(), F.col("w_mc"))
+def network_counts(spark: SparkSession, d: str) -> DataFrame:
+    return roc.score_counts(fx.scores(spark, d), fx.network_score(), is_signal(), F.col("w_mc"))
 
 
 @query(with_parts("scores", f"""
-with {UTC_ONLY}, {_curve_sql('utc_only')}
+with {NET_ONLY}, {_curve_sql('net_only')}
 select {r('threshold')} as threshold, {r('fpr')} as fpr, {r('tpr')} as tpr from points"""))
 def roc_curve(spark: SparkSession, d: str) -> DataFrame:
-    curve = roc.roc_curve(utc_counts(spark, d))
+    curve = roc.roc_curve(network_counts(spark, d))
     return curve.select(*[rd(c).alias(c) for c in ("threshold", "fpr", "tpr")])
 
 
 @query(with_parts("scores", f"""
-with {UTC_ONLY}, {_curve_sql('utc_only')}
+with {NET_ONLY}, {_curve_sql('net_only')}
 select {r('tpr')} as efficiency, {r('1 / fpr')} as rejection from points where fpr > 0"""))
 def eff_rejection(spark: SparkSession, d: str) -> DataFrame:
-    pairs = roc.efficiency_rejection(roc.roc_curve(utc_counts(spark, d)))
+    pairs = roc.efficiency_rejection(roc.roc_curve(network_counts(spark, d)))
     return pairs.select(rd("efficiency").alias("efficiency"), rd("rejection").alias("rejection"))
 
 
@@ -244,28 +244,28 @@ def _pair_auc_sql(source: str, group: str = "") -> str:
     from h a join h b on true {same} {grouped}"""
 
 
-@query(with_parts("scores", f"with {UTC_ONLY}, {_pair_auc_sql('utc_only')}"))
+@query(with_parts("scores", f"with {NET_ONLY}, {_pair_auc_sql('net_only')}"))
 def roc_auc(spark: SparkSession, d: str) -> DataFrame:
-    return roc.auc(utc_counts(spark, d)).select(rd("auc").alias("auc"))
+    return roc.auc(network_counts(spark, d)).select(rd("auc").alias("auc"))
 
 
 @query(with_parts("scores", f"with {TWO_SCORES}, {_pair_auc_sql('both_scores', 'classifier')}"))
 def classifier_comparison(spark: SparkSession, d: str) -> DataFrame:
     counts = report.curve_counts(fx.scores(spark, d),
-                                 {"UTC": fx.utc_score(), "RNN": fx.rnn_score()}, is_signal(),
+                                 {"network": fx.network_score(), "baseline": fx.baseline_score()}, is_signal(),
                                  F.col("w_mc"))
     return roc.auc(counts, ["classifier"]).select("classifier", rd("auc").alias("auc"))
 
 
 @query(with_parts("scores", f"""
 with sliced as (
-  select 'all' as slice, utc as score, is_fake, w_mc from scores
-  union all select '1-prong', utc, is_fake, w_mc from scores where prong = 1
-  union all select '3-prong', utc, is_fake, w_mc from scores where prong = 3),
+  select 'all' as slice, net as score, is_fake, w_mc from scores
+  union all select '1-prong', net, is_fake, w_mc from scores where prong = 1
+  union all select '3-prong', net, is_fake, w_mc from scores where prong = 3),
 {_curve_sql('sliced', 'slice')}
 select slice, {r('threshold')} as threshold, {r('fpr')} as fpr, {r('tpr')} as tpr from points"""))
 def roc_by_slice(spark: SparkSession, d: str) -> DataFrame:
-    rows = fx.scores(spark, d).withColumn("score", fx.utc_score())
+    rows = fx.scores(spark, d).withColumn("score", fx.network_score())
     slices = {"all": F.lit(True), "1-prong": F.col("prong") == 1, "3-prong": F.col("prong") == 3}
     sliced = sets.with_slices(rows, slices, ["score", "is_fake", "w_mc"])
     counts = roc.score_counts(sliced, F.col("score"), is_signal(), F.col("w_mc"), ["slice"], 3)
@@ -283,17 +283,17 @@ def _quantile(column: str, q: str) -> str:
 
 
 @query(with_parts("scores", " union all ".join(
-    f"select {w}::int as wp, {r(_quantile('utc', str((100 - w) / 100)))} as cut,"
-    f" {r(_quantile('utc', str(w / 100)))} as raw_percentile_cut" for w in WORKING_POINTS)))
+    f"select {w}::int as wp, {r(_quantile('net', str((100 - w) / 100)))} as cut,"
+    f" {r(_quantile('net', str(w / 100)))} as raw_percentile_cut" for w in WORKING_POINTS)))
 def working_points(spark: SparkSession, d: str) -> DataFrame:
-    points = roc.working_points(utc_counts(spark, d), WORKING_POINTS)
+    points = roc.working_points(network_counts(spark, d), WORKING_POINTS)
     return points.select("wp", rd("cut").alias("cut"),
                          rd("raw_percentile_cut").alias("raw_percentile_cut"))
 
 
 CUTS = "cuts as (" + " union all ".join(
     f"select '{name}' as classifier, {w}::int as wp, {_quantile(c, str((100 - w) / 100))} as cut"
-    for name, c in (("UTC", "utc"), ("RNN", "rnn")) for w in WORKING_POINTS) + ")"
+    for name, c in (("network", "net"), ("baseline", "rnn")) for w in WORKING_POINTS) + ")"
 
 
 @query(with_parts("scores", f"""
@@ -302,9 +302,9 @@ select wp, count(*) filter (where not is_fake)::bigint as n_signal,
        {r('sum(w_mc) filter (where not is_fake)')} as w_signal,
        count(*) filter (where is_fake)::bigint as n_background,
        {r('coalesce(sum(w_mc) filter (where is_fake), 0)')} as w_background
-from cuts join scores on utc > cut where classifier = 'UTC' group by wp"""))
+from cuts join scores on net > cut where classifier = 'network' group by wp"""))
 def wp_pass_counts(spark: SparkSession, d: str) -> DataFrame:
-    counts = utc_counts(spark, d)
+    counts = network_counts(spark, d)
     points = roc.working_points(counts, WORKING_POINTS)
     passed = roc.above_cuts(counts, points, len(WORKING_POINTS))
     return passed.select("wp", "n_signal", rd("w_signal").alias("w_signal"), "n_background",
@@ -343,7 +343,7 @@ from summary s join totals t using (classifier) join area using (classifier, wp)
 join diag using (classifier, wp)"""))
 def evaluation_report(spark: SparkSession, d: str) -> DataFrame:
     rows = fx.scores(spark, d)
-    table = report.evaluation_report(rows, {"UTC": fx.utc_score(), "RNN": fx.rnn_score()},
+    table = report.evaluation_report(rows, {"network": fx.network_score(), "baseline": fx.baseline_score()},
                                      fx.score_vector(), F.col("label"), is_signal(), F.col("w_mc"))
     return table.select("classifier", "wp", "n_pass", *[rd(c).alias(c) for c in (
         "cut", "efficiency", "rejection", "auc", "diag_by_truth", "diag_by_pred")])

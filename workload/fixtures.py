@@ -110,12 +110,12 @@ def score_vector() -> Column:
     return F.array(*SCORE_NAMES)
 
 
-def utc_score() -> Column:
+def network_score() -> Column:
     """Signal score, to six places so that both engines agree on which scores are tied."""
     return F.round(F.lit(1.0) - F.col("s0"), 6)
 
 
-def rnn_score() -> Column:
+def baseline_score() -> Column:
     return F.round(F.col("rnn"), 6)
 
 

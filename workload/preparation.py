@@ -12,7 +12,7 @@ from setframe.functions.ragged import (masked_sum, object_tensor, pad_clip,
                                        scalar_vector)
 from setframe.operators import histograms, selection, splitting, stats
 from setframe.operators.assemble import model_inputs
-from setframe.session import scratch_path
+from setframe.session import materialise, scratch_path
 from setframe.sources import scan, sinks
 from workload import fixtures as fx
 from workload.dialect import r, with_parts
@@ -64,7 +64,7 @@ def rows_per_source(spark: SparkSession, d: str) -> DataFrame:
 select id, source, file from cand
 where file in (select file from split_files where split = 'train')"""))
 def manifest_scan(spark: SparkSession, d: str) -> DataFrame:
-    manifest = splitting.exact_split(fx.files(spark, d), "file")
+    manifest = materialise(splitting.exact_split(fx.files(spark, d), "file"), "manifest")
     rows = fx.cand_with_file(spark, d)
     return scan.scan_manifest(rows, manifest, "train").select("id", "source", "file")
 
