@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from setframe.config import SPLIT_SEED
 from setframe.operators.scoring import PROBABILITY_FLOOR, DeepSet, to_matrix
 from setframe.operators.splitting import permute_columns
+from setframe.session import ship_package
 
 BASELINE = ""
 DONOR = "_donor"
@@ -31,6 +32,7 @@ def variant_sums(df: DataFrame, model: DeepSet, features: dict[str, Sequence[str
     ``df`` has each input column and its ``_donor`` twin. ``features`` names the features of each
     input column in tensor order. Only the permuted branch is embedded again for a variant.
     """
+    ship_package(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast((model, features))
     inputs = [b.column for b in model.branches]
     needed = [*inputs, *[f"{c}{DONOR}" for c in inputs], label, *([weight] if weight else [])]

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,34 @@ from pyspark.sql import functions as F
 # A table may be broadcast only when its row count is bounded by construction at or below this.
 MAX_BROADCAST_ROWS = 1_000_000
 
+# Session settings that suit the workload; none changes a result.
+RECOMMENDED_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.session.timeZone": "UTC",
+    # Object lists are capped before they are collected, so hashing many keys at once is safe.
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "20000",
+    # Building wide projections costs a stack capture per expression otherwise.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+}
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable by the Python workers, wherever the driver was started.
+
+    What ``--py-files`` does, once per application; called before any Arrow function.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="setframe-")) / "setframe.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for source in sorted(package.rglob("*.py")):
+            z.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
+
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unused path for a written table or a stream checkpoint.
