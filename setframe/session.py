@@ -23,6 +23,7 @@ RECOMMENDED_CONF = {
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 _shipped: set[str] = set()
+_own_scratch: str | None = None
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -45,13 +46,16 @@ def ship_package(spark: SparkSession) -> None:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unused path for a written table or a stream checkpoint.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is unset
-    (a bare local session) is a folder of our own chosen and recorded in the session.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where that is unset
+    (a bare local session) is one of our own made, once per process; the setting itself cannot be
+    changed in a running session.
     """
+    global _own_scratch
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="setframe-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if _own_scratch is None:
+            _own_scratch = tempfile.mkdtemp(prefix="setframe-")
+        base = _own_scratch
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

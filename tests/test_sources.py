@@ -107,5 +107,16 @@ def test_broadcast_needs_a_bound(spark):
 def test_scratch_follows_the_session(spark):
     base = spark.conf.get("spark.checkpoint.dir", None)
     path = scratch_path(spark, "x")
-    base = base or spark.conf.get("spark.checkpoint.dir")
-    assert path.startswith(base) and path != scratch_path(spark, "x")
+    assert base is None or path.startswith(base)
+    assert path != scratch_path(spark, "x")
+
+
+def test_scratch_without_a_setting():
+    class Unset:
+        class conf:  # noqa: N801
+            @staticmethod
+            def get(name, default):
+                return default
+
+    first, second = scratch_path(Unset, "x"), scratch_path(Unset, "x")
+    assert first != second and first.rsplit("/", 1)[0] == second.rsplit("/", 1)[0]

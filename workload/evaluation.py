@@ -22,6 +22,10 @@ def is_signal() -> Column:
     return ~F.col("is_fake")
 
 
+def classifiers() -> dict[str, Column]:
+    return {"network": fx.network_score(), "baseline": fx.baseline_score()}
+
+
 # ---- confusion matrices -------------------------------------------------------------------
 
 GRID = """grid as (select (i // 6)::int as pred, (i % 6)::int as truth from range(36) g(i))"""
@@ -180,7 +184,7 @@ from (select classifier, (not is_fake)::int as truth, lo0, hi0,
 group by classifier, truth, bin, lo0, hi0"""))
 def score_histograms(spark: SparkSession, d: str) -> DataFrame:
     rows = fx.scores(spark, d).withColumn("truth", is_signal().cast("int"))
-    long = sets.side_by_side(rows, {"network": fx.network_score(), "baseline": fx.baseline_score()}, ["truth"])
+    long = sets.side_by_side(rows, classifiers(), ["truth"])
     found = histograms.auto_histograms(long, ["score"], 100, group=["classifier", "truth"],
                                        max_groups=4)
     return found.select("classifier", "truth", "bin", rd("lo").alias("lo"), rd("hi").alias("hi"),
@@ -251,9 +255,7 @@ def roc_auc(spark: SparkSession, d: str) -> DataFrame:
 
 @query(with_parts("scores", f"with {TWO_SCORES}, {_pair_auc_sql('both_scores', 'classifier')}"))
 def classifier_comparison(spark: SparkSession, d: str) -> DataFrame:
-    counts = report.curve_counts(fx.scores(spark, d),
-                                 {"network": fx.network_score(), "baseline": fx.baseline_score()}, is_signal(),
-                                 F.col("w_mc"))
+    counts = report.curve_counts(fx.scores(spark, d), classifiers(), is_signal(), F.col("w_mc"))
     return roc.auc(counts, ["classifier"]).select("classifier", rd("auc").alias("auc"))
 
 
@@ -343,7 +345,7 @@ from summary s join totals t using (classifier) join area using (classifier, wp)
 join diag using (classifier, wp)"""))
 def evaluation_report(spark: SparkSession, d: str) -> DataFrame:
     rows = fx.scores(spark, d)
-    table = report.evaluation_report(rows, {"network": fx.network_score(), "baseline": fx.baseline_score()},
-                                     fx.score_vector(), F.col("label"), is_signal(), F.col("w_mc"))
+    table = report.evaluation_report(rows, classifiers(), fx.score_vector(), F.col("label"),
+                                     is_signal(), F.col("w_mc"))
     return table.select("classifier", "wp", "n_pass", *[rd(c).alias(c) for c in (
         "cut", "efficiency", "rejection", "auc", "diag_by_truth", "diag_by_pred")])

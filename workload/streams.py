@@ -23,10 +23,12 @@ def table_stream(spark: SparkSession, d: str, name: str) -> DataFrame:
     return ingest.stream_files(spark, d, schema, glob=f"{name}.parquet")
 
 
+def _padded_sql(i: int) -> str:
+    return r(f"case when vec_id % 8 > {i} then embedding[{i + 1}]::double else -999::double end")
+
+
 @query(f"""
-select vec_id, label,
-       {', '.join(f"{r(f'case when vec_id % 8 > {i} then embedding[{i + 1}]::double else -999::double end')} as x{i}"
-                  for i in range(4))}
+select vec_id, label, {', '.join(f'{_padded_sql(i)} as x{i}' for i in range(4))}
 from embeddings where label > 2 and abs(vec_id) < 400""")
 def stream_prepare(spark: SparkSession, d: str) -> DataFrame:
     """Cut, then pad or clip lists of 0 to 7 elements to 4."""
