@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from setframe.llm import bpe
+from setframe.llm import bpe, exact_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -32,3 +32,16 @@ def vocabulary(spark: SparkSession) -> bpe.Vocabulary:
 @query
 def op9_bpe_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return bpe.round_trip(documents(spark, d), vocabulary(spark))
+
+
+@query
+def op8_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(documents(spark, d))
+
+
+_FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+SQL["op8_exact_dedup"] = f"""
+select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size,
+       doc_id = max(doc_id) over w as kept, sha256(folded) as text_sha256
+from (select doc_id, {_FOLDED} as folded from documents) t
+window w as (partition by folded)"""
