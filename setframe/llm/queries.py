@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from setframe.llm import bpe, exact_dedup
+from setframe.llm import bpe, exact_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -45,3 +45,13 @@ select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size,
        doc_id = max(doc_id) over w as kept, sha256(folded) as text_sha256
 from (select doc_id, {_FOLDED} as folded from documents) t
 window w as (partition by folded)"""
+
+
+def labels(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/labels.parquet")
+
+
+@query
+def op10_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    docs = documents(spark, d)
+    return toxicity.scored(docs, toxicity.learned_from(docs, labels(spark, d)))
