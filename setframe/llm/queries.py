@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from setframe.llm import bpe, exact_dedup, toxicity
+from setframe.llm import bpe, exact_dedup, minhash_forest, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -55,3 +55,8 @@ def labels(spark: SparkSession, d: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, d: str) -> DataFrame:
     docs = documents(spark, d)
     return toxicity.scored(docs, toxicity.learned_from(docs, labels(spark, d)))
+
+
+@query
+def op7_minhash_forest(spark: SparkSession, d: str) -> DataFrame:
+    return minhash_forest.near_duplicates(documents(spark, d), threshold=85)
