@@ -11,8 +11,11 @@ and the depth of the prefix follows the region:
   member that shares most prefixes with others over all trees. Copies made from one original gather
   around it, so the hub of a region is the text they are linked through.
 
-So no region gives more than a fixed number of pairs for each member. Pairs whose signatures agree
-clearly too little are left out; the rest are confirmed on the full sets, and components follow.
+So far no region gives more than a fixed number of pairs for each member. Pairs whose signatures agree
+clearly too little are left out; the rest are confirmed on the full sets, and components follow. What a
+crowded region may still hide is a link between its hub's component and a member outside it, or between
+two such. Members outside are therefore compared, by signature and block by block, with all members
+of the region that are of another component; the new pairs are confirmed in the same way.
 
 A pair at the threshold shares a base prefix in some tree with probability above 0.9999999.
 """
@@ -37,6 +40,8 @@ DEPTHS = (4, 6, 9, 13, 18)
 FEW = 16
 #: Standard errors below the threshold at which signatures decide against a pair.
 ERRORS = 5.0
+#: Members of a crowded region that are compared with each other at a time.
+BLOCK = 2048
 
 _MULTIPLIERS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) << np.uint64(7)) | np.uint64(1)
 
@@ -145,56 +150,128 @@ def _pairs_within(members: DataFrame, region: list[str]) -> DataFrame:
     return (members.withColumnRenamed("id", "a").join(other, region).where("a < b").select("a", "b"))
 
 
-def _candidates(reps: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)``, ``a < b``, of representatives ``(id, sig)``."""
+def _candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs ``(a, b)``, ``a < b``, of representatives ``(id, sig)``; and the members of crowded base
+    regions with the region's size and hub."""
     base = reps.select("id", F.posexplode(_base_keys("sig")).alias("tree", "key"))
     shared = base.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     regions = materialise(base.join(shared, ["tree", "key"]), "regions")
     pairs = _pairs_within(regions.where(F.col("n") <= FEW).drop("n"), ["tree", "key"])
 
-    large = regions.where(F.col("n") > FEW).drop("n")
+    large = regions.where(F.col("n") > FEW)
     deep = (large.select("tree", "id").join(reps, "id")
             .select("id", "tree", F.posexplode(_deep_keys("sig", "tree")).alias("level", "key")))
-    levels = materialise(large.withColumn("level", F.lit(-1)).unionByName(deep), "levels")
     region = ["tree", "level", "key"]
-    sized = levels.join(levels.groupBy(*region).agg(F.count(F.lit(1)).alias("n")), region)
-    sized = materialise(sized.where("n > 1"), "levels")
-    pairs = pairs.unionByName(_pairs_within(sized.where(F.col("n") <= FEW).drop("n"), region))
+    deep = materialise(deep, "levels")
+    deep = deep.join(deep.groupBy(*region).agg(F.count(F.lit(1)).alias("n")), region)
+    sized = large.withColumn("level", F.lit(-1)).unionByName(deep.where("n > 1"))
+    sized = materialise(sized, "levels")
+    few = sized.where((F.col("n") <= FEW)).drop("n")
+    pairs = pairs.unionByName(_pairs_within(few, region))
 
     crowded = sized.where(F.col("n") > FEW)
     shares = crowded.groupBy("id").agg(F.sum("n").alias("shares"))
     ranked = crowded.join(shares, "id")
     hubs = ranked.groupBy(*region).agg(F.max_by("id", F.struct("shares", "id")).alias("hub"))
-    around = crowded.join(hubs, region).where("id <> hub")
-    pairs = pairs.unionByName(around.select(F.least("id", "hub").alias("a"),
-                                            F.greatest("id", "hub").alias("b")))
-    return pairs.distinct()
+    around = materialise(crowded.join(hubs, region), "hubs")
+    pairs = pairs.unionByName(around.where("id <> hub").select(
+        F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")))
+    return pairs.distinct(), around.where("level = -1").select("tree", "key", "id", "n", "hub")
 
 
-def _links(source: DataFrame, reps: DataFrame, threshold: int) -> DataFrame:
-    """Pairs of representatives whose full sets reach ``threshold`` percent."""
-    pairs = materialise(_candidates(reps), "pairs")
+def _least_agreement(threshold: int) -> float:
     share = threshold / 100.0
-    least = share - ERRORS * (share * (1 - share) / COORDINATES) ** 0.5
+    return share - ERRORS * (share * (1 - share) / COORDINATES) ** 0.5
+
+
+def _across(least: float):
+    """Pairs of a block that agree enough, are of different components, and share no earlier tree."""
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        outside = np.flatnonzero(np.array(table["outside"].to_pylist(), bool))
+        inside = np.flatnonzero(~np.array(table["outside"].to_pylist(), bool))
+        signatures = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint32)
+        signatures = signatures.reshape(-1, COORDINATES)
+        part = np.array(table["part"].to_pylist(), np.int64)
+        left, right = [], []
+        if len(outside) and len(inside):
+            tree, others = table["tree"][0].as_py(), signatures[inside]
+            for i in outside:
+                same = others == signatures[i]
+                near = (same.mean(axis=1) >= least) & (part[inside] != part[i])
+                if near.any():
+                    trees = same[near].reshape(-1, TREES, DEPTHS[0]).all(axis=2)
+                    found = inside[near][trees.argmax(axis=1) == tree]
+                    left += [int(i)] * len(found)
+                    right += found.tolist()
+        ids = table["id"]
+        return pa.table({"a": ids.take(pa.array(left, pa.int64())),
+                         "b": ids.take(pa.array(right, pa.int64()))})
+    return compare
+
+
+def _hidden(reps: DataFrame, crowded: DataFrame, links: DataFrame, threshold: int) -> DataFrame:
+    """Candidates between members of crowded regions that are not connected so far."""
+    roots = materialise(components(links), "components")
+    part = F.xxhash64(F.coalesce("root", "id"))
+    of = reps.select("id").join(roots.withColumnRenamed("node", "id"), "id", "left").select(
+        "id", part.alias("part"))
+    placed = (crowded.join(of, "id")
+              .join(of.select(F.col("id").alias("hub"), F.col("part").alias("hub_part")), "hub"))
+    placed = placed.withColumn("outside", F.col("part") != F.col("hub_part"))
+    placed = materialise(placed.drop("hub", "hub_part"), "placed")
+    strays = placed.where("outside").groupBy("tree", "key").agg(F.count(F.lit(1)).alias("strays"))
+    rows = placed.join(strays, ["tree", "key"]).join(reps, "id")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    chunks = F.ceil(F.col("strays") / BLOCK).cast("int")
+    own_block = F.pmod(F.xxhash64("id"), blocks).cast("int")
+    own_chunk = F.pmod(F.xxhash64("id"), chunks).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    columns = ["tree", "key", "id", "part", "sig", "outside", "block", "chunk"]
+    tiles = (rows.withColumn("outside", F.lit(False)).withColumn("block", own_block)
+             .withColumn("chunk", every(chunks)).select(*columns)
+             .unionByName(rows.where("outside").withColumn("chunk", own_chunk)
+                          .withColumn("block", every(blocks)).select(*columns)))
+    kind = reps.schema["id"].dataType.simpleString()
+    found = tiles.groupBy("tree", "key", "block", "chunk").applyInArrow(
+        _across(_least_agreement(threshold)), f"a {kind}, b {kind}")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _agreeing(pairs: DataFrame, reps: DataFrame, threshold: int) -> DataFrame:
     ends = reps.join(pairs.select("a").union(pairs.select("b")).distinct()
                      .withColumnRenamed("a", "id"), "id")
-    close = (pairs.join(ends.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a")
-             .join(ends.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
-             .select("a", "b", _agreement("sa", "sb").alias("agreement"))
-             .where(F.col("agreement") >= least).select("a", "b"))
-    close = materialise(close, "pairs")
-    wanted = close.select("a").union(close.select("b")).distinct().withColumnRenamed("a", "id")
+    return (pairs.join(ends.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a")
+            .join(ends.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
+            .select("a", "b", _agreement("sa", "sb").alias("agreement"))
+            .where(F.col("agreement") >= _least_agreement(threshold)).select("a", "b"))
+
+
+def _confirmed(pairs: DataFrame, source: DataFrame, threshold: int) -> DataFrame:
+    """Pairs whose full sets, made again from their texts, reach ``threshold`` percent."""
+    wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "id")
     sets = (source.join(broadcast_if_small(materialise(wanted, "wanted")), "id")
             .dropDuplicates(["id"]).select("id", _set_of("t").alias("members")))
     sets = materialise(sets, "sets")
-    sized = F.octet_length("members") / 8
-    confirmed = (close.join(sets.select(F.col("id").alias("a"), F.col("members").alias("ma"),
-                                        sized.alias("na")), "a")
-                 .join(sets.select(F.col("id").alias("b"), F.col("members").alias("mb"),
-                                   sized.alias("nb")), "b")
-                 .select("a", "b", "na", "nb", _common("ma", "mb").alias("both"))
-                 .where(F.expr(f"100 * both >= {threshold} * (na + nb - both)")))
-    return materialise(confirmed.select("a", "b"), "links")
+    size = (F.octet_length("members") / 8).cast("bigint")
+    found = (pairs.join(sets.select(F.col("id").alias("a"), F.col("members").alias("ma"),
+                                    size.alias("na")), "a")
+             .join(sets.select(F.col("id").alias("b"), F.col("members").alias("mb"),
+                               size.alias("nb")), "b")
+             .select("a", "b", "na", "nb", _common("ma", "mb").alias("both"))
+             .where(F.expr(f"100 * both >= {threshold} * (na + nb - both)")))
+    return materialise(found.select("a", "b"), "links")
+
+
+def _links(source: DataFrame, reps: DataFrame, threshold: int) -> DataFrame:
+    """Links of representatives that connect all that the forest's candidates connect."""
+    pairs, crowded = _candidates(reps)
+    pairs = materialise(_agreeing(materialise(pairs, "pairs"), reps, threshold), "pairs")
+    links = _confirmed(pairs, source, threshold)
+    hidden = materialise(_hidden(reps, crowded, links, threshold), "pairs")
+    if hidden.isEmpty():
+        return links
+    return links.unionByName(_confirmed(hidden, source, threshold))
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 80, key: str = "doc_id",
