@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from setframe.llm import bpe, exact_dedup, minhash_forest, toxicity
+from setframe.llm import bpe, exact_dedup, minhash_forest, quality, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -60,3 +60,9 @@ def op10_toxicity(spark: SparkSession, d: str) -> DataFrame:
 @query
 def op7_minhash_forest(spark: SparkSession, d: str) -> DataFrame:
     return minhash_forest.near_duplicates(documents(spark, d), threshold=85)
+
+
+@query
+def op4_quality_network(spark: SparkSession, d: str) -> DataFrame:
+    docs = documents(spark, d)
+    return quality.scored(docs, quality.trained_on(docs, labels(spark, d)))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from setframe.llm.columns import fold, texts
+from setframe.llm.columns import fold, labelled_sample, texts
 from setframe.session import ship_package
 
 # Characters that stand for a Latin letter.
@@ -112,22 +112,6 @@ class Fit:
     exceptions: tuple[str, ...] = field(default=())
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str,
-                    train: Column, per_class: int) -> DataFrame:
-    """At most ``per_class`` rows ``(t, y)`` of either class among the training rows, in the order of
-    a digest of the key; the labels are chosen first, so that the documents are only scanned."""
-    known = (labels.where(train).where(F.col(key).isNotNull())
-             .groupBy(F.col(key).alias("__sf_key")).agg(F.max(label).alias("y"))
-             .where("y is not null"))
-    chosen = None
-    for value in (0, 1):
-        part = known.where(F.col("y") == value).orderBy(F.xxhash64("__sf_key"), "__sf_key")
-        part = part.limit(per_class)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    return (docs.select(F.col(key).alias("__sf_key"), F.col(text).alias("t"))
-            .join(F.broadcast(chosen), "__sf_key").select("t", F.col("y").cast("int").alias("y")))
-
-
 def _prefixes(text: str) -> set[str]:
     return {w[:n] for w in set(_WORD.findall(folded(text)))
             for n in range(SHORTEST, min(len(w), LONGEST) + 1)}
