@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from setframe.llm import bpe, exact_dedup, minhash_forest, quality, toxicity
+from setframe.llm import (bpe, exact_dedup, minhash_forest, pii, quality,
+                           toxicity)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -66,3 +67,9 @@ def op7_minhash_forest(spark: SparkSession, d: str) -> DataFrame:
 def op4_quality_network(spark: SparkSession, d: str) -> DataFrame:
     docs = documents(spark, d)
     return quality.scored(docs, quality.trained_on(docs, labels(spark, d)))
+
+
+@query
+def op2_personal_data(spark: SparkSession, d: str) -> DataFrame:
+    docs = documents(spark, d)
+    return pii.personal_data(docs, pii.learned_from(docs))
