@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from setframe.llm import (bpe, exact_dedup, minhash_forest, pii, quality,
+                           secret_scan,
                            toxicity)
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,3 +74,8 @@ def op4_quality_network(spark: SparkSession, d: str) -> DataFrame:
 def op2_personal_data(spark: SparkSession, d: str) -> DataFrame:
     docs = documents(spark, d)
     return pii.personal_data(docs, pii.learned_from(docs))
+
+
+@query
+def op3_secret_scan(spark: SparkSession, d: str) -> DataFrame:
+    return secret_scan.secrets(documents(spark, d))
