@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from setframe.llm import (bpe, exact_dedup, minhash_forest, pii, quality,
-                           secret_scan,
-                           toxicity)
+from setframe.llm import (bpe, exact_dedup, minhash_forest, mixing, pii, quality,
+                           secret_scan, toxicity)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -79,3 +79,52 @@ def op2_personal_data(spark: SparkSession, d: str) -> DataFrame:
 @query
 def op3_secret_scan(spark: SparkSession, d: str) -> DataFrame:
     return secret_scan.secrets(documents(spark, d))
+
+
+MIXTURE = mixing.Mixture()
+
+
+@query
+def op1_mix_sources(spark: SparkSession, d: str) -> DataFrame:
+    rows = mixing.probabilities(documents(spark, d), MIXTURE)
+    return rows.withColumn("p", F.round("p", 9))
+
+
+def _mixing_sql(mixture: mixing.Mixture) -> str:
+    """The same arithmetic with one common table expression for every scaling."""
+    topic = " ".join(f"when contains(text, '{mark}') then '{name}'"
+                     for name, mark in mixing.TOPIC_MARKS)
+    dims = mixing.DIMENSIONS
+    parts = [f"""docs as (select doc_id, source, lang, coalesce(source, '{mixing.NONE}') as c_source,
+        coalesce(lang, '{mixing.NONE}') as c_lang,
+        case {topic} else '{mixing.OTHER_TOPIC}' end as c_topic,
+        len(regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+'))::bigint as n from documents)""",
+             """cells as (select c_source, c_lang, c_topic, sum(n)::double as tokens from docs
+        group by all)"""]
+    for d in dims:
+        parts.append(f"""target_{d} as (select c_{d}, raw / sum(raw) over () as t_{d} from (
+            select c_{d}, pow(sum(tokens), {mixture.targets[d]}) as raw from cells
+            group by c_{d}) t)""")
+    parts.append("""w0 as (select *, tokens / sum(tokens) over () as weight from cells
+        join target_source using (c_source) join target_lang using (c_lang)
+        join target_topic using (c_topic))""")
+    step = 0
+    for _ in range(mixture.rounds):
+        for d in dims:
+            parts.append(f"""w{step + 1} as (select * exclude (weight),
+                weight * t_{d} / sum(weight) over (partition by c_{d}) as weight from w{step})""")
+            step += 1
+    parts.append(f"""levels as (select *, ({mixture.budget} * sum(tokens) over () - coalesce(sum(tokens)
+        over before, 0)) / greatest(weight, sum(weight) over () - coalesce(sum(weight) over before, 0))
+        as level from w{step} where weight > 0 window before as (order by tokens / weight, c_source,
+        c_lang, c_topic rows between unbounded preceding and 1 preceding))""")
+    parts.append("""rates as (select c_source, c_lang, c_topic,
+        least(1.0, max(level) over () * weight / tokens) as p from levels)""")
+    return "with " + ", ".join(parts) + f"""
+        select doc_id, source, lang, c_topic as topic, n as n_tokens, round(coalesce(p, 1.0), 9) as p,
+            cast('0x' || substr(md5('{mixture.seed}:' || doc_id), 1, 13) as bigint)
+                / {float(1 << 52)} < coalesce(p, 1.0) as sampled
+        from docs left join rates using (c_source, c_lang, c_topic)"""
+
+
+SQL["op1_mix_sources"] = _mixing_sql(MIXTURE)
