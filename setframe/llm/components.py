@@ -7,14 +7,23 @@ graph's size. A node's neighbours are never gathered: rounds are minima and join
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from setframe.session import materialise
 
 
+#: Links that one task handles without a shuffle; more are shuffled over the session's partitions.
+LINKS_IN_ONE_TASK = 100_000
+
+
+def _rows(*pairs: tuple[str, str]) -> Column:
+    """Several links for every row, without reading it several times."""
+    return F.inline(F.array(*(F.struct(F.col(u).alias("u"), F.col(v).alias("v")) for u, v in pairs)))
+
+
 def _large_star(links: DataFrame) -> DataFrame:
-    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = links.select(_rows(("u", "v"), ("v", "u")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
     return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
@@ -22,8 +31,7 @@ def _large_star(links: DataFrame) -> DataFrame:
 def _small_star(links: DataFrame) -> DataFrame:
     down = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v")))
+    return down.join(least, "u").select(_rows(("v", "m"), ("u", "m"))).where("u <> v")
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -33,20 +41,20 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     node to itself (a node with no other link then has no row).
     """
     down = links.where(F.col(a) != F.col(b)).select(
-        F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    state = materialise(down, "links")
+        F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
 
-    def summary(df: DataFrame) -> tuple:
+    def stored(df: DataFrame) -> tuple[DataFrame, tuple]:
+        kept = materialise(df, "links")
         digest = F.xxhash64("u", "v")
-        return tuple(df.agg(F.count(F.lit(1)), F.bit_xor(digest),
-                            F.sum(F.shiftright(digest, 20))).first())
+        summary = tuple(kept.agg(F.count(F.lit(1)), F.bit_xor(digest),
+                                 F.sum(F.shiftright(digest, 20))).first())
+        return (kept.coalesce(1) if summary[0] <= LINKS_IN_ONE_TASK else kept), summary
 
-    before = summary(state)
+    state, before = stored(down)
     while before[0]:
-        state = materialise(_small_star(_large_star(state)).distinct(), "links")
-        now = summary(state)
+        state, now = stored(_small_star(_large_star(state)).distinct())
         if now == before:
             break
         before = now
-    return state.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
-        state.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    return state.select(_rows(("u", "v"), ("v", "v"))).distinct().withColumnsRenamed(
+        {"u": "node", "v": "root"})

@@ -6,9 +6,8 @@ different sequence of signature coordinates; those that share a prefix of that o
 and the depth of the prefix follows the region:
 
 * regions of the base depth with few members give all their pairs;
-* larger ones are entered more deeply, level by level. Sub-regions with few members give all pairs
-  again, and in every larger one, at every level, each member is paired with the region's hub, the
-  member that shares most prefixes with others over all trees. Copies made from one original gather
+* larger ones are entered more deeply, level by level. At every level each member of a sub-region is
+  paired with its hub, the member that shares most prefixes with others over all trees. Copies made from one original gather
   around it, so the hub of a region is the text they are linked through.
 
 So far no region gives more than a fixed number of pairs for each member. Pairs whose signatures agree
@@ -166,14 +165,10 @@ def _candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     deep = deep.join(deep.groupBy(*region).agg(F.count(F.lit(1)).alias("n")), region)
     sized = large.withColumn("level", F.lit(-1)).unionByName(deep.where("n > 1"))
     sized = materialise(sized, "levels")
-    few = sized.where((F.col("n") <= FEW)).drop("n")
-    pairs = pairs.unionByName(_pairs_within(few, region))
-
-    crowded = sized.where(F.col("n") > FEW)
-    shares = crowded.groupBy("id").agg(F.sum("n").alias("shares"))
-    ranked = crowded.join(shares, "id")
+    shares = sized.groupBy("id").agg(F.sum("n").alias("shares"))
+    ranked = sized.join(shares, "id")
     hubs = ranked.groupBy(*region).agg(F.max_by("id", F.struct("shares", "id")).alias("hub"))
-    around = materialise(crowded.join(hubs, region), "hubs")
+    around = materialise(ranked.join(hubs, region), "hubs")
     pairs = pairs.unionByName(around.where("id <> hub").select(
         F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")))
     return pairs.distinct(), around.where("level = -1").select("tree", "key", "id", "n", "hub")
@@ -213,13 +208,13 @@ def _across(least: float):
 def _hidden(reps: DataFrame, crowded: DataFrame, links: DataFrame, threshold: int) -> DataFrame:
     """Candidates between members of crowded regions that are not connected so far."""
     roots = materialise(components(links), "components")
-    part = F.xxhash64(F.coalesce("root", "id"))
-    of = reps.select("id").join(roots.withColumnRenamed("node", "id"), "id", "left").select(
-        "id", part.alias("part"))
-    placed = (crowded.join(of, "id")
-              .join(of.select(F.col("id").alias("hub"), F.col("part").alias("hub_part")), "hub"))
-    placed = placed.withColumn("outside", F.col("part") != F.col("hub_part"))
-    placed = materialise(placed.drop("hub", "hub_part"), "placed")
+    known = broadcast_if_small(roots)
+    place = lambda of: F.xxhash64(F.coalesce("root", of)).alias("part")
+    placed = (crowded.join(known.withColumnRenamed("node", "id"), "id", "left")
+              .select("tree", "key", "n", "id", "hub", place("id"))
+              .join(known.withColumnRenamed("node", "hub"), "hub", "left")
+              .withColumn("outside", F.col("part") != F.xxhash64(F.coalesce("root", "hub"))))
+    placed = materialise(placed.drop("hub", "root"), "placed")
     strays = placed.where("outside").groupBy("tree", "key").agg(F.count(F.lit(1)).alias("strays"))
     rows = placed.join(strays, ["tree", "key"]).join(reps, "id")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
@@ -239,10 +234,8 @@ def _hidden(reps: DataFrame, crowded: DataFrame, links: DataFrame, threshold: in
 
 
 def _agreeing(pairs: DataFrame, reps: DataFrame, threshold: int) -> DataFrame:
-    ends = reps.join(pairs.select("a").union(pairs.select("b")).distinct()
-                     .withColumnRenamed("a", "id"), "id")
-    return (pairs.join(ends.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a")
-            .join(ends.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
+    return (pairs.join(reps.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a")
+            .join(reps.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
             .select("a", "b", _agreement("sa", "sb").alias("agreement"))
             .where(F.col("agreement") >= _least_agreement(threshold)).select("a", "b"))
 
@@ -251,7 +244,7 @@ def _confirmed(pairs: DataFrame, source: DataFrame, threshold: int) -> DataFrame
     """Pairs whose full sets, made again from their texts, reach ``threshold`` percent."""
     wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "id")
     sets = (source.join(broadcast_if_small(materialise(wanted, "wanted")), "id")
-            .dropDuplicates(["id"]).select("id", _set_of("t").alias("members")))
+            .select("id", _set_of("t").alias("members")))
     sets = materialise(sets, "sets")
     size = (F.octet_length("members") / 8).cast("bigint")
     found = (pairs.join(sets.select(F.col("id").alias("a"), F.col("members").alias("ma"),
@@ -268,6 +261,8 @@ def _links(source: DataFrame, reps: DataFrame, threshold: int) -> DataFrame:
     pairs, crowded = _candidates(reps)
     pairs = materialise(_agreeing(materialise(pairs, "pairs"), reps, threshold), "pairs")
     links = _confirmed(pairs, source, threshold)
+    if crowded.isEmpty():
+        return links
     hidden = materialise(_hidden(reps, crowded, links, threshold), "pairs")
     if hidden.isEmpty():
         return links
