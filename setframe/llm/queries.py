@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from setframe.llm import (bpe, exact_dedup, minhash_forest, mixing, pii, quality,
+from setframe.llm import (bpe, embedding_join, exact_dedup, minhash_forest, mixing, pii, quality,
                            secret_scan, toxicity)
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -128,3 +128,8 @@ def _mixing_sql(mixture: mixing.Mixture) -> str:
 
 
 SQL["op1_mix_sources"] = _mixing_sql(MIXTURE)
+
+
+@query
+def op6_embedding_join(spark: SparkSession, d: str) -> DataFrame:
+    return embedding_join.near_vectors(spark.read.parquet(f"{d}/embeddings.parquet"))
