@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from setframe.llm import (bpe, embedding_join, exact_dedup, minhash_forest, mixing, pii, quality,
-                           secret_scan, toxicity)
+from setframe.llm import (bpe, embedding_join, exact_dedup, minhash_forest, mixing,
+                           packing, pii, quality, secret_scan, toxicity)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -133,3 +133,10 @@ SQL["op1_mix_sources"] = _mixing_sql(MIXTURE)
 @query
 def op6_embedding_join(spark: SparkSession, d: str) -> DataFrame:
     return embedding_join.near_vectors(spark.read.parquet(f"{d}/embeddings.parquet"))
+
+
+@query
+def op5_pack_tokens(spark: SparkSession, d: str) -> DataFrame:
+    tokenizer = packing.LibraryTokenizer(spark, public_tokenizers.path(TOKENIZER),
+                                         public_tokenizers.PATTERN)
+    return packing.described(packing.pack(documents(spark, d), tokenizer))
