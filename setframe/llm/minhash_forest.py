@@ -45,17 +45,13 @@ BLOCK = 2048
 _MULTIPLIERS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) << np.uint64(7)) | np.uint64(1)
 
 
-def _bytes(values: pa.Array) -> list[bytes]:
-    return [v or b"" for v in values.cast(pa.binary()).to_pylist()]
-
-
-def _signatures(values: list[bytes]):
+def _signatures(values: pa.Array):
     """For each text: size of its set, two digests of the set, and its signature's bytes."""
-    for start, stop in slices(values):
-        members, offsets = shingle_sets(values[start:stop])
+    for part in slices(values):
+        members, offsets = shingle_sets(part)
         sizes = np.diff(offsets)
-        signature = np.full((stop - start, COORDINATES), 0xFFFFFFFF, np.uint32)
-        digests = np.zeros((stop - start, 2), np.int64)
+        signature = np.full((len(part), COORDINATES), 0xFFFFFFFF, np.uint32)
+        digests = np.zeros((len(part), 2), np.int64)
         full = np.flatnonzero(sizes)
         if len(full):
             at = offsets[:-1][full]
@@ -64,14 +60,14 @@ def _signatures(values: list[bytes]):
                 signature[full, c] = np.minimum.reduceat(hashed, at)
             digests[full, 0] = np.add.reduceat(mix(members), at).view(np.int64)
             digests[full, 1] = np.add.reduceat(mix(members ^ _MULTIPLIERS[0]), at).view(np.int64)
-        for i in range(stop - start):
+        for i in range(len(part)):
             yield int(sizes[i]), int(digests[i, 0]), int(digests[i, 1]), signature[i].tobytes()
 
 
 def _described(text: str) -> Column:
     @F.arrow_udf("n bigint, d1 bigint, d2 bigint, sig binary")
     def describe(values: pa.Array) -> pa.Array:
-        n, d1, d2, sig = zip(*_signatures(_bytes(values)), strict=True) if len(values) else [()] * 4
+        n, d1, d2, sig = zip(*_signatures(values), strict=True) if len(values) else [()] * 4
         return struct_array(n=pa.array(n, pa.int64()), d1=pa.array(d1, pa.int64()),
                             d2=pa.array(d2, pa.int64()), sig=pa.array(sig, pa.binary()))
     return describe(text)
@@ -80,10 +76,10 @@ def _described(text: str) -> Column:
 def _set_of(text: str) -> Column:
     @F.arrow_udf("binary")
     def full_set(values: pa.Array) -> pa.Array:
-        data, out = _bytes(values), []
-        for start, stop in slices(data):
-            members, offsets = shingle_sets(data[start:stop])
-            out += [members[offsets[i]:offsets[i + 1]].tobytes() for i in range(stop - start)]
+        out = []
+        for part in slices(values):
+            members, offsets = shingle_sets(part)
+            out += [members[offsets[i]:offsets[i + 1]].tobytes() for i in range(len(part))]
         return pa.array(out, pa.binary())
     return full_set(text)
 
@@ -137,10 +133,10 @@ def _agreement(a: str, b: str) -> Column:
 def _common(a: str, b: str) -> Column:
     @F.arrow_udf("bigint")
     def common(left: pa.Array, right: pa.Array) -> pa.Array:
-        return pa.array([len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64),
-                                            assume_unique=True))
-                         for x, y in zip(left.to_pylist(), right.to_pylist(), strict=True)],
-                        pa.int64())
+        # Buffers of the batch itself: sets are not copied.
+        pairs = ((np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64))
+                 for x, y in zip(left, right, strict=True))
+        return pa.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in pairs], pa.int64())
     return common(a, b)
 
 

@@ -10,10 +10,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 WORDS = 5
 #: Texts are hashed in slices of about so many bytes, to bound memory.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 
 _R = 0x9E3779B97F4A7C15 | 1
 _R_INVERSE = pow(_R, -1, 1 << 64)
@@ -46,16 +48,16 @@ class _Powers:
 _POWERS = _Powers()
 
 
-def slices(values: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Index ranges of a batch that hold about ``SLICE_BYTES`` each."""
+def slices(values: pa.Array) -> Iterator[list[bytes]]:
+    """The texts of an Arrow column as bytes, about ``SLICE_BYTES`` at a time; NULL reads as empty."""
+    values = values.cast(pa.binary())
+    lengths = pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False)
     start = size = 0
-    for i, value in enumerate(values):
-        size += len(value) + 1
-        if size >= SLICE_BYTES:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(values):
-        yield start, len(values)
+    for i, length in enumerate(lengths.tolist(), 1):
+        size += length + 1
+        if size >= SLICE_BYTES or i == len(lengths):
+            yield [v or b"" for v in values.slice(start, i - start).to_pylist()]
+            start, size = i, 0
 
 
 def shingle_sets(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

@@ -32,8 +32,7 @@ def test_tree_packs_like_a_search_over_all_rows():
         assert sorted(i for r in got for i in r) == list(range(len(lengths)))
 
 
-def by_bytes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode(), np.uint8).astype("<u4")
+by_bytes = lambda text: __import__("numpy").frombuffer(text.encode(), "u1").astype("<u4")
 
 
 def test_rows_restore_every_document(spark):
