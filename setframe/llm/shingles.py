@@ -81,7 +81,7 @@ def shingle_sets(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
     window = np.zeros(max(0, len(words) - WORDS + 1), np.uint64)
     for k in range(WORDS):
-        window += words[k:len(words) - WORDS + 1 + k] * _PLACE[k]
+        window += words[k:k + len(window)] * _PLACE[k]
     window = mix(window)
     sets: list[np.ndarray] = []
     for start, n in zip(starts.tolist(), per_text.tolist(), strict=True):
