@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import check_queries
 import pytest
 
@@ -23,7 +25,8 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_only_training_has_no_sql():
-    assert set(QUERIES) - set(SQL) == {"train_classifier"}
+    own = {name for name in QUERIES if name != "pipeline" and not re.match(r"op\d+_", name)}
+    assert own - set(SQL) == {"train_classifier"}
 
 
 def test_entry(spark):
