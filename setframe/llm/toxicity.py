@@ -65,6 +65,8 @@ class Lexicon:
 
     def matches(self, text: str) -> list[tuple[int, str]]:
         """(start, entry) of every entry at the start of a word of a folded text, outside phrases."""
+        if not self.weights:
+            return []
         found, covered = [], []
         for last, (entry, harmless) in _automaton(self.weights, self.exceptions).iter(text):
             start = last + 1 - len(entry)
@@ -79,7 +81,7 @@ class Lexicon:
     def features(self, text: str) -> tuple[float, float]:
         weight = dict(self.weights)
         text = folded(text)
-        total = sum(weight[e] for _, e in self.matches(text)) if self.weights else 0.0
+        total = sum(weight[e] for _, e in self.matches(text))
         return log1p(total), log1p(1000.0 * total / (text.count(" ") + 1))
 
     def score(self, text: str) -> float:
@@ -236,7 +238,7 @@ def matched_entries(text: str | Column, lexicon: Lexicon) -> Column:
     @F.arrow_udf("array<struct<start: int, entry: string>>")
     def match(values: pa.Array) -> pa.Array:
         rows = [[{"start": s, "entry": e} for s, e in lexicon.matches(folded(t))]
-                if lexicon.weights else [] for t in texts(values)]
+                for t in texts(values)]
         kind = pa.list_(pa.struct([("start", pa.int32()), ("entry", pa.string())]))
         return pa.array(rows, kind)
     return match(text)
