@@ -85,7 +85,7 @@ def _both(first: str, second: str | None) -> str:
     return first if second is None else f"({first}) & ({second})"
 
 
-_ABS_BELOW = re.compile(r"abs\(\s*(\w+)\s*\)\s*<\s*([0-9.eE+]+)")
+_ABS_BELOW = re.compile(r"abs\(\s*(\w+)\s*\)\s*<\s*([0-9.]+(?:[eE][+-]?[0-9]+)?)")
 
 
 def cut_to_sql(cut: str) -> str:

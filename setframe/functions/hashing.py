@@ -24,6 +24,10 @@ def key_bucket(key: Column, hex_digits: int) -> Column:
 
 def below_fraction(key: Column, fraction: float) -> Column:
     """True for about ``fraction`` of all keys, decided by the first 8 hex digits."""
+    if not 0 <= fraction <= 1:
+        raise ValueError(f"not a fraction: {fraction}")
+    if fraction == 1:
+        return key.isNotNull()
     return F.substring(key, 1, 8) < F.lit(hex_threshold(fraction))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,9 @@ from setframe.config import BATCH_SIZE, SPLIT_SEED
 from setframe.functions.hashing import order_key
 from setframe.operators.ordering import numbered_by_key
 
+# Positions that one row lists at a time.
+REPEATS = 10_000
+
 
 def batch_plan(df: DataFrame, kind: str, batch_size: int = BATCH_SIZE) -> DataFrame:
     """Per kind of row: its count, its share of a batch (floor and ceil) and steps per epoch."""
@@ -52,21 +57,27 @@ def mixed_batches(df: DataFrame, unit: str, kind: str, batch_size: int = BATCH_S
                          (batch < _by_kind(plan, kind, 2)).alias("in_epoch"))
 
 
-def cyclic_batches(df: DataFrame, unit: str, kind: str, n_batches: int,
+def cyclic_batches(df: DataFrame, unit: str, kind: str, epochs: float,
                    batch_size: int = BATCH_SIZE, seed: int = SPLIT_SEED) -> DataFrame:
-    """The endless batch sequence, first ``n_batches`` of it: each kind restarts when used up.
+    """The endless batch sequence, the first ``epochs`` of it: each kind restarts when used up.
 
     A row with place ``r`` among the ``n`` of its kind appears at positions ``r, r+n, r+2n, ...``.
-    Each row lists its own positions, so no join against a table of slots is needed.
+    Each row lists its own positions, ``REPEATS`` at a time, so no join against a table of slots is
+    needed. Every kind has at least one row in a batch, as in :func:`mixed_batches`.
     """
     plan = plan_lookup(batch_plan(df, kind, batch_size), kind)
     ranked = _ranked(df, unit, kind, len(plan), seed)
-    count, share = _by_kind(plan, kind, 0), _by_kind(plan, kind, 1)
+    n_batches = ceil(epochs * max((steps for _, _, steps in plan.values()), default=0))
+    count, share = _by_kind(plan, kind, 0), F.greatest(_by_kind(plan, kind, 1), F.lit(1))
     place = F.col("_rank") - 1
     last = share * F.lit(n_batches) - 1
     reached = ranked.where(place <= last)
-    at = reached.select(*df.columns, share.alias("_share"),
-                        F.explode(F.sequence(place, last, count)).alias("_at"))
+    stretch = count * F.lit(REPEATS)
+    starts = reached.select("*", share.alias("_share"), count.alias("_count"), last.alias("_last"),
+                            F.explode(F.sequence(place, last, stretch)).alias("_start"))
+    stop = F.least(F.col("_last"), F.col("_start") + F.col("_count") * F.lit(REPEATS - 1))
+    at = starts.select(*df.columns, "_share",
+                       F.explode(F.sequence("_start", stop, "_count")).alias("_at"))
     return at.select(*df.columns, F.floor(F.col("_at") / F.col("_share")).alias("batch_id"),
                      (F.col("_at") % F.col("_share")).alias("slot"))
 

@@ -13,9 +13,12 @@ from setframe.operators.grids import fill_grid
 
 def confusion_matrix(df: DataFrame, pred: Column, truth: Column, weight: Column | None = None,
                      n_classes: int = N_CLASSES, group: Sequence[str] = ()) -> DataFrame:
-    """All ``n x n`` cells. Without a weight every row counts 1; rows without a class are left out."""
+    """All ``n x n`` cells. Without a weight every row counts 1; rows without a class, or with one
+    outside ``0..n-1``, are left out."""
     w = F.lit(1.0) if weight is None else weight.cast("double")
-    cells = (df.select(*group, (pred * F.lit(n_classes) + truth).alias("_cell"), w.alias("_w"))
+    known = pred.between(0, n_classes - 1) & truth.between(0, n_classes - 1)
+    cell = F.when(known, pred * F.lit(n_classes) + truth)
+    cells = (df.select(*group, cell.alias("_cell"), w.alias("_w"))
              .groupBy(*group, "_cell").agg(F.sum("_w").alias("weight")))
     filled = fill_grid(cells, "_cell", n_classes * n_classes, ["weight"], group)
     return filled.select(

@@ -81,11 +81,13 @@ def auto_histograms(df: DataFrame, columns: Sequence[str], n_bins: int = CONTROL
     """Histogram of every column over its own min..max: ``(group..., feature, bin, lo, hi, n)``.
 
     Pass one takes all ranges at once; pass two bins every column of a row and combines by
-    ``(group, feature, bin)``. Only occupied bins are listed. Pads and NULLs are left out.
+    ``(group, feature, bin)``. Only occupied bins are listed. Pads, NULLs, NaN and
+    infinities are left out, of the ranges too.
     """
     def usable(c: str) -> str:
         x = f"cast(`{c}` as double)"
-        return x if pad is None else f"nullif({x}, {float(pad)!r}D)"
+        x = x if pad is None else f"nullif({x}, {float(pad)!r}D)"
+        return f"if(abs({x}) < double('Infinity'), {x}, null)"
 
     keys = [*group, "feature"]
     per_column = ", ".join(f"struct('{c}' as feature, {usable(c)} as x)" for c in columns)

@@ -82,6 +82,7 @@ def above_cuts(counts: DataFrame, points: DataFrame, n_points: int, group: Seque
 
     Rows above a cut are a prefix of the descending score table, so the running sums of the full
     curve are already those of the restricted one; only its totals differ. No record is read again.
+    A point with nothing above its cut is a row of zeros, its ratios NULL.
     """
     cuts = points.groupBy(*group).agg(F.collect_list(F.struct("wp", "cut")).alias("_cuts"))
     if group:
@@ -93,8 +94,11 @@ def above_cuts(counts: DataFrame, points: DataFrame, n_points: int, group: Seque
         listed = counts.join(cuts, condition)
     else:
         listed = counts.withColumn("_cuts", cuts.scalar())
-    passing = listed.select("*", F.inline("_cuts")).where("score > cut")
-    return passing.groupBy(*group, "wp", "cut").agg(*[F.expr(e) for e in (
+    above = listed.select("*", F.inline("_cuts")).selectExpr(
+        *[f"`{g}`" for g in group], "wp", "cut", "pos_total", "neg_total", "pos_before",
+        *[f"if(score > cut, {c}, cast(0 as {t})) as {c}" for c, t in (
+            ("n", "bigint"), ("n_pos", "bigint"), ("pos", "double"), ("neg", "double"))])
+    return above.groupBy(*group, "wp", "cut").agg(*[F.expr(e) for e in (
         "sum(n) as n_pass", "sum(n_pos) as n_signal", "sum(pos) as w_signal",
         "sum(n - n_pos) as n_background", "sum(neg) as w_background",
         "try_divide(sum(pos), max(pos_total)) as efficiency",

@@ -55,14 +55,18 @@ def robust_stats(df: DataFrame, columns: Sequence[str], n_sigma: float = TRIM_SI
         if two_sided:
             offset = F.abs(offset)
         kept = F.when(offset < F.lit(float(n_sigma)) * first[f"c{i}"]["s"], x)
-        aggregates += [F.avg(kept).alias(f"mean_{i}"), F.stddev_pop(kept).alias(f"stddev_{i}"),
-                       F.count(kept).alias(f"n_{i}")]
+        # Nothing lies below zero deviations: a constant column keeps its plain moments.
+        aggregates += [
+            F.coalesce(F.avg(kept), F.avg(x)).alias(f"mean_{i}"),
+            F.coalesce(F.stddev_pop(kept), F.stddev_pop(x)).alias(f"stddev_{i}"),
+            F.when(F.count(kept) > 0, F.count(kept)).otherwise(F.count(x)).alias(f"n_{i}")]
     return _long(df.agg(*aggregates), columns, ["mean", "stddev", "n"])
 
 
 def stats_lookup(stats: DataFrame) -> dict[str, tuple[float, float]]:
-    """Stats table as a dict. It has one row per column of the dataset, whatever its row count."""
-    rows = stats.select("feature", "mean", "stddev").collect()
+    """Stats table as a dict. It has one row per column of the dataset, whatever its row count;
+    a column without values has no entry."""
+    rows = stats.select("feature", "mean", "stddev").dropna().collect()
     return {r["feature"]: (r["mean"], r["stddev"]) for r in rows}
 
 

@@ -12,21 +12,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from setframe.operators.stats import class_counts, class_weights
+from setframe.session import broadcast_if_small
 
 
 def with_class_weight(df: DataFrame, label: str, weight: str | None = None,
                       name: str = "train_weight") -> DataFrame:
-    """Balanced class weight times the row weight. One weight per class is broadcast."""
+    """Balanced class weight times the row weight; rows without a class stay, with weight 0."""
     weights = class_weights(class_counts(df, label), label).select(
         F.col(label).alias("_class"), "class_weight")
     row = F.lit(1.0) if weight is None else F.col(weight)
-    joined = df.join(F.broadcast(weights), df[label] == F.col("_class"))
-    return joined.withColumn(name, F.col("class_weight") * row).drop("_class", "class_weight")
+    joined = df.join(broadcast_if_small(weights.where("_class is not null")),
+                     df[label] == F.col("_class"), "left")
+    weight_of = F.coalesce(F.col("class_weight"), F.lit(0.0)) * row
+    return joined.withColumn(name, weight_of).drop("_class", "class_weight")
 
 
 def fit_classifier(train: DataFrame, features: Sequence[str], label: str,
                    weight: str, max_iter: int = 50, reg: float = 1e-4) -> PipelineModel:
-    """Multinomial logistic regression with row weights; gradients are tree-aggregated."""
+    """Multinomial logistic regression with row weights; gradients are tree-aggregated.
+
+    Rows without a class take no part in the fit.
+    """
     stages = [
         VectorAssembler(inputCols=list(features), outputCol="_raw"),
         StandardScaler(inputCol="_raw", outputCol="_features", withMean=True),
@@ -34,7 +40,7 @@ def fit_classifier(train: DataFrame, features: Sequence[str], label: str,
                            weightCol=weight, probabilityCol="_probability",
                            predictionCol="_prediction", maxIter=max_iter, regParam=reg),
     ]
-    return Pipeline(stages=stages).fit(train)
+    return Pipeline(stages=stages).fit(train.where(F.col(label).isNotNull()))
 
 
 def predict(model: PipelineModel, df: DataFrame, name: str = "scores") -> DataFrame:

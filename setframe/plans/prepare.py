@@ -62,10 +62,17 @@ def dataset_stats(df: DataFrame, skip: Sequence[str] = (), robust: bool = True)
 
 
 def read_raw(spark: SparkSession, paths: str | Sequence[str], config: PrepareConfig) -> DataFrame:
-    """Raw records with tidy names and ``is_fake`` taken from the file name."""
+    """Raw records with tidy names and ``is_fake`` taken from the file name.
+
+    Files that a writer has numbered (``part-...``) are named by the folder they are in; folders
+    further up say nothing.
+    """
     raw = scan.with_file(spark.read.parquet(*([paths] if isinstance(paths, str) else paths)))
     tidy = tidy_columns(raw, config.drop_containing)
-    return scan.with_source_label(tidy, F.col("file"), config.background_pattern)
+    own = F.regexp_extract("file", "([^/]+)$", 1)
+    folder = F.regexp_extract("file", "([^/]+)/[^/]+$", 1)
+    name = F.when(own.startswith("part-"), folder).otherwise(own)
+    return scan.with_source_label(tidy, name, config.background_pattern)
 
 
 def prepare(raw: DataFrame, known_stats: Mapping[str, tuple[float, float]],

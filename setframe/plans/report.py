@@ -74,4 +74,4 @@ def evaluation_report(df: DataFrame, classifiers: Mapping[str, Column], scores:
     matrices = working_point_matrices(df, classifiers, scores, label, weight, points, n_classes)
     diagonal = confusion.diagonal_score(confusion.normalised(matrices, group), n_classes - 1,
                                         group)
-    return summary.join(broadcast_bounded(diagonal, n * len(efficiencies)), group)
+    return summary.join(broadcast_bounded(diagonal, n * len(efficiencies)), group, "left")

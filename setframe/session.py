@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -46,13 +47,15 @@ def ship_package(spark: SparkSession) -> None:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unused path for a written table or a stream checkpoint.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where that is unset
-    (a bare local session) is one of our own made, once per process; the setting itself cannot be
-    changed in a running session.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``, or else the context's
+    checkpoint folder. Only in a local session without either is one of our own made, once per
+    process; anywhere else the executors could not see it, and an error says so.
     """
     global _own_scratch
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if _own_scratch is None:
             _own_scratch = tempfile.mkdtemp(prefix="setframe-")
         base = _own_scratch

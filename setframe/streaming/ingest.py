@@ -1,8 +1,9 @@
 """Bounded-size incremental reads with Structured Streaming.
 
 Files are taken a few at a time (``maxFilesPerTrigger``) until none are left (``availableNow``).
-Checkpoints and outputs live in the folder named by ``spark.checkpoint.dir``, so a restarted
-driver or a lost executor resumes where the last micro-batch was committed.
+Checkpoints and outputs live in the folder named by ``spark.checkpoint.dir``, so a lost executor
+costs no committed micro-batch. A restarted driver resumes where it is given the same ``path`` and
+``checkpoint`` again.
 """
 
 from __future__ import annotations
@@ -42,15 +43,17 @@ def write_until_done(stream: DataFrame, name: str, path: str | None = None,
 
 def keep_latest_totals(stream: DataFrame, name: str, path: str | None = None,
                        checkpoint: str | None = None) -> str:
-    """Run an aggregating stream to the end; every trigger replaces the stored totals.
+    """Run an aggregating stream to the end; every trigger stores its totals beside the earlier ones.
 
-    Overwriting makes a replayed micro-batch harmless.
+    A micro-batch writes a folder of its own (``batch_id=<n>``), so a crash leaves the last complete
+    totals in place and a replayed batch writes the same folder again. Read the newest with
+    :func:`latest_totals`. With ``path`` and ``checkpoint`` given, a restart goes on where it stopped.
     """
     spark = stream.sparkSession
     out = path or scratch_path(spark, f"{name}-out")
 
     def replace(totals: DataFrame, batch_id: int) -> None:
-        totals.write.mode("overwrite").parquet(out)
+        totals.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     query = (stream.writeStream.outputMode("complete").foreachBatch(replace)
              .option("checkpointLocation", checkpoint or scratch_path(spark, f"{name}-state"))
@@ -59,6 +62,13 @@ def keep_latest_totals(stream: DataFrame, name: str, path: str | None = None,
     return out
 
 
+def latest_totals(spark: SparkSession, path: str) -> DataFrame:
+    """The totals of the newest micro-batch that was stored completely."""
+    stored = spark.read.parquet(path)
+    newest = stored.agg(F.max("batch_id")).scalar()
+    return stored.where(F.col("batch_id") == newest).drop("batch_id")
+
+
 def running_stats(stream: DataFrame, group: str, columns: Sequence[str]) -> DataFrame:
     """Counts, means and population deviations per group, kept up to date as files arrive."""
     aggregates = [F.count(F.lit(1)).alias("n")]
@@ -68,8 +78,12 @@ def running_stats(stream: DataFrame, group: str, columns: Sequence[str]) -> Data
 
 
 def process_stream(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], name: str,
-                   partition_by: Sequence[str] = ()) -> DataFrame:
-    """Apply a row-wise transformation while streaming, then return the written table."""
+                   partition_by: Sequence[str] = (), path: str | None = None,
+                   checkpoint: str | None = None) -> DataFrame:
+    """Apply a row-wise transformation while streaming, then return the written table.
+
+    Give ``path`` and ``checkpoint`` to go on after a restart; without them a run starts afresh.
+    """
     transformed = transform(stream)
-    out = write_until_done(transformed, name, partition_by=partition_by)
+    out = write_until_done(transformed, name, path, checkpoint, partition_by)
     return stream.sparkSession.read.schema(transformed.schema).parquet(out)

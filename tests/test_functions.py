@@ -108,6 +108,11 @@ def test_cut_text(spark):
     assert both.signal == "(a > 1) & (b)" and both.background == "a > 1"
 
 
+def test_cut_with_exponent():
+    assert cut_to_sql("abs(x) < 1e-3") == "(x > -1e-3 AND x < 1e-3)"
+    assert cut_to_sql("(abs(x) < 2.5E+2)") == "((x > -2.5E+2 AND x < 2.5E+2))"
+
+
 def test_default_layout():
     widths = [c.width for c in DEFAULT_DATASET.collections]
     assert widths == [42, 132, 18, 40, 6] and sum(widths) == 238

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from setframe.operators import confusion, histograms, ordering, roc, stats
+from setframe.operators import confusion, histograms, ordering, roc, stats, training
 from setframe.operators.scoring import loss_and_accuracy
 
 
@@ -162,3 +162,40 @@ def test_loss_is_clipped(spark):
                                "s array<double>, label int, pred int, w double")
     got = loss_and_accuracy(df, F.col("s"), F.col("label"), F.col("pred"), F.col("w")).first()
     assert got["loss"] == pytest.approx(-2 * np.log(1e-7)) and got["accuracy"] == 0.0
+
+
+def test_auto_histogram_leaves_out_what_is_not_finite(spark):
+    rows = [(v,) for v in (1.0, 2.0, 3.0, float("nan"), float("inf"), float("-inf"), None, -999.0)]
+    df = spark.createDataFrame(rows, "x double")
+    got = sorted(map(tuple, histograms.auto_histograms(df, ["x"], 2, pad=-999.0).collect()))
+    assert got == [("x", 0, 1.0, 2.0, 1), ("x", 1, 2.0, 3.0, 2)]
+
+
+def test_confusion_leaves_out_classes_that_are_none(spark):
+    df = spark.createDataFrame([(0, 7), (1, -1), (6, 0), (2, 2), (None, 1)], "p int, t int")
+    cells = confusion.confusion_matrix(df, F.col("p"), F.col("t")).where("weight > 0").collect()
+    assert [tuple(r) for r in cells] == [(2, 2, 1.0)]
+
+
+def test_constant_column_keeps_its_plain_moments(spark):
+    df = spark.createDataFrame([(5.0, None), (5.0, None)], "x double, y double")
+    table = stats.robust_stats(df, ["x", "y"])
+    assert stats.stats_lookup(table) == {"x": (5.0, 0.0)}
+    normed = stats.normalise_columns(df, stats.stats_lookup(table), ["x", "y"])
+    assert [r["x_normed"] for r in normed.collect()] == [0.0, 0.0]
+
+
+def test_cut_with_nothing_above_is_a_row_of_zeros(spark):
+    df = spark.createDataFrame([(0.9, True)] * 8 + [(0.1, False)] * 2, "score double, sig boolean")
+    counts = roc.score_counts(df, F.col("score"), F.col("sig"))
+    points = roc.working_points(counts, [50, 10])
+    rows = roc.above_cuts(counts, points, 2).collect()
+    assert sorted((r["wp"], r["n_pass"], r["n_signal"], r["rejection"], r["auc"]) for r in rows) == [
+        (10, 0, 0, None, None), (50, 0, 0, None, None)]
+
+
+def test_rows_without_a_class_stay_with_weight_zero(spark):
+    df = spark.createDataFrame([(0, 1.0), (1, 2.0), (None, 3.0)], "label int, w double")
+    got = training.with_class_weight(df, "label", "w").orderBy(F.col("label").asc_nulls_last())
+    rows = got.collect()
+    assert len(rows) == 3 and rows[2]["train_weight"] == 0.0 and rows[1]["train_weight"] > 0

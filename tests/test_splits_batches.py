@@ -77,7 +77,7 @@ def test_mixed_batches_follow_the_plan(spark):
 
 
 def test_cyclic_batches_restart(spark):
-    got = batching.cyclic_batches(rows_of(spark, 7, 3), "id", "kind", 9, 5).collect()
+    got = batching.cyclic_batches(rows_of(spark, 7, 3), "id", "kind", 4.5, 5).collect()
     # shares are 3 and 1 of 5: 27 signal slots over 7 rows, 9 fake slots over 3 rows
     per_batch = Counter((r["kind"], r["batch_id"]) for r in got)
     assert per_batch == {**{("signal", b): 3 for b in range(9)},
@@ -88,10 +88,25 @@ def test_cyclic_batches_restart(spark):
 
 
 def test_cyclic_batches_shorter_than_one_epoch(spark):
-    got = batching.cyclic_batches(rows_of(spark, 70, 30), "id", "kind", 2, 10).collect()
+    got = batching.cyclic_batches(rows_of(spark, 70, 30), "id", "kind", 0.2, 10).collect()
     assert len(got) == 20 and max(Counter(r["id"] for r in got).values()) == 1
 
 
+def test_rare_kind_is_in_every_batch_and_listed_in_stretches(spark, monkeypatch):
+    monkeypatch.setattr(batching, "REPEATS", 3)
+    got = batching.cyclic_batches(rows_of(spark, 99, 1), "id", "kind", 2, 10).collect()
+    fakes = sorted(r["batch_id"] for r in got if r["kind"] == "fake")
+    assert fakes == list(range(20))
+    assert Counter(r["kind"] for r in got)["signal"] == 9 * 20
+
+
+def test_whole_share_takes_every_row(spark):
+    rows = spark.range(500).withColumn("unit", F.col("id").cast("string"))
+    assert splitting.hash_split(rows, "unit", test=1.0).where("split <> 'test'").count() == 0
+    with pytest.raises(ValueError, match="fraction"):
+        splitting.hash_split(rows, "unit", test=1.5)
+
+
 def test_history(spark):
     rows = [(0, e, loss, e / 10) for e, loss in enumerate([3.0, 2.0, 2.0, 1.0, 1.5, 1.0])]
     history = spark.createDataFrame(rows, "run int, epoch int, val_loss double, val_acc double")

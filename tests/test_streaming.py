@@ -37,7 +37,7 @@ def test_running_stats_equal_batch(spark, arriving):
     path, schema = arriving
     stream = ingest.stream_files(spark, path, schema, files_per_trigger=2)
     out = ingest.keep_latest_totals(ingest.running_stats(stream, "label", ["x"]), "t")
-    got = {r["label"]: r for r in spark.read.parquet(out).collect()}
+    got = {r["label"]: r for r in ingest.latest_totals(spark, out).collect()}
     want = {r["label"]: r for r in
             ingest.running_stats(spark.read.parquet(path), "label", ["x"]).collect()}
     assert set(got) == set(want)
@@ -62,3 +62,25 @@ def test_restart_continues_after_the_last_commit(spark, arriving, tmp_path):
         "id", F.lit(0).alias("label"), F.lit(0.5).alias("x"),
         F.array(F.lit(1.0)).alias("l")).write.mode("append").parquet(path)
     assert once() == 1010
+
+
+def test_processing_and_totals_continue_after_a_restart(spark, arriving, tmp_path):
+    path, schema = arriving
+    seen = []
+
+    def once():
+        stream = ingest.stream_files(spark, path, schema)
+        rows = ingest.process_stream(stream, lambda df: df.select("id"), "t",
+                                     path=f"{tmp_path}/rows", checkpoint=f"{tmp_path}/rows-state")
+        totals = ingest.keep_latest_totals(ingest.running_stats(stream, "label", ["x"]), "t",
+                                           f"{tmp_path}/totals", f"{tmp_path}/totals-state")
+        n = ingest.latest_totals(spark, totals).agg({"n": "sum"}).first()[0]
+        seen.append((rows.count(), n))
+
+    once()
+    once()
+    spark.range(1000, 1010).select(
+        "id", F.lit(0).alias("label"), F.lit(0.5).alias("x"),
+        F.array(F.lit(1.0)).alias("l")).write.mode("append").parquet(path)
+    once()
+    assert seen == [(1000, 1000), (1000, 1000), (1010, 1010)]

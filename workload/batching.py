@@ -112,14 +112,15 @@ with {PLAN},
 ranked as (select id, kind, row_number() over (partition by kind order by k, id) - 1 as place
            from keyed),
 slots as (
-  select kind, b.batch_id, s.slot, (b.batch_id * batch_rows + s.slot) % n_rows as place
-  from plan, (select unnest(range(90)) as batch_id) b, (select unnest(range(526)) as slot) s
-  where s.slot < batch_rows)
+  select kind, b.batch_id, s.slot, (b.batch_id * greatest(batch_rows, 1) + s.slot) % n_rows as place
+  from plan, (select unnest(range(ceil(2.5 * (select max(steps) from plan))::bigint)) as batch_id) b,
+       (select unnest(range(526)) as slot) s
+  where s.slot < greatest(batch_rows, 1))
 select id, kind, batch_id::bigint as batch_id, slot::bigint as slot
 from slots join ranked using (kind, place)"""))
 def batches_cyclic(spark: SparkSession, d: str) -> DataFrame:
-    """90 batches: more than three epochs at the smaller scales, so both kinds start over."""
-    return batching.cyclic_batches(kinds(spark, d).drop("label"), "id", "kind", 90)
+    """Two and a half epochs of batches: both kinds start over twice."""
+    return batching.cyclic_batches(kinds(spark, d).drop("label"), "id", "kind", 2.5)
 
 
 # ---- training history ---------------------------------------------------------------------

@@ -35,12 +35,13 @@ def scan_project(spark: SparkSession, d: str) -> DataFrame:
     return scan.scan_dataset(spark, f"{d}/lineitem.parquet", OBJECT_CONFIG)
 
 
-@query("""select o_orderkey, o_custkey, o_totalprice from orders
-          where o_totalprice > 15000 and abs(o_custkey) < 700""")
+@query("""select l_orderkey, l_linenumber, l_extendedprice, l_discount from lineitem
+          where l_extendedprice > 15000 and abs(l_discount) < 0.055""")
 def scan_cut(spark: SparkSession, d: str) -> DataFrame:
-    view = selection.CutView(scan.scan(spark, f"{d}/orders.parquet",
-                                       ["o_orderkey", "o_custkey", "o_totalprice"]))
-    return view.with_cut("(o_totalprice > 15000) & (abs(o_custkey) < 700)").rows
+    view = selection.CutView(scan.scan(spark, f"{d}/lineitem.parquet", [
+        "l_orderkey", "l_linenumber", "l_extendedprice", "l_discount"]))
+    narrower = view.with_cut("(l_extendedprice > 40000)")
+    return narrower.with_cut("(l_extendedprice > 15000) & (abs(l_discount) < 5.5e-2)").rows
 
 
 @query(with_parts("cand", """
@@ -202,15 +203,13 @@ def normalise_scalar(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""
 with long as (
-  select vec_id, unnest(embedding[1:(vec_id % 12)])::double as x,
-         unnest(range(vec_id % 12))::int as pos from embeddings),
+  select vec_id, unnest(embedding)::double as x,
+         unnest(range(len(embedding)))::int as pos from embeddings),
 s as (select avg(x) as m, stddev_pop(x) as sd from long)
 select vec_id, pos, {r('(x - m) / (sd + 1e-8::double)')} as value from long, s""")
 def normalise_array(spark: SparkSession, d: str) -> DataFrame:
-    """Lists of 0 to 11 elements, stored as arrays; every element of every list is normalised."""
-    vectors = fx.table(spark, d, "embeddings")
-    lists = vectors.select(
-        "vec_id", F.slice("embedding", F.lit(1), (F.col("vec_id") % 12).cast("int")).alias("x"))
+    """Every element of every list is normalised by the moments of all elements."""
+    lists = fx.table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("x"))
     known = stats.stats_lookup(stats.column_stats(stats.flatten_lists(lists, ["x"]), ["x"]))
     normed = stats.normalise_lists(lists, known, ["x"])
     return normed.select("vec_id", F.posexplode("x_normed").alias("pos", "value")) \

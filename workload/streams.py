@@ -23,23 +23,34 @@ def table_stream(spark: SparkSession, d: str, name: str) -> DataFrame:
     return ingest.stream_files(spark, d, schema, glob=f"{name}.parquet")
 
 
-def _padded_sql(i: int) -> str:
-    return r(f"case when vec_id % 8 > {i} then embedding[{i + 1}]::double else -999::double end")
+SIDE_CAP = 32
+SHOWN = (0, 1, 28, 30, 31)
+
+
+def _padded_sql(side: str, i: int) -> str:
+    return r(f"coalesce({side}[{i + 1}]::double, -999::double)")
 
 
 @query(f"""
-select vec_id, label, {', '.join(f'{_padded_sql(i)} as x{i}' for i in range(4))}
-from embeddings where label > 2 and abs(vec_id) < 400""")
+select vec_id, label, {', '.join(f'{_padded_sql(s, i)} as {s}{i}' for s in ('up', 'down')
+                                 for i in SHOWN)}
+from (select vec_id, label, [x for x in embedding if x > 0] as up,
+             [x for x in embedding if x <= 0] as down
+      from embeddings where label > 2 and abs(embedding[1]) < 0.2) t""")
 def stream_prepare(spark: SparkSession, d: str) -> DataFrame:
-    """Cut, then pad or clip lists of 0 to 7 elements to 4."""
+    """Cut, then pad or clip to 32 the lists of a vector's positive and of its other elements."""
     def prepare(rows: DataFrame) -> DataFrame:
-        kept = apply_cut(rows, "(label > 2) & (abs(vec_id) < 400)")
-        lists = F.slice("embedding", F.lit(1), (F.col("vec_id") % 8).cast("int"))
-        return kept.select("vec_id", "label", lists.alias("list")).select(
-            "vec_id", "label", pad_clip("list", 4).alias("x"))
+        kept = apply_cut(rows.withColumn("first", F.get("embedding", F.lit(0))),
+                         "(label > 2) & (abs(first) < 0.2)")
+        sides = kept.select("vec_id", "label",
+                            F.filter("embedding", lambda x: x > 0).alias("up"),
+                            F.filter("embedding", lambda x: x <= 0).alias("down"))
+        return sides.select("vec_id", "label", *[pad_clip(s, SIDE_CAP).alias(s)
+                                                 for s in ("up", "down")])
 
     written = ingest.process_stream(table_stream(spark, d, "embeddings"), prepare, "prepare")
-    return written.select("vec_id", "label", *[rd(F.col("x")[i]).alias(f"x{i}") for i in range(4)])
+    return written.select("vec_id", "label", *[rd(F.col(s)[i]).alias(f"{s}{i}")
+                                               for s in ("up", "down") for i in SHOWN])
 
 
 @query(with_parts("cand", f"""
@@ -49,7 +60,7 @@ select label, count(*)::bigint as n, {r('avg(pt)', 4)} as pt_mean,
 def stream_stats(spark: SparkSession, d: str) -> DataFrame:
     rows = fx.cand_from(table_stream(spark, d, "orders"))
     out = ingest.keep_latest_totals(ingest.running_stats(rows, "label", ["pt", "eta"]), "totals")
-    found = spark.read.parquet(out)
+    found = ingest.latest_totals(spark, out)
     return found.select("label", "n", *[rd(c, 4).alias(c) for c in
                                         ("pt_mean", "pt_stddev", "eta_mean", "eta_stddev")])
 
