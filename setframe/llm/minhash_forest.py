@@ -34,7 +34,7 @@ from setframe.session import broadcast_if_small, materialise, ship_package
 TREES = 24
 COORDINATES = 96
 #: Depth of a tree's prefix by level; level 0 is the base.
-DEPTHS = (4, 6, 9, 13, 18)
+DEPTHS = (4, 7, 12)
 #: Members up to which a region gives all its pairs.
 FEW = 16
 #: Standard errors below the threshold at which signatures decide against a pair.
@@ -161,8 +161,10 @@ def _candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     deep = deep.join(deep.groupBy(*region).agg(F.count(F.lit(1)).alias("n")), region)
     sized = large.withColumn("level", F.lit(-1)).unionByName(deep.where("n > 1"))
     sized = materialise(sized, "levels")
-    shares = sized.groupBy("id").agg(F.sum("n").alias("shares"))
-    ranked = sized.join(shares, "id")
+    # A member has one place in each tree and level, so its list is short.
+    place = F.struct(*region, "n")
+    ranked = (sized.groupBy("id").agg(F.sum("n").alias("shares"), F.collect_list(place).alias("places"))
+              .select("id", "shares", F.inline("places")))
     hubs = ranked.groupBy(*region).agg(F.max_by("id", F.struct("shares", "id")).alias("hub"))
     around = materialise(ranked.join(hubs, region), "hubs")
     pairs = pairs.unionByName(around.where("id <> hub").select(

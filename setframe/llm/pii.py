@@ -271,11 +271,18 @@ def _joined(spans: list[Span]) -> str:
 
 
 def learned_from(docs: DataFrame, rows: int = SAMPLE_ROWS, text: str = "text") -> np.ndarray:
-    """Weights fitted on at most ``rows`` texts with marks, chosen by a digest."""
+    """Weights fitted on at most ``rows`` different texts with marks, those of the smallest digests.
+
+    Digests are chosen first, so only the sample's own texts reach the driver, each once.
+    """
     ship_package(docs.sparkSession)
-    value = docs.select(F.col(text).alias("t")).where(F.col("t").rlike("[0-9@]"))
-    sample = value.orderBy(F.xxhash64("t"), "t").limit(rows).collect()
-    return fit([r.t for r in sample])
+    marked = docs.select(F.col(text).alias("t")).where(F.col("t").rlike("[0-9@]"))
+    marked = marked.withColumn("x", F.xxhash64("t"))
+    edge = marked.select("x").distinct().orderBy("x").limit(rows).agg(F.max("x")).first()[0]
+    if edge is None:
+        return fit([])
+    sample = marked.where(F.col("x") <= edge).groupBy("x").agg(F.min("t").alias("t"))
+    return fit([r.t for r in sample.orderBy("x").collect()])
 
 
 def found_in(text: str | Column, weights: np.ndarray) -> Column:
