@@ -1,9 +1,9 @@
 """Variable-length lists to fixed shapes.
 
-Caps are small constants (3 to 6 objects), so the fixed shape is written out slot by slot with
-``get``. That keeps the whole projection inside generated code, whereas ``slice``/``transform``
-build intermediate arrays for every row. The slots are generated as SQL text: one parsed
-expression per tensor instead of a driver round trip per node.
+Caps are small constants (3 to 6 objects). A single list is written out slot by slot with ``get``, in
+generated code. Whole collections are not: a few hundred slots make a method that the JVM leaves
+uncompiled, or that does not compile at all, so a collection is one ``transform`` over features and slots. All is
+generated as SQL text: one parsed expression per tensor instead of a driver round trip per node.
 """
 
 from __future__ import annotations
@@ -55,14 +55,21 @@ def flat_tensor(objects: str, features: Sequence[str], cap: int, fill: float = P
 
     One flat list per row is what Arrow hands to numpy without copying element by element.
     """
-    return F.expr(_array([slot_sql(objects, f, i, fill, clean)
-                          for f in features for i in range(cap)]))
+    return F.expr(_by_feature([f"`{objects}`.`{f}`" for f in features], cap, fill, clean))
 
 
 def list_tensor(lists: Sequence[str], cap: int, fill: float = PAD_VALUE) -> Column:
     """Flat (feature, object) tensor when every feature is an ``array<double>`` column itself."""
-    return F.expr(_array([_finite(_filled(f"get(`{a}`, {i})", fill))
-                          for a in lists for i in range(cap)]))
+    return F.expr(_by_feature([f"`{a}`" for a in lists], cap, fill, True))
+
+
+def _by_feature(lists: Sequence[str], cap: int, fill: float, clean: bool) -> str:
+    """One step over the features and slots, so that code does not grow with their number."""
+    slots = f"array({', '.join(map(str, range(cap)))})"
+    value = _filled("get(_list, _i)", fill)
+    value = _finite(value) if clean else value
+    features = _array([f"cast({x} as array<double>)" for x in lists])
+    return f"flatten(transform({features}, _list -> transform({slots}, _i -> {value})))"
 
 
 def scalar_vector(columns: Sequence[str]) -> Column:

@@ -8,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from setframe.config import DEFAULT_DATASET
 from setframe.operators import assemble, splitting
+from setframe.session import scratch_path
 from workload import fixtures as fx
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -74,3 +76,21 @@ def test_permutation_shuffles_rows_once(spark):
     wide = [line for line in plan.splitlines()
             if "Exchange hashpartitioning(_bucket" in line]
     assert len(wide) <= 3  # the rows once, plus the minima and heads of the buckets
+
+
+def test_default_layout_compiles(spark):
+    """The 238 values compile, and add nothing to the code that turns the 58 columns into rows."""
+    columns = {c: "array<double>" if coll.ragged else "double"
+               for coll in DEFAULT_DATASET.collections for c in coll.features}
+    columns |= {DEFAULT_DATASET.label: "int", DEFAULT_DATASET.weight: "double"}
+    df = spark.range(4).select(*[F.lit(None).cast(t).alias(c) for c, t in columns.items()])
+    path = scratch_path(spark, "layout")
+    df.write.parquet(path)
+    plan = assemble.dataset_inputs(spark.read.parquet(path), DEFAULT_DATASET)._jdf.queryExecution()
+    debug = getattr(spark._jvm.org.apache.spark.sql.execution, "debug")
+    stages = getattr(getattr(debug, "package$"), "MODULE$").codegenStringSeq(plan.executedPlan())
+    sizes = [stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())]
+    rows = spark.read.parquet(path)._jdf.queryExecution().executedPlan()
+    plain = getattr(getattr(debug, "package$"), "MODULE$").codegenStringSeq(rows)
+    limit = max(8000, *[plain.apply(i)._3().maxMethodCodeSize() for i in range(plain.size())])
+    assert sizes and all(0 < size <= limit for size in sizes), (sizes, limit)
