@@ -76,14 +76,9 @@ def working_points(counts: DataFrame, efficiencies: Sequence[int],
     return found.select(*group, F.expr(f"inline(array({rows}))"))
 
 
-def above_cuts(counts: DataFrame, points: DataFrame, n_points: int, group: Sequence[str] = (),
-               max_groups: int = 1) -> DataFrame:
-    """Per group and working point: rows and weights above the cut, efficiency, rejection, AUC.
-
-    Rows above a cut are a prefix of the descending score table, so the running sums of the full
-    curve are already those of the restricted one; only its totals differ. No record is read again.
-    A point with nothing above its cut is a row of zeros, its ratios NULL.
-    """
+def _with_cuts(counts: DataFrame, points: DataFrame, n_points: int, group: Sequence[str],
+               max_groups: int) -> DataFrame:
+    """Each row of the score table with the list of its group's cuts."""
     cuts = points.groupBy(*group).agg(F.collect_list(F.struct("wp", "cut")).alias("_cuts"))
     if group:
         cuts = broadcast_bounded(cuts.withColumnsRenamed({g: f"_c_{g}" for g in group}),
@@ -94,6 +89,18 @@ def above_cuts(counts: DataFrame, points: DataFrame, n_points: int, group: Seque
         listed = counts.join(cuts, condition)
     else:
         listed = counts.withColumn("_cuts", cuts.scalar())
+    return listed
+
+
+def above_cuts(counts: DataFrame, points: DataFrame, n_points: int, group: Sequence[str] = (),
+               max_groups: int = 1) -> DataFrame:
+    """Per group and working point: rows and weights above the cut, efficiency, rejection, AUC.
+
+    Rows above a cut are a prefix of the descending score table, so the running sums of the full
+    curve are already those of the restricted one; only its totals differ. No record is read again.
+    A point with nothing above its cut is a row of zeros, its ratios NULL.
+    """
+    listed = _with_cuts(counts, points, n_points, group, max_groups)
     above = listed.select("*", F.inline("_cuts")).selectExpr(
         *[f"`{g}`" for g in group], "wp", "cut", "pos_total", "neg_total", "pos_before",
         *[f"if(score > cut, {c}, cast(0 as {t})) as {c}" for c, t in (
@@ -104,3 +111,17 @@ def above_cuts(counts: DataFrame, points: DataFrame, n_points: int, group: Seque
         "try_divide(sum(pos), max(pos_total)) as efficiency",
         "try_divide(max(neg_total), sum(neg)) as rejection",
         "try_divide(sum(neg * (pos_before + pos / 2D)), sum(pos) * sum(neg)) as auc")])
+
+
+def curves_above_cuts(counts: DataFrame, points: DataFrame, n_points: int,
+                      group: Sequence[str] = (), max_groups: int = 1) -> DataFrame:
+    """Per group and working point, the curve of the rows above the cut: ``(group..., wp, threshold,
+    fpr, tpr)``. A prefix of the score table, with the totals of what passes."""
+    keys = [*group, "wp"]
+    listed = _with_cuts(counts, points, n_points, group, max_groups)
+    passing = listed.select("*", F.inline("_cuts")).where("score > cut")
+    totals = above_cuts(counts, points, n_points, group, max_groups).select(
+        *keys, F.col("w_signal").alias("pos_total"), F.col("w_background").alias("neg_total"))
+    restricted = passing.drop("pos_total", "neg_total").join(
+        broadcast_bounded(totals, max_groups * n_points), keys)
+    return roc_curve(restricted, keys)

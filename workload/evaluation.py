@@ -165,6 +165,26 @@ def slice_metrics(spark: SparkSession, d: str) -> DataFrame:
     return sliced.select(name.alias("slice"), "loss", "accuracy", "n")
 
 
+@query(with_parts("decoded", f"""
+with {GRID},
+slices as (select 'all' as slice, * from decoded
+           union all select prong::varchar || '-prong', * from decoded),
+names as (select distinct slice from slices)
+select n.slice, grid.pred, grid.truth, {r('coalesce(sum(w_mc), 0::double)')} as weight
+from names n cross join grid left join slices s
+  on s.slice = n.slice and s.pred = grid.pred and s.label = grid.truth
+group by n.slice, grid.pred, grid.truth"""))
+def confusion_by_slice(spark: SparkSession, d: str) -> DataFrame:
+    """One matrix for each prong and one for all rows; the last is summed from the others' cells."""
+    matrices = weighted_confusion(fx.decoded(spark, d), group=["prong"])
+    sliced = matrices.groupingSets(
+        [[F.col("prong"), F.col("pred"), F.col("truth")], [F.col("pred"), F.col("truth")]],
+        "prong", "pred", "truth").agg(F.sum("weight").alias("weight"))
+    name = F.when(F.col("prong").isNull(), "all").otherwise(
+        F.concat(F.col("prong").cast("string"), F.lit("-prong")))
+    return sliced.select(name.alias("slice"), "pred", "truth", rd("weight").alias("weight"))
+
+
 # ---- histograms of scores -----------------------------------------------------------------
 
 TWO_SCORES = """both_scores as (
@@ -210,6 +230,8 @@ def _curve_sql(source: str, group: str = "") -> str:
       select {keys}max(score) + 1, 0, 0 from {source} {f'group by {group}' if group else ''})"""
 
 
+# A curve without background (or signal) above its cut has no rate.
+NO_NAN = "case when isnan({0}) then null else {0} end"
 NET_ONLY = "net_only as (select net as score, is_fake, w_mc from scores)"
 
 
@@ -313,6 +335,22 @@ def wp_pass_counts(spark: SparkSession, d: str) -> DataFrame:
                          rd("w_background").alias("w_background"))
 
 
+@query(with_parts("scores", f"""
+with {TWO_SCORES}, {CUTS},
+passing as (select c.classifier || ':' || c.wp as curve, b.score, b.is_fake, b.w_mc
+            from cuts c join both_scores b on b.classifier = c.classifier and b.score > c.cut),
+{_curve_sql('passing', 'curve')}
+select curve, {r('threshold')} as threshold, {r(NO_NAN.format('fpr'))} as fpr,
+       {r(NO_NAN.format('tpr'))} as tpr from points"""))
+def wp_curves(spark: SparkSession, d: str) -> DataFrame:
+    """The curve above each working point of each classifier."""
+    counts = report.curve_counts(fx.scores(spark, d), classifiers(), is_signal(), F.col("w_mc"))
+    points = roc.working_points(counts, WORKING_POINTS, ["classifier"])
+    curves = roc.curves_above_cuts(counts, points, len(WORKING_POINTS), ["classifier"], 2)
+    name = F.concat_ws(":", "classifier", F.col("wp").cast("string"))
+    return curves.select(name.alias("curve"), *[rd(c).alias(c) for c in ("threshold", "fpr", "tpr")])
+
+
 @query(with_parts("scores", f"""
 with {TWO_SCORES}, {CUTS},
 passing as (select c.classifier, c.wp, c.cut, b.score, b.is_fake, b.w_mc,
