@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import time
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -111,12 +112,17 @@ def test_scratch_follows_the_session(spark):
     assert path != scratch_path(spark, "x")
 
 
-def test_scratch_without_a_setting():
-    class Unset:
-        class conf:  # noqa: N801
-            @staticmethod
-            def get(name, default):
-                return default
+def unset(master, folder=None):
+    context = SimpleNamespace(master=master, getCheckpointDir=lambda: folder)
+    return SimpleNamespace(conf=SimpleNamespace(get=lambda name, default: default),
+                           sparkContext=context)
+
 
+def test_scratch_without_a_setting():
+    Unset = unset("local[4]")  # noqa: N806
     first, second = scratch_path(Unset, "x"), scratch_path(Unset, "x")
     assert first != second and first.rsplit("/", 1)[0] == second.rsplit("/", 1)[0]
+    assert scratch_path(unset("local-cluster[2,1,1024]", "hdfs://x/y/"), "z").startswith("hdfs://x/y/z-")
+    for master in ("local-cluster[2,1,1024]", "spark://host:7077", "yarn"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            scratch_path(unset(master), "x")
