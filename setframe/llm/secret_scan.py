@@ -3,17 +3,22 @@
 Everything is a column expression. Matches are located by what stands between them: a text split by a
 pattern gives the gaps, and gaps and matches in turn give every position.
 
-A token of at least ``LEAST`` characters gets an encoding from its characters. Against the hypothesis
-that it is uniform over that encoding's alphabet stand three tests: chi-squared of the counts, the
-number of runs above and below the middle of the alphabet, and the serial correlation. The smallest of
-the three p-values, times three, is the token's. Tests of short tokens tell little, so tokens are judged
-among their like: within an encoding and length band, the procedure of Benjamini and Hochberg at level
+Every token of at least ``LEAST`` characters gets an encoding: the smallest alphabet that holds its
+letters and digits, with separators left out, since a uniform key is uniform over the rest as well. A
+token with too many separators for that is tested whole over base64. Against the hypothesis that the
+token is uniform over its alphabet stand four tests: chi-squared of the counts, the number of runs above
+and below the middle of the alphabet, the serial correlation, and how common its letters are in prose
+(which tells words apart where the others have little power). The smallest of the four p-values, times
+four, is the token's. Tests of short tokens tell little, so tokens are judged among their like: within an
+encoding and length band, the procedure of Benjamini and Hochberg at level
 ``RATE`` finds those that are not random, and what it does not find counts as a key. P-values enter as
 counts on a logarithmic grid, rounded up, so that any number of tokens is settled by a small table.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,17 +31,28 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}"
 TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}"
 
-#: Alphabet of an encoding, the characters that show it, and the length from which its tests tell
-#: ordinary strings apart.
 LEAST = 20
+SEPARATORS = "-_+/"
+_DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Alphabets by size, and the tokens without separators that each can hold.
 ENCODINGS = {
-    "hex": ("0123456789abcdef", r"^(?=.*[0-9])(?=.*[a-f])[0-9a-f]+$", 20),
-    "HEX": ("0123456789ABCDEF", r"^(?=.*[0-9])(?=.*[A-F])[0-9A-F]+$", 20),
-    "base32": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", r"^(?=.*[2-7])(?=.*[A-Z])[A-Z2-7]+$", 24),
-    "alnum": ("0123456789abcdefghijklmnopqrstuvwxyz", r"^(?=.*[0-9])(?=.*[a-z])[0-9a-z]+$", 28),
-    "base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
-               r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/_-]+$", 24),
+    "decimal": (_DIGITS, "^[0-9]+$"),
+    "hex": (_DIGITS + "abcdef", "^[0-9a-f]+$"),
+    "HEX": (_DIGITS + "ABCDEF", "^[0-9A-F]+$"),
+    "lower": (_LOWER, "^[a-z]+$"),
+    "UPPER": (_UPPER, "^[A-Z]+$"),
+    "base32": (_UPPER + "234567", "^[A-Z2-7]+$"),
+    "alnum": (_DIGITS + _LOWER, "^[0-9a-z]+$"),
+    "ALNUM": (_DIGITS + _UPPER, "^[0-9A-Z]+$"),
+    "letters": (_UPPER + _LOWER, "^[A-Za-z]+$"),
+    "base62": (_UPPER + _LOWER + _DIGITS, "^[A-Za-z0-9]+$"),
+    "base64": (_UPPER + _LOWER + _DIGITS + "+/", ""),  # tested whole
 }
+#: Rounded shares of letters in English prose, per thousand; digits and signs count as ``RARE``.
+SHARES = dict(zip("etaoinshrdlcumwfgypbvkjxqz",
+                  (127, 91, 82, 75, 70, 67, 63, 61, 60, 43, 40, 28, 28, 24, 24, 22, 20, 20, 19, 15, 10, 8,
+                   1.5, 1.5, 1, 0.7), strict=True))
+RARE = 3
 RATE = 0.05
 STEPS = 20  # grid steps to a factor of ten
 MOST_LEVEL = 400
@@ -87,16 +103,30 @@ def _upper_tail(z: str) -> str:
     return f"(case when {z} >= 0 then {tail} else 1 - {tail} end)"
 
 
+def _scores(letters: str) -> str:
+    """SQL of the standardised logarithms of the shares in prose of an alphabet's letters."""
+    logs = [math.log(SHARES.get(c.lower(), RARE)) for c in letters]
+    mean = sum(logs) / len(logs)
+    spread = math.sqrt(sum((x - mean) ** 2 for x in logs) / len(logs))
+    return "array(" + ", ".join(f"{(x - mean) / spread:.6f}D" for x in logs) + ")"
+
+
 def _tokens() -> str:
     """Tokens of ``t`` with their encoding, alphabet and values."""
     encoding = "case " + " ".join(
-        f"when length(s.token) >= {least} and s.token rlike {_quoted(shape)} then '{name}'"
-        for name, (_, shape, least) in ENCODINGS.items()) + " end"
+        f"when s.joined rlike {_quoted(shape)} then '{name}'"
+        for name, (_, shape) in ENCODINGS.items() if shape) + " end"
     alphabet = "case " + " ".join(f"when x.encoding = '{name}' then '{letters}'"
-                                  for name, (letters, _, _) in ENCODINGS.items()) + " end"
-    value = "instr(x.alphabet, translate(substr(x.token, i, 1), '_-', '/+')) - 1"
-    named = f"""filter(transform({_located(TOKEN, 0)}, s -> named_struct('start', s.start,
-        'stop', s.stop, 'token', s.token, 'encoding', {encoding})), s -> s.encoding is not null)"""
+                                  for name, (letters, _) in ENCODINGS.items()) + " end"
+    value = "instr(x.alphabet, substr(x.token, i, 1)) - 1"
+    joined = f"""transform({_located(TOKEN, 0)}, s -> named_struct('start', s.start,
+        'stop', s.stop, 'token', translate(s.token, '_-', '/+'),
+        'joined', translate(s.token, '{SEPARATORS}', '')))"""
+    named = f"""transform({joined}, s ->
+        case when length(s.joined) * 4 >= length(s.token) * 3 then named_struct('start', s.start,
+          'stop', s.stop, 'token', s.joined, 'encoding', {encoding})
+        else named_struct('start', s.start, 'stop', s.stop, 'token', s.token,
+          'encoding', 'base64') end)"""
     lettered = f"""transform({named}, x -> named_struct('start', x.start, 'stop', x.stop,
         'token', x.token, 'encoding', x.encoding, 'alphabet', {alphabet}))"""
     return f"""transform({lettered}, x -> named_struct('start', x.start, 'stop', x.stop,
@@ -112,9 +142,14 @@ def _counted() -> str:
     high = "size(filter(x.v, y -> y * 2 >= x.k))"
     runs = """1 + size(filter(sequence(1, x.n - 1), i ->
         (x.v[i] * 2 >= x.k) <> (x.v[i - 1] * 2 >= x.k)))"""
+    # Alphabets of digits and a few letters write no words.
+    common = "case " + " ".join(
+        f"when x.encoding = '{name}' then aggregate(x.v, cast(0 as double), (a, y) -> "
+        f"a + {_scores(letters)}[y])" for name, (letters, _) in ENCODINGS.items()
+        if name not in ("decimal", "hex", "HEX")) + " else 0D end"
     return f"""transform({_tokens()}, x -> named_struct('start', x.start, 'stop', x.stop,
         'encoding', x.encoding, 'k', x.k, 'n', x.n, 'v', x.v, 'squares', {squares},
-        'mean', {total} / x.n, 'high', {high}, 'runs', {runs}))"""
+        'mean', {total} / x.n, 'high', {high}, 'runs', {runs}, 'common', {common}))"""
 
 
 def _tested() -> str:
@@ -129,14 +164,15 @@ def _tested() -> str:
     serial = f"""case when {spread} = 0 then 9.0 else
         ({products} / {spread} + 1.0 / (x.n - 1)) * sqrt(x.n) end"""
     return f"""transform({_counted()}, x -> named_struct('start', x.start, 'stop', x.stop,
-        'encoding', x.encoding, 'n', x.n, 'chi', {chi}, 'runs', {runs}, 'serial', {serial}))"""
+        'encoding', x.encoding, 'n', x.n, 'chi', {chi}, 'runs', {runs}, 'serial', {serial},
+        'common', x.common / sqrt(x.n)))"""
 
 
 def tested_tokens() -> Column:
     """Tokens of column ``t`` as ``array<struct<start, stop, stratum, level>>``: the stratum names
     encoding and length band, the level is the p-value's place on the grid (0: at least 1)."""
-    p = f"""3 * least({_upper_tail('x.chi')}, 2 * {_upper_tail('abs(x.runs)')},
-                      2 * {_upper_tail('abs(x.serial)')})"""
+    p = f"""4 * least({_upper_tail('x.chi')}, 2 * {_upper_tail('abs(x.runs)')},
+                      2 * {_upper_tail('abs(x.serial)')}, {_upper_tail('x.common')})"""
     level = f"""cast(least({MOST_LEVEL}, greatest(0, floor(-{STEPS} * log10(greatest({p}, 1e-30)))))
                      as int)"""
     stratum = "concat(x.encoding, ':', cast(floor(log2(x.n)) as int))"

@@ -64,3 +64,34 @@ def test_random_keys_are_added_and_periodic_strings_are_not(found):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert secret_scan.secrets(docs).collect() == []
+
+
+def test_every_class_of_key_is_tested(spark):
+    rng = random.Random(9)
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    made = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    classes = {
+        "upper with digits": lambda: "0189" + made(upper + digits, 36),
+        "upper with digits, short": lambda: "8" + made(upper + digits, 19),
+        "uuid": lambda: "-".join(made(digits + "abcdef", n) for n in (8, 4, 4, 4, 12)),
+        "sk_live": lambda: "sk_live_" + made(lower + digits, 32),
+        "lower with digits, short": lambda: "z7" + made(lower + digits, 18),
+        "mixed, short": lambda: "zQ7" + made(lower + upper + digits, 17),
+        "lower only": lambda: "z" + made(lower, 31),
+        "upper only": lambda: "Z" + made(upper, 23),
+        "letters only": lambda: "zQ" + made(lower + upper, 22),
+        "digits only": lambda: made(digits, 22),
+        "base64 with separators": lambda: "x+/9Q_" + made(lower + upper + digits + "-_", 30),
+    }
+    keys = [(name, make()) for name, make in classes.items() for _ in range(30)]
+    words = ["internationalization_of_responses", "-" * 40, "usr/share/documentation/resources",
+             "THE_RESTRICTION_OF_ATTENTION_IS_HERE", "heterogeneousDistributionOfStatements",
+             "a-b-a-b-a-b-a-b-a-b-a-b-a-b", "0000000000000000000000"]
+    texts = [f"see {key} there" for _, key in keys] + [f"see {w} there" for w in words]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r.spans for r in secret_scan.secrets(docs).collect()}
+    for name in classes:
+        mine = [i for i, (n, _) in enumerate(keys) if n == name]
+        hit = [i for i in mine if rows[i] == f"random:4:{4 + len(keys[i][1])}"]
+        assert len(hit) >= 0.8 * len(mine), (name, len(hit))
+    assert [w for i, w in enumerate(words, len(keys)) if rows[i]] == []
