@@ -1,8 +1,8 @@
 """Personal data: fixed patterns, and a semi-Markov conditional random field for what they miss.
 
 The patterns give the base spans, which always stay. The field looks at islands, the runs of tokens
-that hold a digit, an ``@`` or a spelt-out one. An island is cut into atoms (letters, digits, single
-signs); every segment of at most ``MAX_ATOMS`` atoms is a candidate for each kind it could be, scored
+that hold a digit, an ``@`` or a spelt-out one, with the words that such a sign or a spelt-out dot joins
+to them (``bob (at) example (dot) com``). An island is cut into atoms (letters, digits, single signs); every segment of at most ``MAX_ATOMS`` atoms is a candidate for each kind it could be, scored
 by features of the whole span (check sum, octets, groups, what stands around it). Dynamic programming
 over the atoms chooses boundaries and kinds together. Its spans that touch no base span are added.
 
@@ -85,12 +85,17 @@ def base_spans(text: str) -> list[Span]:
 _MARK = re.compile(r"[0-9@]|[(\[{]at[)\]}]", re.IGNORECASE)
 _ATOM = re.compile(r"[(\[{](?:at|dot)[)\]}]|[A-Za-z]+|[0-9]+|.", re.IGNORECASE | re.DOTALL)
 _AT = re.compile(r"@|[(\[{]at[)\]}]", re.IGNORECASE)
-_SPELT_DOT = re.compile(r"[(\[{]dot[)\]}]", re.IGNORECASE)
+_SPACED_AT = re.compile(r" ?(?:@|[(\[{]at[)\]}]) ?", re.IGNORECASE)
+_SPACED_DOT = re.compile(r" ?[(\[{]dot[)\]}] ?| \. ", re.IGNORECASE)
+_GOES_ON = re.compile(r"(?:-+|\.| ?[(\[{]dot[)\]}] ?| \. )[A-Za-z0-9]", re.IGNORECASE)
+_JOINS_NEXT = re.compile(r"(?:@|[(\[{](?:at|dot)[)\]}]|(?:^|\s)\.)$", re.IGNORECASE)
+_JOINS_LAST = re.compile(r"@|[(\[{](?:at|dot)[)\]}]|\.(?=\s|$)", re.IGNORECASE)
 _ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _GROUPS = re.compile(r"[0-9]+")
 _CONTEXT = tuple(re.compile(p, re.IGNORECASE) for p in (
-    r"\b(?:e-?mail|contact|write)\W*$", r"\b(?:ip|host|server|address)\W*$",
-    r"\b(?:card|visa|credit|account)\W*$", r"\b(?:tel|phone|call|fax|mobile)\W*$"))
+    r"\b(?:e-?mail|contact|write)$", r"\b(?:ip|host|server|address)$",
+    r"\b(?:card|visa|credit|account)$", r"\b(?:tel|phone|call|fax|mobile)$"))
+_LONGEST_CONTEXT = 7
 
 # Prior means of the weights. Columns: constant, clean edges, word before, and the
 # span's own features in the order of ``_features``.
@@ -100,7 +105,7 @@ PRIOR = np.array([[-6.0, 1.0, 2.0, 2.0, 2.0, 1.0, 2.0],
                   [-6.5, 2.0, 3.0, 3.0, 1.0, 2.0, 1.0]])
 
 
-def islands(text: str) -> Iterator[tuple[int, int]]:
+def _runs(text: str) -> Iterator[tuple[int, int]]:
     """Runs of marked tokens with one blank between them."""
     start = stop = -1
     for mark in _MARK.finditer(text):
@@ -122,12 +127,60 @@ def islands(text: str) -> Iterator[tuple[int, int]]:
         yield start, stop
 
 
+def _reach_right(text: str, stop: int) -> int:
+    """Past the following tokens, one blank apart, that an at-sign or dot joins to what ends here."""
+    while stop + 1 < len(text) and text[stop] == " " and not text[stop + 1].isspace():
+        if not (_JOINS_NEXT.search(text[max(0, stop - 5):stop]) or _JOINS_LAST.match(text, stop + 1)):
+            break
+        stop += 1
+        while stop < len(text) and not text[stop].isspace():
+            stop += 1
+    return stop
+
+
+def _reach_left(text: str, start: int, low: int) -> int:
+    """The same to the left, down to ``low``."""
+    while start - 1 > low and text[start - 1] == " " and not text[start - 2].isspace():
+        if not (_JOINS_LAST.match(text, start)
+                or _JOINS_NEXT.search(text[max(low, start - 6):start - 1])):
+            break
+        start -= 1
+        while start > low and not text[start - 1].isspace():
+            start -= 1
+    return start
+
+
+def islands(text: str) -> Iterator[tuple[int, int]]:
+    """Runs of marked tokens, with the unmarked tokens that signs join to them."""
+    start = stop = -1
+    for left, right in _runs(text):
+        if right <= stop:
+            continue
+        left, right = _reach_left(text, left, max(stop, 0)), _reach_right(text, right)
+        if stop >= 0 and (left <= stop or (left - stop == 1 and text[stop] == " ")):
+            stop = right
+            continue
+        if stop >= 0:
+            yield start, stop
+        start, stop = left, right
+    if stop >= 0:
+        yield start, stop
+
+
+def _context(text: str, at: int) -> tuple[bool, ...]:
+    """For each kind, whether the last word before a position announces it."""
+    while at > 0 and not (text[at - 1].isalnum() or text[at - 1] == "_"):
+        at -= 1
+    before = text[max(0, at - _LONGEST_CONTEXT - 1):at]
+    return tuple(bool(p.search(before)) for p in _CONTEXT)
+
+
 def _features(kind: int, span: str, digits: int) -> tuple[float, ...] | None:
     """Features of the whole span, or None where it cannot be of the kind."""
     if kind == 0:
         if len(_AT.findall(span)) != 1:
             return None
-        plain = _SPELT_DOT.sub(".", _AT.sub("@", span)).replace(" ", "")
+        plain = _SPACED_DOT.sub(".", _SPACED_AT.sub("@", span))
         if not _ADDRESS.fullmatch(plain):
             return None
         local, domain = plain.split("@")
@@ -165,9 +218,8 @@ def candidates(text: str, start: int, stop: int):
     signs = [0]
     for a, b in zip(edges, edges[1:], strict=False):
         signs.append(signs[-1] + bool(_AT.fullmatch(text, a, b)))
-    before = text[max(0, start - 24):start]
-    words = [bool(p.search(before)) for p in _CONTEXT]
     for i in range(len(edges) - 1):
+        words = None
         for j in range(i + 1, min(len(edges), i + MAX_ATOMS + 1)):
             a, b = edges[i], edges[j]
             digits = counts[j] - counts[i]
@@ -178,10 +230,13 @@ def candidates(text: str, start: int, stop: int):
                 continue
             span = text[a:b]
             clean = not ((a and text[a - 1].isalnum()) or (b < len(text) and text[b].isalnum()))
+            if addressed:
+                clean = clean and not _GOES_ON.match(text, b)
             for kind in (0,) if addressed else (1, 2, 3):
                 own = _features(kind, span, digits)
                 if own is not None:
-                    found.append((i, j, kind, (1.0, float(clean), float(i == 0 and words[kind]), *own)))
+                    words = words or _context(text, a)
+                    found.append((i, j, kind, (1.0, float(clean), float(words[kind]), *own)))
     return edges, found
 
 
@@ -233,12 +288,17 @@ def _expected(edges: list[int], found: list, weights: np.ndarray) -> np.ndarray:
 
 
 def fit(sample: list[str], epochs: int = 15, rate: float = 0.5, strength: float = 0.02) -> np.ndarray:
-    """Weights from the base spans of some texts; without islands, the prior's."""
+    """Weights from the base spans of some texts; without islands, the prior's.
+
+    Spelt-out and spaced addresses, of which the patterns say nothing, are left out.
+    """
     cases = []
     for text in sample:
         truth = set(base_spans(text))
         for start, stop in islands(text):
             edges, found = candidates(text, start, stop)
+            found = [f for f in found
+                     if f[2] or _ADDRESS.fullmatch(text, edges[f[0]], edges[f[1]])]
             if found:
                 target = np.array([(edges[i], kind, edges[j]) in truth for i, j, kind, _ in found],
                                   float)

@@ -278,3 +278,47 @@ def test_field_adds_what_patterns_miss(docs):
     empty = hashlib.sha256(b"").hexdigest()
     assert len(rows) == len(EDGES) and all(r.base_sha256 == empty and r.spans == "" for r in rows)
     assert pii.personal_data(docs.limit(0), pii.learned_from(docs.limit(0))).collect() == []
+
+
+def test_field_finds_spaced_and_spelt_out_addresses(spark):
+    sample = ["write to a.b@c.de or +1 (244) 555-4688 or 10.0.0.1", "x", "you (at) home (dot) org"] * 5
+    weights = pii.fit(sample)
+    addresses = ["bob (at) example (dot) com", "bob @ example.com", "bob.s [AT] mail {dot} example.com",
+                 "bob @ example . com", "bob (dot) s (at) example (dot) com", "bob @example.com",
+                 "bob(at)example (dot) com", "bob7 (at) 3com (dot) com", "bob@ example.com"]
+    texts = [f"{before}{a}{after}" for a in addresses
+             for before in ("", "ask our ", "in 2024 ", "Hi.\n", "mr. ") for after in ("", " today", ". Yes", " 17")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r.spans for r in pii.personal_data(docs, weights).collect()}
+    for i, text in enumerate(texts):
+        address = next(a for a in sorted(addresses, key=len, reverse=True) if a in text)
+        at = text.index(address)
+        assert rows[i] == f"email:{at}:{at + len(address)}", text
+
+
+def test_context_counts_before_every_candidate():
+    features = {}
+    for text in ("2024 phone 5554688", "2024 phone " + "." * 40 + " 5554688", "2024 other 5554688"):
+        (start, stop), = [i for i in pii.islands(text) if text[i[0]:i[1]].endswith("5554688")]
+        edges, found = pii.candidates(text, start, stop)
+        features[text] = [f[2] for i, j, kind, f in found
+                          if kind == 3 and text[edges[i]:edges[j]] == "5554688"]
+    assert list(features.values()) == [[1.0], [1.0], [0.0]]
+    text = "12-34 @phone 5554688"
+    (start, stop), = pii.islands(text)
+    edges, found = pii.candidates(text, start, stop)
+    assert [f[2] for i, j, kind, f in found if kind == 3 and text[edges[i]:edges[j]] == "5554688"] == [1.0]
+
+
+def test_islands_are_ordered_runs_of_whole_tokens():
+    rng = random.Random(8)
+    parts = ["bob", "(at)", "@", "(dot)", ".", "x.", "7", "+1", " ", " ", " ", "  ", "\n", "[dot]"]
+    for _ in range(4000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 20)))
+        spans = list(pii.islands(text))
+        assert all(a[1] < b[0] for a, b in zip(spans, spans[1:], strict=False)), text
+        for start, stop in spans:
+            assert start == 0 or text[start - 1].isspace()
+            assert stop == len(text) or text[stop].isspace()
+        covered = {k for start, stop in spans for k in range(start, stop)}
+        assert covered >= {k for k, c in enumerate(text) if c in "@17"}, text
