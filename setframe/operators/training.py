@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -11,6 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from setframe.operators.scoring import row_loss
 from setframe.operators.stats import class_counts, class_weights
 from setframe.session import broadcast_if_small
 
@@ -48,6 +50,37 @@ def predict(model: PipelineModel, df: DataFrame, name: str = "scores") -> DataFr
     return scored.select(*df.columns, name)
 
 
+def against_class_shares(scored: DataFrame, scores: Column, label: str, pred: Column, weight: str,
+                         group: str, train: str) -> DataFrame:
+    """Per group, weighted loss and accuracy of a fit, and those of a model that knows only the weighted
+    class shares of the group ``train``: ``prior_loss`` and ``majority_share``.
+
+    ``beats_shares`` asks for a lower loss and a higher accuracy, both by more than rounding. A class
+    that ``train`` lacks makes ``prior_loss`` infinite.
+    """
+    classes = scored.where(F.col(label).isNotNull()).groupBy(group, label).agg(
+        F.sum(weight).alias("w"), F.sum(F.col(weight) * row_loss(scores, F.col(label))).alias("loss"),
+        F.sum(F.when(pred == F.col(label), F.col(weight)).otherwise(0.0)).alias("right"))
+    # One row for each class; the shares are one small map.
+    known = classes.where(F.col(group) == train).agg(
+        F.map_from_entries(F.collect_list(F.struct(label, "w")))).first()[0]
+    total = sum(known.values())
+    largest = max(known, key=lambda c: (known[c], -c), default=None)
+    share_loss = F.lit(float("inf"))
+    for c, w in known.items():
+        share_loss = F.when(F.col(label) == c, -math.log(w / total) if w else float("inf")).otherwise(
+            share_loss)
+    table = classes.groupBy(group).agg(
+        (F.sum("loss") / F.sum("w")).alias("weighted_loss"),
+        (F.sum("right") / F.sum("w")).alias("weighted_accuracy"),
+        (F.sum(F.col("w") * share_loss) / F.sum("w")).alias("prior_loss"),
+        (F.sum(F.when(F.col(label) == largest, F.col("w")).otherwise(0.0))
+         / F.sum("w")).alias("majority_share"))
+    return table.withColumn("beats_shares",
+                            (F.col("weighted_loss") < F.col("prior_loss") - 1e-9)
+                            & (F.col("weighted_accuracy") > F.col("majority_share") + 1e-9))
+
+
 def best_epoch(history: DataFrame, run: str = "run", epoch: str = "epoch",
                loss: str = "val_loss", carry: Sequence[str] = ("val_acc",)) -> DataFrame:
     """Per run, the epoch with the lowest validation loss; the earliest wins a tie."""

@@ -1,0 +1,46 @@
+"""What ``train_classifier`` says of its fit."""
+
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+from setframe.operators import training
+from workload import modelling
+
+SF_DIR = "/root/testdata/sf0.001"
+
+
+def test_a_fit_of_class_shares_alone_is_not_above_chance(spark, monkeypatch):
+    def shares(model, df, name="scores"):
+        of = {r.label: r.n for r in df.where("split = 'train'").groupBy("label").agg(
+            F.count("*").alias("n")).collect()}
+        return df.withColumn(name, F.array(*[F.lit(of[c] / sum(of.values())) for c in range(6)]))
+
+    monkeypatch.setattr(training, "predict", shares)
+    rows = modelling.train_classifier(spark, SF_DIR).collect()
+    assert [r.fit_beats_chance for r in rows] == [False] * 3
+
+
+def test_every_split_has_its_figures(spark):
+    rows = {r.split: r for r in modelling.training_metrics(spark, SF_DIR).collect()}
+    assert set(rows) == {"train", "val", "test"}
+    assert rows["train"].beats_shares
+    for r in rows.values():
+        assert r.loss > 0 and 0 <= r.accuracy <= 1 and r.n > 0
+        assert r.beats_shares == (r.weighted_loss < r.prior_loss
+                                  and r.weighted_accuracy > r.majority_share)
+
+
+def test_shares_are_those_of_the_training_weights(spark):
+    rows = [("train", 0, 3.0, [0.5, 0.5]), ("train", 1, 1.0, [0.5, 0.5]), ("train", None, 9.0, [0.5, 0.5]),
+            ("test", 1, 2.0, [0.1, 0.9]), ("test", 0, 2.0, [0.6, 0.4])]
+    scored = spark.createDataFrame(rows, "split string, label int, w double, scores array<double>")
+    got = {r.split: r for r in training.against_class_shares(
+        scored, F.col("scores"), "label", F.expr("if(scores[0] >= scores[1], 0, 1)"), "w", "split",
+        "train").collect()}
+    assert got["train"].prior_loss == pytest.approx(0.5623351446)
+    assert got["train"].majority_share == 0.75 and not got["train"].beats_shares
+    assert got["test"].prior_loss == pytest.approx(0.8369882168)
+    assert got["test"].weighted_loss == pytest.approx(0.3080930697)
+    assert got["test"].majority_share == 0.5 and got["test"].beats_shares
