@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from setframe.llm import (bpe, embedding_join, exact_dedup, minhash_forest, mixing,
+from setframe.llm import (bpe, divergence, embedding_join, exact_dedup, minhash_forest, mixing,
                            packing, pii, quality, secret_scan, toxicity)
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -140,3 +140,53 @@ def op5_pack_tokens(spark: SparkSession, d: str) -> DataFrame:
     tokenizer = packing.LibraryTokenizer(spark, public_tokenizers.path(TOKENIZER),
                                          public_tokenizers.PATTERN)
     return packing.described(packing.pack(documents(spark, d), tokenizer))
+
+
+@query
+def op13_source_divergence(spark: SparkSession, d: str) -> DataFrame:
+    return divergence.divergence(documents(spark, d))
+
+
+_P = "1 + ({scale}::hugeint * ({count} + 2)) // ({total} + 2 * kept)"
+_GAP = "(p::hugeint - q) * (p - q) // (p::hugeint + q)"
+
+
+def _divergence_sql(min_docs: int, top: int, scale: int) -> str:
+    """Every group with every kept term, as the definition has it."""
+    def share(count: str, total: str) -> str:
+        return _P.format(scale=scale, count=count, total=total)
+
+    return f"""with docs as (select coalesce(lang, '') as lang, coalesce(source, '') as source,
+            regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as words,
+            row_number() over () as row_no from documents),
+        found as (select row_no, lang, source, unnest(words) as word from docs),
+        words as (select row_no, lang, source, translate(word, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz') as term from found),
+        kept_terms as (select lang, term, count(*) as lang_n from words group by all
+            having count(distinct row_no) >= {min_docs}),
+        counts as (select lang, source, term, count(*) as n from words group by all),
+        groups as (select distinct lang, source from docs),
+        langs as (select lang, count(*) as kept, sum(lang_n) as lang_total from kept_terms group by lang),
+        full_counts as (select g.lang, g.source, k.term, coalesce(c.n, 0) as n, k.lang_n,
+            l.kept, l.lang_total, sum(coalesce(c.n, 0)) over (partition by g.lang, g.source) as total
+            from groups g join kept_terms k using (lang) join langs l using (lang)
+            left join counts c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+        shares as (select lang, source, term, n, {share('n', 'total')} as p,
+            {share('lang_n', 'lang_total')} as lang_p from full_counts),
+        gaps as (select a.lang, a.source, b.source as item, a.p, b.p as q from shares a
+            join shares b on a.lang = b.lang and a.term = b.term and a.source <> b.source),
+        summed as (select lang, source, item, sum({_GAP}) as value from gaps group by all),
+        pairs as (select a.lang, a.source, 'pair' as part, b.source as item,
+            coalesce(s.value, 0)::bigint as value
+            from groups a join groups b on a.lang = b.lang and a.source <> b.source
+            left join summed s on s.lang = a.lang and s.source = a.source and s.item = b.source),
+        set_off as (select lang, source, 'term' as part, term as item, ({_GAP})::bigint as value
+            from (select lang, source, term, n, p, lang_p as q from shares) t where n > 0 and p > q),
+        ranked as (select *, row_number() over (partition by lang, source, part
+            order by value desc, item)::int as rank
+            from (select * from pairs union all select * from set_off) t)
+        select * from ranked where part = 'pair' or rank <= {top}"""
+
+
+SQL["op13_source_divergence"] = _divergence_sql(divergence.MIN_DOCS, divergence.TOP_TERMS,
+                                                divergence.SCALE)
