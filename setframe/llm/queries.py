@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from setframe.llm import (bpe, divergence, embedding_join, exact_dedup, minhash_forest, mixing,
-                           packing, pii, quality, secret_scan, toxicity)
+                           neighbours, packing, pii, quality, secret_scan, toxicity, vector_codes)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -190,3 +190,55 @@ def _divergence_sql(min_docs: int, top: int, scale: int) -> str:
 
 SQL["op13_source_divergence"] = _divergence_sql(divergence.MIN_DOCS, divergence.TOP_TERMS,
                                                 divergence.SCALE)
+
+
+def embeddings(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/embeddings.parquet")
+
+
+@query
+def op12_vector_codes(spark: SparkSession, d: str) -> DataFrame:
+    return vector_codes.vector_codes(embeddings(spark, d))
+
+
+def _vector_codes_sql(parts: int, entries: int, rounds: int, scale: int) -> str:
+    """Complete scans in every round."""
+    steps = [f"""vectors as (select vec_id, label, list_transform(embedding,
+            lambda x: floor({scale}::double * x)::bigint) as v from embeddings
+            where embedding is not null and len(embedding) > 0
+            and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)""",
+             f"""cut as (select vec_id, label, part, list_slice(v, part * (len(v) // {parts}) + 1,
+            (part + 1) * (len(v) // {parts})) as x
+            from vectors, (select unnest(range({parts})) as part) t)""",
+             f"""seeds as (select vec_id, row_number() over (order by vec_id) - 1 as entry
+            from vectors order by vec_id limit {entries})""",
+             "book0 as (select part, entry, x as c from cut join seeds using (vec_id))"]
+    for n in range(rounds + 1):
+        steps.append(f"""near{n} as (select vec_id, label, part, any_value(x) as x, min(struct_pack(
+            d := list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))),
+            e := entry)) as best from cut join book{n} using (part) group by vec_id, label, part)""")
+        if n < rounds:
+            steps.append(f"""means{n} as (select part, best.e as entry, pos,
+                (sum(value) - ((sum(value) % count(*)) + count(*)) % count(*)) // count(*) as c
+                from (select part, best, unnest(x) as value, unnest(range(len(x))) as pos from near{n}) t
+                group by part, best.e, pos)""")
+            steps.append(f"""lists{n} as (select part, entry, list(c::bigint order by pos) as c
+                from means{n} group by part, entry)""")
+            steps.append(f"""book{n + 1} as (select b.part, b.entry, coalesce(l.c, b.c) as c
+                from book{n} b left join lists{n} l on b.part = l.part and b.entry = l.entry)""")
+    steps.append(f"""coded as (select vec_id, label, string_agg(printf('%02x', best.e::int), ''
+        order by part) as code, sum(best.d)::bigint as error from near{rounds} group by vec_id, label)""")
+    steps.append(f"""digest as (select sha256(string_agg(array_to_string(c, ','), ','
+        order by part, entry)) as codebooks_sha256 from book{rounds})""")
+    return "with " + ", ".join(steps).replace(" as (", " as materialized (") + """
+        select vec_id, code, error, sum(error) over (partition by label)::bigint as label_error,
+            codebooks_sha256 from coded, digest"""
+
+
+SQL["op12_vector_codes"] = _vector_codes_sql(vector_codes.PARTS, vector_codes.ENTRIES,
+                                             vector_codes.ROUNDS, vector_codes.SCALE)
+
+
+@query
+def op11_nearest_vectors(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.nearest_vectors(embeddings(spark, d))
