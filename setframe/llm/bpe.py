@@ -37,7 +37,8 @@ from setframe.session import ship_package
 LEAF_BYTES = 8
 SHORT_BYTES = 16
 NO_RANK = 1 << 62
-REMEMBERED = 600_000
+#: Entries that each of the four tables of a worker remembers: some 30 MB in all.
+REMEMBERED = 1 << 16
 REMEMBERED_CHARS = 64
 _BLOCK_IDS = 1 << 16
 # A space that does not start a piece: before white space or at the end.
@@ -54,7 +55,34 @@ def pack_ids(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-class _Words(dict):
+class _Recent(dict):
+    """A table of at most ``REMEMBERED`` entries. When half of them are new, all older ones go; what
+    is looked up again in time is new again. A missing key is computed by ``made``."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self._older: dict = {}
+
+    def __missing__(self, key):
+        value = self._older.get(key)
+        if value is None:
+            value = self.made(key)
+            if not self.worth(key):
+                return value
+        if len(self) >= REMEMBERED // 2:
+            self._older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+    def made(self, key):
+        raise NotImplementedError
+
+    def worth(self, key) -> bool:
+        return True
+
+
+class _Words(_Recent):
     """Packed ids by word; words not seen before are encoded when looked up.
 
     A word of ASCII letters is one piece, and a full stop or comma after it another.
@@ -64,19 +92,39 @@ class _Words(dict):
         super().__init__()
         self.codec, self.lead = codec, lead
 
-    def __missing__(self, word: str) -> bytes:
+    def worth(self, word: str) -> bool:
+        return len(word) <= REMEMBERED_CHARS
+
+    def made(self, word: str) -> bytes:
         stem = word[:-1]
         if word.isalpha() and word.isascii():
-            packed = pack_ids(self.codec.encode_piece((self.lead + word).encode()))
-        elif stem.isalpha() and word.isascii() and word[-1] in ".,":
-            packed = self[stem] + self.codec.pack(word[-1])
-        else:
-            packed = self.codec.pack(self.lead + word)
-        if len(word) <= REMEMBERED_CHARS:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[word] = packed
-        return packed
+            return pack_ids(self.codec.encode_piece((self.lead + word).encode()))
+        if stem.isalpha() and word.isascii() and word[-1] in ".,":
+            return self[stem] + self.codec.pack(word[-1])
+        return self.codec.pack(self.lead + word)
+
+
+class _Short(_Recent):
+    """The encoding of short strings: leaves and windows recur all the time."""
+
+    def __init__(self, codec: BytePairCodec) -> None:
+        super().__init__()
+        self.codec = codec
+
+    def made(self, data: bytes) -> list[int]:
+        return self.codec.merge(data)
+
+
+class _Adjoining(_Recent):
+    """Whether two tokens may stand side by side."""
+
+    def __init__(self, codec: BytePairCodec) -> None:
+        super().__init__()
+        self.codec = codec
+
+    def made(self, pair: tuple[int, int]) -> bool:
+        a, b = pair
+        return self.codec.merge(self.codec.token[a] + self.codec.token[b]) == [a, b]
 
 
 class BytePairCodec:
@@ -86,8 +134,7 @@ class BytePairCodec:
         self.ranks = ranks
         self.token = {rank: token for token, rank in ranks.items()}
         self.pattern = regex.compile(pattern)
-        self._short: dict[bytes, list[int]] = {}
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._short, self._pairs = _Short(self), _Adjoining(self)
         self._first, self._later = _Words(self, ""), _Words(self, " ")
 
     # ---- one piece ----------------------------------------------------------------------
@@ -118,23 +165,11 @@ class BytePairCodec:
             j = j if right_holds else min(len(right), 2 * j)
 
     def _may_adjoin(self, a: int, b: int) -> bool:
-        known = self._pairs.get((a, b))
-        if known is None:
-            if len(self._pairs) >= REMEMBERED:
-                self._pairs.clear()
-            known = self._pairs[a, b] = self.merge(self.token[a] + self.token[b]) == [a, b]
-        return known
+        return self._pairs[a, b]
 
     def _merged(self, data: bytes) -> list[int]:
-        """``merge``, remembering short strings: leaves and windows recur all the time."""
-        ids = self._short.get(data)
-        if ids is None:
-            ids = self.merge(data)
-            if len(data) <= SHORT_BYTES:
-                if len(self._short) >= REMEMBERED:
-                    self._short.clear()
-                self._short[data] = ids
-        return ids
+        """``merge``, remembering short strings."""
+        return self._short[data] if len(data) <= SHORT_BYTES else self.merge(data)
 
     def merge(self, data: bytes) -> list[int]:
         """Plain BPE: merge the pair of lowest rank, the leftmost of equals, while there is one."""
