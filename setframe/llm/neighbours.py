@@ -11,7 +11,8 @@ share of their true neighbours.
 
 *Join.* Leaves next to each other in the tree form cells of bounded size; a leaf of more rows is dealt
 over several. Queries that visit any leaf of a cell meet its rows there in tiles (``TILE`` rows by
-``TILE`` queries), a matrix product each; a tile gives the best of every query.
+``TILE`` queries), a matrix product each; a tile gives the best of every query that reach what the query
+has found before.
 
 Equal vectors are one representative with its smallest ids, which are all that can be among the nearest,
 so a vector that a third of the rows share is indexed once and searched once.
@@ -40,6 +41,8 @@ BRANCHES, LEAF_ROWS, MAX_LEAVES = 16, 256, 4096
 CALIBRATION_QUERIES, RECALL = 256, 0.95
 #: Rows and queries of one tile, and queries that are scored at a time.
 TILE, STRIP = 2048, 256
+#: Leaves of the first wave of visits, and how much further each wave goes.
+FIRST_VISITS, WIDER = 4, 4
 _ITERATIONS = 8
 #: Scores this close to the last one kept are computed again, in one fixed order of summation.
 _SLACK = 1e-9
@@ -257,7 +260,7 @@ def _tile(keep: int):
             return pa.table({"query": queries["rep"].slice(0, 0), "ids": rows["ids"].slice(0, 0),
                              "score": pa.array([], pa.float64())})
         x, q = _matrix(rows["v"].combine_chunks()), _matrix(queries["v"].combine_chunks())
-        leaf = rows["leaf"].to_numpy()
+        leaf, bound = rows["leaf"].to_numpy(), queries["bound"].to_numpy()
         lists = queries["leaves"].combine_chunks()
         wanted = np.zeros((len(q), int(leaf.max()) + 1), bool)
         which = np.repeat(np.arange(len(q)), np.diff(lists.offsets.to_numpy()))
@@ -268,10 +271,13 @@ def _tile(keep: int):
         for start in range(0, len(q), STRIP):
             strip = slice(start, start + STRIP)
             scores = np.where(wanted[strip][:, leaf], q[strip] @ x.T, -np.inf)
+            scores[scores < (bound[strip] - _SLACK * np.maximum(1.0, np.abs(bound[strip])))[:, None]] = -np.inf
             at = np.nonzero(_best(scores, keep))
             pairs.append((at[0] + start, at[1]))
         at_q, at_x = (np.concatenate(part) for part in zip(*pairs, strict=True))
         exact = _exact(q[at_q], x[at_x])
+        reached = exact >= bound[at_q]
+        at_q, at_x, exact = at_q[reached], at_x[reached], exact[reached]
         best = _kept(at_q, at_x, exact, rows["rep"].to_numpy(), keep)
         return pa.table({"query": queries["rep"].take(pa.array(at_q[best])),
                          "ids": rows["ids"].take(pa.array(at_x[best])),
@@ -279,24 +285,15 @@ def _tile(keep: int):
     return nearest
 
 
-def _searched(index: DataFrame, asked: DataFrame, tree, visits: int, keep: int) -> DataFrame:
-    """``(query, near)``: the ``keep`` nearest ids found for every query vector."""
+def _met(index: DataFrame, rows_of: dict[int, int], stops: DataFrame, leaves: int, keep: int) -> DataFrame:
+    """``(query, ids, score)`` of the rows in the leaves that queries ``(rep, v, bound, leaves)`` visit:
+    for each tile the ``keep`` best that reach the query's bound."""
     spark = index.sparkSession
-
-    @F.arrow_udf("array<int>")
-    def leaves(values: pa.Array) -> pa.Array:
-        if not len(values):
-            return pa.array([], pa.list_(pa.int32()))
-        return pa.array(list(tree.value.visits(_matrix(values), visits)), pa.list_(pa.int32()))
-
-    routed = materialise(asked.select("rep", "v", leaves("v").alias("leaves")), "routed")
-    # At most MAX_LEAVES rows each.
-    rows_of = dict(map(tuple, index.groupBy("leaf").count().collect()))
-    queries_of = dict(map(tuple, routed.select(F.explode("leaves").alias("leaf")).groupBy("leaf")
+    # At most MAX_LEAVES rows.
+    queries_of = dict(map(tuple, stops.select(F.explode("leaves").alias("leaf")).groupBy("leaf")
                           .count().collect()))
-    cells = _cells(rows_of, queries_of, tree.value.leaves)
     cell_table = F.broadcast(spark.createDataFrame(
-        [(leaf, *cell) for leaf, cell in enumerate(cells)],
+        [(leaf, *cell) for leaf, cell in enumerate(_cells(rows_of, queries_of, leaves))],
         "leaf int, cell int, row_parts int, query_parts int"))
 
     def part(parts: str) -> Column:
@@ -308,23 +305,53 @@ def _searched(index: DataFrame, asked: DataFrame, tree, visits: int, keep: int)
     rows = index.join(cell_table, "leaf").withColumn("row_part", part("row_parts")).withColumn(
         "query_part", every("query_parts"))
     # One row for a query and cell, whatever number of its leaves the query visits.
-    stops = (routed.select("rep", F.explode("leaves").alias("leaf")).join(cell_table, "leaf")
-             .groupBy("rep", "cell", "row_parts", "query_parts")
-             .agg(F.collect_list("leaf").alias("leaves")))
-    queries = (stops.join(routed.select("rep", "v"), "rep")
+    in_cells = (stops.select("rep", F.explode("leaves").alias("leaf")).join(cell_table, "leaf")
+                .groupBy("rep", "cell", "row_parts", "query_parts")
+                .agg(F.collect_list("leaf").alias("leaves")))
+    queries = (in_cells.join(stops.select("rep", "v", "bound"), "rep")
                .withColumn("query_part", part("query_parts")).withColumn("row_part", every("row_parts")))
     tile = ["cell", "row_part", "query_part"]
-    ids = index.schema["ids"].dataType.simpleString()
-    found = (rows.select(*tile, "leaf", "rep", "v", "ids").groupBy(*tile)
-             .cogroup(queries.select(*[F.col(c).alias(f"q_{c}") for c in tile], "rep", "v", "leaves")
-                      .groupBy(*[f"q_{c}" for c in tile]))
-             .applyInArrow(_tile(keep), f"query {index.schema['rep'].dataType.simpleString()}, "
-                                        f"ids {ids}, score double"))
-    named = found.select("query", "score", F.explode("ids").alias("id"))
-    by = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    return (named.withColumn("n", F.row_number().over(by)).where(F.col("n") <= keep)
-            .groupBy("query").agg(F.sort_array(F.collect_list(F.struct("n", "id", "score")))
-                                  .alias("near")))
+    return (rows.select(*tile, "leaf", "rep", "v", "ids").groupBy(*tile)
+            .cogroup(queries.select(*[F.col(c).alias(f"q_{c}") for c in tile], "rep", "v", "bound", "leaves")
+                     .groupBy(*[f"q_{c}" for c in tile]))
+            .applyInArrow(_tile(keep), f"query {index.schema['rep'].dataType.simpleString()}, "
+                                       f"ids {index.schema['ids'].dataType.simpleString()}, score double"))
+
+
+def _searched(index: DataFrame, asked: DataFrame, tree, visits: int, keep: int) -> DataFrame:
+    """``(query, near)``: the ``keep`` nearest ids found for every query vector.
+
+    Visits go in waves, each ``WIDER`` times as far as the one before. What a query has found so far
+    bounds what later waves need to return, so that this grows with the logarithm of its visits.
+    """
+    @F.arrow_udf("array<int>")
+    def leaves(values: pa.Array) -> pa.Array:
+        if not len(values):
+            return pa.array([], pa.list_(pa.int32()))
+        return pa.array(list(tree.value.visits(_matrix(values), visits)), pa.list_(pa.int32()))
+
+    routed = materialise(asked.select("rep", "v", leaves("v").alias("leaves")), "routed")
+    rows_of = dict(map(tuple, index.groupBy("leaf").count().collect()))
+    lowest = F.lit(float("-inf"))
+    best, start, stop = None, 0, FIRST_VISITS
+    while start < visits:
+        part = routed.select("rep", "v", F.slice("leaves", start + 1, stop - start).alias("leaves"))
+        part = part.where(F.size("leaves") > 0)
+        if best is None:
+            stops = part.withColumn("bound", lowest)
+        else:
+            bounds = best.groupBy(F.col("query").alias("rep")).agg(
+                F.when(F.count(F.lit(1)) >= keep, F.min("score")).alias("bound"))
+            stops = part.join(bounds, "rep", "left").withColumn("bound", F.coalesce("bound", lowest))
+        found = _met(index, rows_of, stops, tree.value.leaves, keep)
+        found = found.select("query", "score", F.explode("ids").alias("id"))
+        merged = found if best is None else best.unionByName(found)
+        by = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+        best = materialise(merged.withColumn("n", F.row_number().over(by)).where(F.col("n") <= keep)
+                           .drop("n"), "nearest")
+        start, stop = stop, stop * WIDER
+    return best.groupBy("query").agg(F.sort_array(F.collect_list(
+        F.struct((-F.col("score")).alias("n"), "id", "score"))).alias("near"))
 
 
 @dataclass
