@@ -12,6 +12,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,7 +31,8 @@ def variant_sums(df: DataFrame, model: DeepSet, features: dict[str, Sequence[str
     """Partial loss sums per feature, one row per (batch, feature).
 
     ``df`` has each input column and its ``_donor`` twin. ``features`` names the features of each
-    input column in tensor order. Only the permuted branch is embedded again for a variant.
+    input column in tensor order. Only the permuted branch is embedded again for a variant. Rows
+    without a class (NULL or no index of the scores) are left out.
     """
     ship_package(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast((model, features))
@@ -39,7 +41,11 @@ def variant_sums(df: DataFrame, model: DeepSet, features: dict[str, Sequence[str
 
     def partial_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, names = shared.value
+        n_classes = len(net.head[-1].bias)
         for batch in batches:
+            # Rows without a class have no loss: they are in no sum and in no count.
+            known = batch.column(label)
+            batch = batch.filter(pc.and_(pc.greater_equal(known, 0), pc.less(known, n_classes)))
             if batch.num_rows == 0:
                 continue
             truth = batch.column(label).to_numpy(zero_copy_only=False).astype(np.int64)
