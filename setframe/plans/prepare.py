@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, NumericType
 
-from setframe.config import (BACKGROUND_PATTERN, REWEIGHT_BINS, REWEIGHT_RANGE, ROWS_PER_FILE)
+from setframe.config import (BACKGROUND_PATTERN, REWEIGHT_BINS, REWEIGHT_RANGE, ROWS_PER_FILE,
+                             ROWS_PER_FILE_BY_SOURCE)
 from setframe.functions.labels import class_label, onehot
 from setframe.operators import histograms, splitting, stats
 from setframe.operators.selection import tidy_columns
@@ -29,6 +30,7 @@ class PrepareConfig:
     n_bins: int = REWEIGHT_BINS
     value_range: tuple[float, float] = REWEIGHT_RANGE
     rows_per_file: int = ROWS_PER_FILE
+    rows_by_source: Mapping[str, int] = field(default_factory=lambda: dict(ROWS_PER_FILE_BY_SOURCE))
     skip: Sequence[str] = field(default_factory=tuple)
 
 
@@ -64,15 +66,11 @@ def dataset_stats(df: DataFrame, skip: Sequence[str] = (), robust: bool = True)
 def read_raw(spark: SparkSession, paths: str | Sequence[str], config: PrepareConfig) -> DataFrame:
     """Raw records with tidy names and ``is_fake`` taken from the file name.
 
-    Files that a writer has numbered (``part-...``) are named by the folder they are in; folders
-    further up say nothing.
+    See :func:`setframe.sources.scan.input_name`.
     """
     raw = scan.with_file(spark.read.parquet(*([paths] if isinstance(paths, str) else paths)))
     tidy = tidy_columns(raw, config.drop_containing)
-    own = F.regexp_extract("file", "([^/]+)$", 1)
-    folder = F.regexp_extract("file", "([^/]+)/[^/]+$", 1)
-    name = F.when(own.startswith("part-"), folder).otherwise(own)
-    return scan.with_source_label(tidy, name, config.background_pattern)
+    return scan.with_source_label(tidy, scan.input_name(F.col("file")), config.background_pattern)
 
 
 def prepare(raw: DataFrame, known_stats: Mapping[str, tuple[float, float]],
@@ -99,5 +97,6 @@ def run(spark: SparkSession, paths: str | Sequence[str], out: str, config: Prepa
              else sinks.read_stats(spark, stats_path))
     prepared = prepare(raw, stats.stats_lookup(table), config)
     split = splitting.hash_split(prepared, "file")
-    sinks.write_chunks(split, out, config.rows_per_file, ["split", "is_fake"])
+    sinks.write_chunks(split, out, config.rows_per_file, ["split", "is_fake"],
+                       scan.input_name(F.col("file")), config.rows_by_source)
     return spark.read.schema(split.schema).parquet(out)
