@@ -17,7 +17,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from setframe.functions.hashing import key_bucket
+from setframe.config import SPLIT_SEED
+from setframe.functions.hashing import key_bucket, order_key
 from setframe.session import broadcast_bounded, materialise
 
 MIN_BUCKETS = 8
@@ -49,8 +50,17 @@ def with_range_bucket(df: DataFrame, column: str, n_buckets: int,
     Split points come from one quantile-sketch pass over that column alone. The sketch is merged
     from per-partition summaries and its size depends only on ``n_buckets``.
     """
+    return _bucketed(df, column, sorted(set(_quantile_cuts(df, column, n_buckets))), name)
+
+
+def _quantile_cuts(df: DataFrame, column: str, n_buckets: int) -> list[float]:
+    """Values that cut a column into parts of about equal size; a value that holds several parts
+    comes several times."""
     probabilities = [i / n_buckets for i in range(1, n_buckets)]
-    cuts = sorted(set(df.approxQuantile(column, probabilities, 1.0 / (4 * n_buckets))))
+    return df.approxQuantile(column, probabilities, 1.0 / (4 * n_buckets))
+
+
+def _bucketed(df: DataFrame, column: str, cuts: Sequence[float], name: str) -> DataFrame:
     if not cuts:
         return df.withColumn(name, F.lit(0))
     splits = [float("-inf"), *cuts, float("inf")]
@@ -95,12 +105,32 @@ def numbered_by_key(df: DataFrame, key: str, tie_break: str, group: Sequence[str
 
 def numbered_by_value(df: DataFrame, column: str, group: Sequence[str] = (),
                       max_groups: int | None = 1, name: str = "row_number",
-                      total: str | None = None) -> DataFrame:
-    """Row numbers in the order of a numeric column whose values are (nearly) unique."""
+                      total: str | None = None, unit: str | None = None,
+                      seed: int = SPLIT_SEED) -> DataFrame:
+    """Row numbers in the order of a numeric column.
+
+    Equal values are numbered in the digest order of ``unit``, which identifies a row; without one
+    their order is open and a value's rows stay together. With it, a value that holds more than a
+    bucket's share of the table is spread over digest buckets of its own.
+    """
     n = default_buckets(df.sparkSession)
-    bucketed = with_range_bucket(df, column, n)
-    return row_numbers(bucketed, [column], BUCKET, n + 1, group, max_groups, name,
-                       total).drop(BUCKET)
+    if unit is None:
+        bucketed = with_range_bucket(df, column, n)
+        return row_numbers(bucketed, [column], BUCKET, n + 1, group, max_groups, name,
+                           total).drop(BUCKET)
+    cuts = _quantile_cuts(df, column, n)
+    hot = sorted({c for c in cuts if cuts.count(c) > 1})
+    digits = hash_digits(df.sparkSession)
+    inner = 16 ** digits + 1
+    keyed = df.withColumn("_tie", order_key(F.col(unit), seed))
+    bucketed = _bucketed(keyed, column, sorted(set(cuts)), BUCKET)
+    # A hot value is a cut, so its bucket begins with it: digest buckets first, then larger values.
+    is_hot = F.col(column).isin(hot) if hot else F.lit(False)
+    place = F.when(is_hot, F.conv(key_bucket(F.col("_tie"), digits), 16, 10).cast("int")).otherwise(
+        F.lit(inner - 1))
+    bucketed = bucketed.withColumn(BUCKET, (F.col(BUCKET) * inner + place).cast("int"))
+    return row_numbers(bucketed, [column, "_tie", unit], BUCKET, n + 1 + len(hot) * inner, group,
+                       max_groups, name, total).drop(BUCKET, "_tie")
 
 
 def cumulative_sums(df: DataFrame, order: str, sums: Mapping[str, Column],

@@ -49,13 +49,14 @@ def shuffled_positions(df: DataFrame, unit: str, seed: int = SPLIT_SEED,
     return ranked.withColumn(name, F.col("_rank") - 1).drop("_key", "_rank")
 
 
-def contiguous_parts(df: DataFrame, order: str, n_parts: int, name: str = "part") -> DataFrame:
+def contiguous_parts(df: DataFrame, order: str, n_parts: int, name: str = "part",
+                     unit: str | None = None) -> DataFrame:
     """Cut an ordered table into ``n_parts`` contiguous parts (0-based), longer parts first.
 
     Equal to ``ntile(n_parts) - 1`` over the whole table, but computed from distributed row
-    numbers instead of one global window.
+    numbers instead of one global window. ``unit`` orders (and spreads) rows of equal value.
     """
-    ranked = numbered_by_value(df, order, name="_rank", total="_total")
+    ranked = numbered_by_value(df, order, name="_rank", total="_total", unit=unit)
     place = F.col("_rank") - 1
     size = F.floor(F.col("_total") / F.lit(n_parts))
     extra = F.col("_total") % F.lit(n_parts)
@@ -67,15 +68,16 @@ def contiguous_parts(df: DataFrame, order: str, n_parts: int, name: str = "part"
 
 def chunk_ids(df: DataFrame, order: str, rows_per_chunk: int, group: str | None = None,
               rows_by_group: Mapping[str, int] | None = None, max_groups: int | None = None,
-              name: str = "chunk") -> DataFrame:
-    """Number consecutive runs of N rows (per source, with per-source N).
+              name: str = "chunk", unit: str | None = None) -> DataFrame:
+    """Number consecutive runs of N rows (per source, with per-source N). ``unit`` orders (and spreads)
+    rows of equal value.
 
     This is the logical form, for when the chunk id itself is needed. To only write files of at
     most N rows use ``sources.sinks.write_chunks``, which needs no ordering and no shuffle.
     """
     groups = [] if group is None else [group]
     ranked = numbered_by_value(df, order, groups, 1 if group is None else max_groups,
-                               name="_rank")
+                               name="_rank", unit=unit)
     size: Column = F.lit(rows_per_chunk)
     for key, n in (rows_by_group or {}).items():
         size = F.when(F.col(group) == F.lit(key), F.lit(n)).otherwise(size)

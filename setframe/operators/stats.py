@@ -63,6 +63,80 @@ def robust_stats(df: DataFrame, columns: Sequence[str], n_sigma: float = TRIM_SI
     return _long(df.agg(*aggregates), columns, ["mean", "stddev", "n"])
 
 
+def _folded(column: str, shift: float, kept: str) -> str:
+    """Count, sum and sum of squares of the kept elements of one record's list, about ``shift``."""
+    y = f"(cast(y as double) - {shift!r}D)"
+    return (f"aggregate(`{column}`, named_struct('n', 0L, 's', 0D, 'q', 0D), (a, y) -> if({kept},"
+            f" named_struct('n', a.n + 1L, 's', a.s + {y}, 'q', a.q + {y} * {y}), a))")
+
+
+def _list_moments(folds: Mapping[str, str], shifts: Mapping[str, float]) -> dict[str, list[Column]]:
+    """Aggregates ``(mean, stddev, n)`` of folded columns, combined from one row per record."""
+    out = {}
+    for name, column in folds.items():
+        n, s, q = (f"sum({column}.{field})" for field in "nsq")
+        out[name] = [F.expr(f"{shifts[name]!r}D + try_divide({s}, {n})"),
+                     F.expr(f"sqrt(greatest(try_divide({q} - try_divide({s} * {s}, {n}), {n}), 0D))"),
+                     F.expr(f"coalesce({n}, 0L)")]
+    return out
+
+
+def _shifts(df: DataFrame, lists: Sequence[str], rows: int = 1000) -> dict[str, float]:
+    """A value of each list column, from its first records; any number near the data will do."""
+    some = df.select(*[F.expr(f"try_element_at(filter(transform(`{c}`, y -> cast(y as double)),"
+                              f" y -> abs(y) < double('Infinity')), 1)").alias(c) for c in lists])
+    found = some.limit(rows).agg(*[F.first(F.col(f"`{c}`"), ignorenulls=True).alias(c) for c in lists])
+    row = found.first()
+    return {c: float(row[c] or 0.0) for c in lists}
+
+
+def mixed_stats(df: DataFrame, scalars: Sequence[str], lists: Sequence[str], robust: bool = True,
+                n_sigma: float = TRIM_SIGMA, two_sided: bool = False) -> DataFrame:
+    """``(feature, mean, stddev, n)`` of scalar columns and of the elements of list columns, all in one
+    scan (robust: two), whatever the lengths of a record's lists.
+
+    A record's list is folded to count, sum and sum of squares where it is read, about a value of the
+    column, so that large offsets cost no precision; what is aggregated is one row for each record.
+    """
+    shifts = _shifts(df, lists) if lists else {}
+
+    def pass_over(keep_list, scalar_value) -> DataFrame:
+        folds = {c: f"_f{i}" for i, c in enumerate(lists)}
+        rows = df.select(*[F.col(f"`{c}`") for c in scalars], *[
+            F.expr(_folded(c, shifts[c], keep_list(c))).alias(folds[c]) for c in lists])
+        moments = {c: [F.avg(scalar_value(c)), F.stddev_pop(scalar_value(c)), F.count(scalar_value(c))]
+                   for c in scalars} | _list_moments(folds, shifts)
+        return rows.agg(*[column.alias(f"{field}_{i}") for i, c in enumerate([*scalars, *lists])
+                          for field, column in zip(("mean", "stddev", "n"), moments[c], strict=True)])
+
+    columns = [*scalars, *lists]
+    first = pass_over(lambda c: "y is not null", lambda c: F.col(f"`{c}`").cast("double"))
+    if not robust:
+        return _long(first, columns, ["mean", "stddev", "n"])
+    found = first.first()  # one row, three numbers for each column
+    known = {c: tuple(found[f"{field}_{i}"] for field in ("mean", "stddev", "n"))
+             for i, c in enumerate(columns)}
+
+    def inside(c: str, x: str) -> str:
+        mean, stddev, _ = known[c]
+        if mean is None:
+            return "false"
+        offset = f"{x} - double('{mean!r}')"
+        return f"{f'abs({offset})' if two_sided else offset} < {float(n_sigma)!r}D * double('{stddev!r}')"
+
+    second = pass_over(lambda c: f"y is not null and {inside(c, 'cast(y as double)')}",
+                       lambda c: F.expr(f"if({inside(c, f'cast(`{c}` as double)')}, cast(`{c}` as double), null)"))
+    # Nothing lies below zero deviations: a constant column keeps its plain moments.
+    fields = []
+    for i, c in enumerate(columns):
+        emptied = F.col(f"n_{i}") == 0
+        for field, value, kind in zip(("mean", "stddev", "n"), known[c], ("double", "double", "bigint"),
+                                      strict=True):
+            fields.append(F.when(emptied, F.lit(value).cast(kind)).otherwise(F.col(f"{field}_{i}"))
+                          .alias(f"{field}_{i}"))
+    return _long(second.select(*fields), columns, ["mean", "stddev", "n"])
+
+
 def stats_lookup(stats: DataFrame) -> dict[str, tuple[float, float]]:
     """Stats table as a dict. It has one row per column of the dataset, whatever its row count;
     a column without values has no entry."""

@@ -50,17 +50,10 @@ def feature_columns(df: DataFrame, skip: Sequence[str] = ()) -> tuple[list[str],
 def dataset_stats(df: DataFrame, skip: Sequence[str] = (), robust: bool = True) -> DataFrame:
     """``(feature, mean, stddev, n)`` of every numeric column, list columns flattened.
 
-    Scalars take one aggregation. Lists of one record may differ in length between collections,
-    so each list column is flattened on its own; only that column is read for it.
+    All of them are read in one scan a pass (:func:`setframe.operators.stats.mixed_stats`).
     """
-    compute = stats.robust_stats if robust else stats.column_stats
     scalars, lists = feature_columns(df, skip)
-    parts = [compute(df, scalars)] if scalars else []
-    parts += [compute(stats.flatten_lists(df, [c]), [c]) for c in lists]
-    table = parts[0]
-    for part in parts[1:]:
-        table = table.unionByName(part)
-    return table
+    return stats.mixed_stats(df, scalars, lists, robust)
 
 
 def read_raw(spark: SparkSession, paths: str | Sequence[str], config: PrepareConfig) -> DataFrame:

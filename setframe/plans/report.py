@@ -39,25 +39,43 @@ def working_point_matrices(df: DataFrame, classifiers: Mapping[str, Column], sco
                            n_classes: int = N_CLASSES) -> DataFrame:
     """Signal-class confusion matrix of the rows above each cut of each classifier.
 
-    One scan: a row is listed once per cut it passes and combined before the shuffle into at most
-    ``classifiers x points x cells`` sums.
+    No row is copied for its cuts: it gets the number of cuts that it passes, rows are combined by
+    that number into at most ``classifiers x (points + 1) x cells`` sums, and each of those counts for
+    all the cuts up to its own.
     """
     pred, truth = signal_class_decode(scores, label, n_classes)
     rows = side_by_side(
         df.select("*", pred.alias("_pred"), truth.alias("_truth"), weight.alias("_weight")),
         classifiers, ["_pred", "_truth", "_weight"])
-    cuts = points.groupBy("classifier").agg(
-        F.collect_list(F.struct("wp", "cut")).alias("_cuts"))
-    cuts = cuts.withColumnRenamed("classifier", "_classifier")
-    passed = F.filter("_cuts", lambda c: F.col("score") > c["cut"])
-    passing = (rows.join(broadcast_bounded(cuts, len(classifiers)),
-                         F.col("classifier") == F.col("_classifier"))
-               .select("classifier", "_pred", "_truth", "_weight", F.explode(passed).alias("_c"))
-               .select("classifier", F.col("_c")["wp"].alias("wp"), "_pred", "_truth", "_weight"))
+    cuts: dict[str, set[float]] = {name: set() for name in classifiers}
+    listed = [r for r in points.select("classifier", "wp", "cut").collect() if r["cut"] is not None]
+    for r in listed:
+        cuts[r["classifier"]].add(r["cut"])
+    passed = F.lit(0)
+    for name, own in cuts.items():
+        passed = F.when(F.col("classifier") == name, cuts_below(F.col("score"), sorted(own))).otherwise(passed)
+    sums = (rows.groupBy("classifier", passed.alias("_passed"), "_pred", "_truth")
+            .agg(F.sum("_weight").alias("_weight")))
+    places = df.sparkSession.createDataFrame(
+        [(r["classifier"], r["wp"], sorted(cuts[r["classifier"]]).index(r["cut"]) + 1) for r in listed],
+        "_name string, wp int, _place int")
+    passing = sums.join(broadcast_bounded(places, len(listed)), (F.col("classifier") == F.col("_name"))
+                        & (F.col("_passed") >= F.col("_place")))
     return confusion.confusion_matrix(passing, F.col("_pred"), F.col("_truth"), F.col("_weight"),
                                       n_classes - 1, ["classifier", "wp"])
 
 
+def cuts_below(score: Column, cuts: Sequence[float]) -> Column:
+    """How many of the sorted ``cuts`` a score exceeds, by binary search; 0 for a NULL score."""
+    def search(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(score > F.lit(float(cuts[middle])), search(middle + 1, high)).otherwise(
+            search(low, middle))
+    return search(0, len(cuts))
+
+
 def evaluation_report(df: DataFrame, classifiers: Mapping[str, Column], scores: Column,
                       label: Column, is_signal: Column, weight: Column,
                       efficiencies: Sequence[int] = WORKING_POINTS,

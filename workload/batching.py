@@ -30,6 +30,19 @@ def ntile_split(spark: SparkSession, d: str) -> DataFrame:
     return splitting.contiguous_parts(fx.cand(spark, d).select("id"), "id", 7)
 
 
+HOT = "case when id % 3 = 0 then 150000::double when id % 7 = 0 then 99::double else pt end"
+
+
+@query(with_parts("cand", f"""
+with {KEYED}
+select id, (ntile(11) over (order by {HOT}, k, id) - 1)::int as part from keyed"""))
+def ntile_hot(spark: SparkSession, d: str) -> DataFrame:
+    """Contiguous parts in the order of a column in which two values hold close to half of the rows."""
+    value = F.when(F.col("id") % 3 == 0, 150000.0).when(F.col("id") % 7 == 0, 99.0).otherwise(F.col("pt"))
+    rows = fx.cand(spark, d).select("id", value.alias("value"))
+    return splitting.contiguous_parts(rows, "value", 11, unit="id").select("id", "part")
+
+
 @query(with_parts("cand", f"""
 with {KEYED}
 select id, (row_number() over (order by k, id) - 1)::bigint as position from keyed"""))

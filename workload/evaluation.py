@@ -10,6 +10,7 @@ from setframe.functions.labels import argmax
 from setframe.operators import confusion, histograms, roc, sets
 from setframe.operators.scoring import loss_and_accuracy
 from setframe.plans import report
+from setframe.session import materialise
 from workload import fixtures as fx
 from workload.dialect import r, with_parts
 from workload.registry import Area, rd
@@ -315,6 +316,30 @@ def working_points(spark: SparkSession, d: str) -> DataFrame:
                          rd("raw_percentile_cut").alias("raw_percentile_cut"))
 
 
+@query(with_parts("scores", " union all ".join(
+    f"select {w}::int as wp, count(*)::bigint as n_signal, true as within_bound from scores where not is_fake"
+    for w in WORKING_POINTS)))
+def sketch_working_points(spark: SparkSession, d: str) -> DataFrame:
+    """Cuts from one stored sketch for each source, merged; and whether each cut's true rank among all
+    signal scores is within the sketch's error of the wanted one."""
+    rows = fx.scores(spark, d).withColumn("score", fx.network_score()).withColumn(
+        "part", F.floor(F.col("id") / F.lit(500.0)))
+    parts = materialise(roc.signal_sketches(rows, F.col("score"), is_signal(), ["part"]), "sketches")
+    points = roc.sketched_working_points(parts, WORKING_POINTS)
+    cuts = {r["wp"]: r["cut"] for r in points.collect()}
+    places = F.inline(F.array(*[F.struct(F.lit(w).alias("wp"), F.lit(cut).alias("cut"))
+                                for w, cut in cuts.items()]))
+    signal = rows.where(is_signal()).groupBy("score").agg(F.count(F.lit(1)).alias("n"))
+    ranks = signal.select("score", "n", places).groupBy("wp").agg(
+        F.sum("n").alias("n_signal"), F.sum(F.when(F.col("score") < F.col("cut"), F.col("n")).otherwise(0))
+        .alias("below"), F.sum(F.when(F.col("score") <= F.col("cut"), F.col("n")).otherwise(0)).alias("upto"))
+    wanted = (F.lit(100) - F.col("wp")) / F.lit(100.0)
+    error = F.lit(roc.rank_error())
+    within = ((F.col("below") / F.col("n_signal") - error <= wanted)
+              & (wanted <= F.col("upto") / F.col("n_signal") + error))
+    return ranks.select("wp", "n_signal", within.alias("within_bound"))
+
+
 CUTS = "cuts as (" + " union all ".join(
     f"select '{name}' as classifier, {w}::int as wp, {_quantile(c, str((100 - w) / 100))} as cut"
     for name, c in (("network", "net"), ("baseline", "rnn")) for w in WORKING_POINTS) + ")"

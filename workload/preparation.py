@@ -512,3 +512,46 @@ def control_histograms(spark: SparkSession, d: str) -> DataFrame:
     listed = histograms.auto_histograms(fx.objects(spark, d), ["f2", "f3", "l_quantity"], pad=pad)
     both = records.unionByName(listed)
     return both.select("feature", "bin", rd("lo", 4).alias("lo"), rd("hi", 4).alias("hi"), "n")
+
+
+ODD = """odd as (
+  select case when l_linenumber = 1 then -999::double when l_linenumber = 2 then null else f1 end as f1,
+         case when l_linenumber = 3 then -999::double else f3 end as f3 from obj)"""
+
+
+@query(with_parts("obj", f"with {ODD}, usable as (select * from odd), " + ", ".join(
+    f"{c}_rows as (select {c} from odd where {c} is not null and {c} <> -999 and isfinite({c}))"
+    for c in ("f1", "f3")) + " " + " union all ".join(_auto_hist_sql(f"{c}_rows", c, 500) for c in ("f1", "f3"))))
+def padded_histograms(spark: SparkSession, d: str) -> DataFrame:
+    """Histograms of columns that hold pads, NULL, NaN and infinities, which are left out."""
+    line = F.col("l_linenumber")
+    rows = fx.objects(spark, d).select(
+        F.when(line == 1, -999.0).when(line != 2, F.col("f1")).alias("f1"),
+        F.when(line == 3, -999.0).otherwise(F.col("f3")).alias("f3"))
+    found = histograms.auto_histograms(rows, ["f1", "f3"], pad=-999.0)
+    return found.select("feature", "bin", rd("lo", 4).alias("lo"), rd("hi", 4).alias("hi"), "n")
+
+
+SIDES = """sides as (
+  select [x for x in embedding if x > 0] as up, [x for x in embedding if x <= 0] as down,
+         vec_id from embeddings)"""
+
+
+def _list_robust_sql(column: str) -> str:
+    return f"""select '{column}' as feature, {r('avg(x)')} as mean, {r('stddev_pop(x)')} as stddev,
+        count(*)::bigint as n from {column}_values
+        where x - (select avg(x) from {column}_values) < 1.5 * (select stddev_pop(x) from {column}_values)"""
+
+
+@query(f"""with {SIDES},
+    up_values as (select unnest(up)::double as x from sides),
+    down_values as (select unnest(down)::double as x from sides),
+    vec_id_values as (select vec_id::double as x from sides)
+""" + " union all ".join(_list_robust_sql(c) for c in ("vec_id", "up", "down")))
+def list_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Trimmed moments of a scalar and of two list columns whose lists differ in length, one scan a pass."""
+    rows = fx.table(spark, d, "embeddings").select(
+        "vec_id", F.filter("embedding", lambda x: x > 0).alias("up"),
+        F.filter("embedding", lambda x: x <= 0).alias("down"))
+    found = stats.mixed_stats(rows, ["vec_id"], ["up", "down"], n_sigma=1.5)
+    return found.select("feature", rd("mean").alias("mean"), rd("stddev").alias("stddev"), "n")
