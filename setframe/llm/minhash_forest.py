@@ -1,49 +1,58 @@
 """Near-duplicates by an LSH forest over MinHash signatures.
 
 A document's set holds its distinct five-word shingles. Texts with the same set are one
-representative from there on. Each of ``TREES`` trees has its own sequence of signature coordinates;
-representatives that share a prefix of it form a region. Prefixes have the fixed depths ``DEPTHS`` and are
-grouped by hash: no tree is sorted, and nothing looks for neighbours by longest common prefix. The base
-depth is 24 separate bands of 4 coordinates. The depth of the prefix follows the region:
-
-* regions of the base depth with few members give all their pairs;
-* larger ones are entered more deeply, level by level. At every level each member of a sub-region is
-  paired with its hub, the member that shares most prefixes with others over all trees. Copies made from one original gather
-  around it, so the hub of a region is the text they are linked through.
-
-So far no region gives more than a fixed number of pairs for each member. Pairs whose signatures agree
-clearly too little are left out; the rest are confirmed on the full sets, and components follow. What a
-crowded region may still hide is a link between its hub's component and a member outside it, or between
-two such. Members outside are therefore compared, by signature and block by block, with all members
-of the region that are of another component; the new pairs are confirmed in the same way.
+representative from there on. Each of ``TREES`` trees has its own order of signature coordinates, and
+representatives are sorted by it. Those that share the first ``BASE`` coordinates of a tree form a region,
+a run of its sorted order; who shares no such prefix with anybody is in no region.
+
+Candidates are neighbours in the sorted order, that is, by longest common prefix. A region's members are
+compared with up to ``WINDOW`` followers, so a region no larger than that is covered. In larger ones a
+member meets the neighbours on its two sides, with which it has the longest prefix: the depth at which it
+finds them follows the region, deep where many texts are alike. Neighbours are compared where they are
+sorted, by their signatures; only pairs that agree enough leave the task, to be confirmed on the full sets.
+
+Components follow. What a large region may still hide is a link between two of its components. Members
+outside its largest component are therefore compared, by signature and block by block, with all members
+of the region that are of another component; the new pairs are confirmed in the same way. So no region
+gives more than a fixed number of pairs for each member, but for pairs of different components that agree.
+
+Regions are dealt over tasks by ranges of the sorted order; one of more than ``WHOLE`` members may be cut,
+which costs the neighbours on either side of a cut this tree and nothing else.
 
 A pair at the threshold shares a base prefix in some tree with probability above 0.99999997 at 0.85 and
-above 0.999996 at 0.80. Signatures wrongly decide against it (``ERRORS``) with probability 5.9e-6 and
-3.0e-6 by the binomial tail, so it is confirmed with probability above 0.99999 at either.
+above 0.999996 at 0.80, and is then compared. Signatures wrongly decide against it (``ERRORS``) with
+probability 5.9e-6 and 3.0e-6 by the binomial tail, so it is confirmed with probability above 0.99999 at
+either.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from setframe.llm.columns import struct_array
+from setframe.llm.columns import ship, struct_array
 from setframe.llm.components import components
 from setframe.llm.shingles import mix, shingle_sets, slices
-from setframe.session import broadcast_if_small, materialise, ship_package
+from setframe.session import broadcast_if_small, materialise
 
 TREES = 24
 COORDINATES = 96
-#: Depth of a tree's prefix by level; level 0 is the base.
-DEPTHS = (4, 7, 12)
-#: Members up to which a region gives all its pairs.
-FEW = 16
+#: Coordinates that a region shares, and further ones that its order looks at.
+BASE, FURTHER = 4, 12
+#: Followers in the sorted order that a member is compared with where its region is no larger.
+WINDOW = 15
+#: Members up to which a region is never cut.
+WHOLE = 512
 #: Standard errors below the threshold at which signatures decide against a pair.
 ERRORS = 5.0
 #: Members of a crowded region that are compared with each other at a time.
 BLOCK = 2048
+#: Pairs of neighbours whose signatures are compared at a time.
+STRIP = 1 << 14
 
 _MULTIPLIERS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) << np.uint64(7)) | np.uint64(1)
 
@@ -87,17 +96,6 @@ def _set_of(text: str) -> Column:
     return full_set(text)
 
 
-def _prefix_keys(signature: np.ndarray, tree: int, depths: tuple[int, ...]) -> list[int]:
-    """Hashes of a tree's prefixes; its coordinates start at a place of its own."""
-    order = (np.arange(depths[-1]) + tree * DEPTHS[0]) % COORDINATES
-    state, keys = np.zeros(1, np.uint64), []
-    for depth, value in enumerate(signature[order], 1):
-        state = mix(state + np.uint64(value) + np.uint64(depth))
-        if depth in depths:
-            keys.append(int(state.view(np.int64)[0]))
-    return keys
-
-
 def _base_keys(sig: str) -> Column:
     @F.arrow_udf("array<bigint>")
     def keys(values: pa.Array) -> pa.Array:
@@ -106,31 +104,25 @@ def _base_keys(sig: str) -> Column:
         table = np.frombuffer(b"".join(values.to_pylist()), np.uint32).reshape(-1, COORDINATES)
         out = np.zeros((len(table), TREES), np.uint64)
         for tree in range(TREES):
-            for depth in range(1, DEPTHS[0] + 1):
-                place = (tree * DEPTHS[0] + depth - 1) % COORDINATES
+            for depth in range(1, BASE + 1):
+                place = (tree * BASE + depth - 1) % COORDINATES
                 out[:, tree] = mix(out[:, tree] + table[:, place] + np.uint64(depth))
         return pa.array(list(out.view(np.int64)), pa.list_(pa.int64()))
     return keys(sig)
 
 
-def _deep_keys(sig: str, tree: str) -> Column:
-    @F.arrow_udf("array<bigint>")
-    def keys(values: pa.Array, trees: pa.Array) -> pa.Array:
-        return pa.array([_prefix_keys(np.frombuffer(v, np.uint32), t, DEPTHS[1:])
-                         for v, t in zip(values.to_pylist(), trees.to_pylist(), strict=True)],
-                        pa.list_(pa.int64()))
-    return keys(sig, tree)
-
-
-def _agreement(a: str, b: str) -> Column:
-    @F.arrow_udf("double")
-    def agreement(left: pa.Array, right: pa.Array) -> pa.Array:
-        if not len(left):
-            return pa.array([], pa.float64())
-        x, y = (np.frombuffer(b"".join(v.to_pylist()), np.uint32).reshape(-1, COORDINATES)
-                for v in (left, right))
-        return pa.array((x == y).mean(axis=1))
-    return agreement(a, b)
+def _order(sig: str, tree: str) -> Column:
+    """The coordinates that follow a tree's base, so that comparing bytes compares them in turn."""
+    @F.arrow_udf("binary")
+    def order(values: pa.Array, trees: pa.Array) -> pa.Array:
+        if not len(values):
+            return pa.array([], pa.binary())
+        table = np.frombuffer(b"".join(values.to_pylist()), np.uint32).reshape(-1, COORDINATES)
+        first = (trees.to_numpy() + 1) * BASE
+        places = (first[:, None] + np.arange(FURTHER)) % COORDINATES
+        picked = np.take_along_axis(table, places, axis=1).astype(">u4")
+        return pa.array([row.tobytes() for row in picked], pa.binary())
+    return order(sig, tree)
 
 
 def _common(a: str, b: str) -> Column:
@@ -143,36 +135,60 @@ def _common(a: str, b: str) -> Column:
     return common(a, b)
 
 
-def _pairs_within(members: DataFrame, region: list[str]) -> DataFrame:
-    other = members.select(*region, F.col("id").alias("b"))
-    return (members.withColumnRenamed("id", "a").join(other, region).where("a < b").select("a", "b"))
-
-
-def _candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs ``(a, b)``, ``a < b``, of representatives ``(id, sig)``; and the members of crowded base
-    regions with the region's size and hub."""
+def _candidates(reps: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs ``(a, b)``, ``a < b``, of representatives ``(id, sig)`` that are neighbours in a tree and
+    agree; and the members of regions larger than the window, with the region's size ``n``."""
     base = reps.select("id", F.posexplode(_base_keys("sig")).alias("tree", "key"))
     shared = base.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     regions = materialise(base.join(shared, ["tree", "key"]), "regions")
-    pairs = _pairs_within(regions.where(F.col("n") <= FEW).drop("n"), ["tree", "key"])
-
-    large = regions.where(F.col("n") > FEW)
-    deep = (large.select("tree", "id").join(reps, "id")
-            .select("id", "tree", F.posexplode(_deep_keys("sig", "tree")).alias("level", "key")))
-    region = ["tree", "level", "key"]
-    deep = materialise(deep, "levels")
-    deep = deep.join(deep.groupBy(*region).agg(F.count(F.lit(1)).alias("n")), region)
-    sized = large.withColumn("level", F.lit(-1)).unionByName(deep.where("n > 1"))
-    sized = materialise(sized, "levels")
-    # A member has one place in each tree and level, so its list is short.
-    place = F.struct(*region, "n")
-    ranked = (sized.groupBy("id").agg(F.sum("n").alias("shares"), F.collect_list(place).alias("places"))
-              .select("id", "shares", F.inline("places")))
-    hubs = ranked.groupBy(*region).agg(F.max_by("id", F.struct("shares", "id")).alias("hub"))
-    around = materialise(ranked.join(hubs, region), "hubs")
-    pairs = pairs.unionByName(around.where("id <> hub").select(
-        F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")))
-    return pairs.distinct(), around.where("level = -1").select("tree", "key", "id", "n", "hub")
+    # A representative has at most one region in each tree.
+    places = regions.groupBy("id").agg(F.collect_list(F.struct("tree", "key", "n")).alias("places"))
+    members = reps.join(places, "id").select("id", "sig", F.inline("places"))
+    members = materialise(members.withColumn("order", _order("sig", "tree")), "members")
+    cut = F.when(F.col("n") > WHOLE, F.col("order")).otherwise(F.lit(b""))
+    dealt = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = members.repartitionByRange(dealt, "tree", "key", cut)
+    kind = reps.schema["id"].dataType.simpleString()
+    found = (ranges.sortWithinPartitions("tree", "key", "order", "id")
+             .select("tree", "key", "n", "id", "sig")
+             .mapInArrow(_neighbours(_least_agreement(threshold)), f"a {kind}, b {kind}"))
+    pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs, regions.where(F.col("n") > WINDOW + 1)
+
+
+def _signature_table(values: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(values.to_pylist()), np.uint32).reshape(-1, COORDINATES)
+
+
+def _neighbours(least: float):
+    """Pairs of a sorted partition that are within the window, in one region, and agree enough."""
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            old = 0 if last is None else last.num_rows
+            if last is not None:
+                table = pa.concat_tables([last, table])
+            table = table.combine_chunks()
+            last = table.slice(max(0, table.num_rows - WINDOW))
+            tree, key, n = (table[c].to_numpy() for c in ("tree", "key", "n"))
+            signatures = _signature_table(table["sig"])
+            left, right = [], []
+            for step in range(1, min(WINDOW, len(n) - 1) + 1):
+                at = np.arange(max(0, old - step), len(n) - step)
+                near = at[(tree[at] == tree[at + step]) & (key[at] == key[at + step])
+                          & ((n[at] <= WINDOW + 1) | (step == 1))]
+                for start in range(0, len(near), STRIP):
+                    part = near[start:start + STRIP]
+                    same = (signatures[part] == signatures[part + step]).mean(axis=1)
+                    agreed = part[same >= least]
+                    left.append(agreed)
+                    right.append(agreed + step)
+            if left:
+                ids = table["id"].combine_chunks()
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.concatenate(left))),
+                                                  ids.take(pa.array(np.concatenate(right)))], ["a", "b"])
+    return compare
 
 
 def _least_agreement(threshold: int) -> float:
@@ -196,7 +212,7 @@ def _across(least: float):
                 same = others == signatures[i]
                 near = (same.mean(axis=1) >= least) & (part[inside] != part[i])
                 if near.any():
-                    trees = same[near].reshape(-1, TREES, DEPTHS[0]).all(axis=2)
+                    trees = same[near].reshape(-1, TREES, BASE).all(axis=2)
                     found = inside[near][trees.argmax(axis=1) == tree]
                     left += [int(i)] * len(found)
                     right += found.tolist()
@@ -209,13 +225,12 @@ def _across(least: float):
 def _hidden(reps: DataFrame, crowded: DataFrame, links: DataFrame, threshold: int) -> DataFrame:
     """Candidates between members of crowded regions that are not connected so far."""
     roots = materialise(components(links), "components")
-    known = broadcast_if_small(roots)
-    place = lambda of: F.xxhash64(F.coalesce("root", of)).alias("part")
-    placed = (crowded.join(known.withColumnRenamed("node", "id"), "id", "left")
-              .select("tree", "key", "n", "id", "hub", place("id"))
-              .join(known.withColumnRenamed("node", "hub"), "hub", "left")
-              .withColumn("outside", F.col("part") != F.xxhash64(F.coalesce("root", "hub"))))
-    placed = materialise(placed.drop("hub", "root"), "placed")
+    placed = (crowded.join(roots.withColumnRenamed("node", "id"), "id", "left")
+              .withColumn("part", F.xxhash64(F.coalesce("root", "id"))))
+    largest = (placed.groupBy("tree", "key", "part").agg(F.count(F.lit(1)).alias("size"))
+               .groupBy("tree", "key").agg(F.max_by("part", F.struct("size", "part")).alias("main")))
+    placed = placed.join(largest, ["tree", "key"]).withColumn("outside", F.col("part") != F.col("main"))
+    placed = materialise(placed.drop("main", "root"), "placed")
     strays = placed.where("outside").groupBy("tree", "key").agg(F.count(F.lit(1)).alias("strays"))
     rows = placed.join(strays, ["tree", "key"]).join(reps, "id")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
@@ -234,13 +249,6 @@ def _hidden(reps: DataFrame, crowded: DataFrame, links: DataFrame, threshold: in
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _agreeing(pairs: DataFrame, reps: DataFrame, threshold: int) -> DataFrame:
-    return (pairs.join(reps.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a")
-            .join(reps.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
-            .select("a", "b", _agreement("sa", "sb").alias("agreement"))
-            .where(F.col("agreement") >= _least_agreement(threshold)).select("a", "b"))
-
-
 def _confirmed(pairs: DataFrame, source: DataFrame, threshold: int) -> DataFrame:
     """Pairs whose full sets, made again from their texts, reach ``threshold`` percent."""
     wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "id")
@@ -259,9 +267,8 @@ def _confirmed(pairs: DataFrame, source: DataFrame, threshold: int) -> DataFrame
 
 def _links(source: DataFrame, reps: DataFrame, threshold: int) -> DataFrame:
     """Links of representatives that connect all that the forest's candidates connect."""
-    pairs, crowded = _candidates(reps)
-    pairs = materialise(_agreeing(materialise(pairs, "pairs"), reps, threshold), "pairs")
-    links = _confirmed(pairs, source, threshold)
+    pairs, crowded = _candidates(reps, threshold)
+    links = _confirmed(materialise(pairs, "pairs"), source, threshold)
     if crowded.isEmpty():
         return links
     hidden = materialise(_hidden(reps, crowded, links, threshold), "pairs")
@@ -295,7 +302,7 @@ def _identified(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def _assigned(docs: DataFrame, threshold: int, key: str, text: str) -> DataFrame:
     """``(id, n, root)`` of every row, ``id`` and ``root`` holding a key and a text digest."""
-    ship_package(docs.sparkSession)
+    ship(docs.sparkSession)
     source = _identified(docs, key, text)
     described = source.select("id", _described("t").alias("d")).select("id", "d.*")
     described = materialise(described, "signatures")

@@ -322,3 +322,61 @@ def test_islands_are_ordered_runs_of_whole_tokens():
             assert stop == len(text) or text[stop].isspace()
         covered = {k for start, stop in spans for k in range(start, stop)}
         assert covered >= {k for k, c in enumerate(text) if c in "@17"}, text
+
+
+def _near(rng, words, text, target):
+    """A text whose shingles have a similarity to those of ``text`` just above or below ``target``
+    percent, made by changing words."""
+    copy = text.split()
+    while True:
+        before = " ".join(copy)
+        copy[rng.randrange(len(copy))] = rng.choice(words)
+        a, b = _set(text), _set(" ".join(copy))
+        if 100 * len(a & b) < target * len(a | b):
+            return before
+
+
+def test_recall_just_above_the_threshold(spark):
+    """Hundreds of pairs just above the threshold, and regions crowded by a shared passage."""
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(5000)]
+    for percent in (85, 80):
+        passage = [rng.choice(words) for _ in range(60)]
+        texts = []
+        for i in range(400):
+            base = passage * (i % 2) + [rng.choice(words) for _ in range(rng.randint(60, 200) if i % 2 == 0 else 45)]
+            texts.append(" ".join(base))
+            texts.append(_near(rng, words, texts[-1], percent))
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        got = {r.doc_id: r.component_id for r in minhash_forest.near_duplicates(docs, percent).collect()}
+        sets = [_set(t) for t in texts]
+        linked = [i for i in range(0, 800, 2) if 100 * len(sets[i] & sets[i + 1]) >= percent * len(
+            sets[i] | sets[i + 1])]
+        assert len(linked) == 400
+        assert all(got[i] == got[i + 1] for i in linked)
+        assert all(got[i] == i for i in linked)  # and nothing else is joined
+
+
+def test_crowded_regions_equal_brute_force(spark, monkeypatch):
+    """Regions far larger than the window, cut over several ranges and compared in several blocks."""
+    monkeypatch.setattr(minhash_forest, "WINDOW", 3)
+    monkeypatch.setattr(minhash_forest, "WHOLE", 20)
+    monkeypatch.setattr(minhash_forest, "BLOCK", 16)
+    rng = random.Random(33)
+    words = [f"w{i}" for i in range(400)]
+    texts = []
+    passage = [rng.choice(words) for _ in range(70)]
+    for size in (90, 40, 25, 3, 2):
+        base = passage + [rng.choice(words) for _ in range(25)]
+        for _ in range(size):
+            copy = list(base)
+            for _ in range(rng.choice([0, 1, 2, 3])):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            texts.append(" ".join(copy))
+    texts += [" ".join(passage + [rng.choice(words) for _ in range(25)]) for _ in range(120)]
+    rng.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for percent in (85, 80):
+        _, roots = _components(texts, percent)
+        got = {r.doc_id: r.component_id for r in minhash_forest.near_duplicates(docs, percent).collect()}
+        assert [got[i] for i in range(len(texts))] == roots
