@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from setframe.config import CONTROL_BINS, REWEIGHT_BINS, REWEIGHT_RANGE
 from setframe.functions.binning import bin_edges, equal_width_bin
 from setframe.operators.grids import fill_grid
-from setframe.session import broadcast_bounded
+from setframe.session import broadcast_bounded, materialise
 
 
 def fixed_histogram(df: DataFrame, value: str, n_bins: int = REWEIGHT_BINS,
@@ -80,39 +80,51 @@ def auto_histograms(df: DataFrame, columns: Sequence[str], n_bins: int = CONTROL
                     max_groups: int | None = None) -> DataFrame:
     """Histogram of every column over its own min..max: ``(group..., feature, bin, lo, hi, n)``.
 
-    Pass one takes all ranges at once; pass two bins every column of a row and combines by
-    ``(group, feature, bin)``. Only occupied bins are listed. Pads, NULLs, NaN and
-    infinities are left out, of the ranges too.
+    Pass one takes all ranges at once, one row for each group. In pass two a record lists one integer
+    for each column, its place among all columns' bins, and those are counted before the shuffle: at
+    most ``tasks x groups x columns x bins`` small rows move. Only occupied bins are listed. Pads,
+    NULLs, NaN and infinities are left out, of the ranges too.
     """
     def usable(c: str) -> str:
         x = f"cast(`{c}` as double)"
         x = x if pad is None else f"nullif({x}, {float(pad)!r}D)"
         return f"if(abs({x}) < double('Infinity'), {x}, null)"
 
-    keys = [*group, "feature"]
-    per_column = ", ".join(f"struct('{c}' as feature, {usable(c)} as x)" for c in columns)
-    long = df.select(*group, F.expr(f"inline(array({per_column}))")).where("x is not null")
-    # Ranges come from one wide aggregation, before any row is taken apart by column.
-    extremes = df.groupBy(*group).agg(*[
-        F.expr(f"{f}({usable(c)})").alias(f"{f}_{i}")
+    # A column of one value gets a range of width one around it.
+    spread = df.groupBy(*group).agg(*[
+        F.expr(f"{f}({usable(c)})").alias(f"_{f}_{i}")
         for i, c in enumerate(columns) for f in ("min", "max")])
-    per_range = ", ".join(
-        f"struct('{c}' as _r_feature, min_{i} - if(min_{i} = max_{i}, 0.5D, 0D) as lo,"
-        f" max_{i} + if(min_{i} = max_{i}, 0.5D, 0D) as hi)" for i, c in enumerate(columns))
-    ranges = extremes.select(*[F.col(g).alias(f"_r_{g}") for g in group],
-                             F.expr(f"inline(array({per_range}))"))
-    condition = F.lit(True)
-    for k in keys:
-        condition = condition & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
-    # One range per feature and group; without a bound on the groups no broadcast is asked for.
+    ranges = spread.select(*[F.col(g).alias(f"_r_{g}") for g in group], *[
+        F.expr(f"_{f}_{i} {sign} if(_min_{i} = _max_{i}, 0.5D, 0D)").alias(f"_{end}_{i}")
+        for i in range(len(columns)) for f, sign, end in (("min", "-", "lo"), ("max", "+", "hi"))])
+    ends = [f"_{end}_{i}" for i in range(len(columns)) for end in ("lo", "hi")]
+    if group:
+        condition = F.lit(True)
+        for g in group:
+            condition = condition & F.col(g).eqNullSafe(F.col(f"_r_{g}"))
+        # Without a bound on the groups no broadcast is asked for.
+        ranges = materialise(ranges, "ranges")
+        ranged = df.join(broadcast_bounded(ranges, max_groups), condition)
+    else:
+        row = ranges.first()  # two numbers for each column
+        ranged = df.withColumns({e: F.lit(row[e]).cast("double") for e in ends})
+        ranges = df.sparkSession.createDataFrame([tuple(row)], ranges.schema)
+    places = [F.lit(i * n_bins) + equal_width_bin(F.expr(usable(c)), F.col(f"_lo_{i}"), F.col(f"_hi_{i}"),
+                                                  n_bins, True) for i, c in enumerate(columns)]
+    counted = (ranged.select(*group, F.explode(F.array(*places)).alias("_place"))
+               .groupBy(*group, "_place").agg(F.count(F.lit(1)).alias("n")).where("_place is not null"))
+    by_column = ranges.select(*[f"_r_{g}" for g in group], F.posexplode(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(f"_lo_{i}").alias("lo"), F.col(f"_hi_{i}").alias("hi"))
+        for i, c in enumerate(columns)])).alias("_column", "_r"))
+    same = F.floor(F.col("_place") / F.lit(n_bins)) == F.col("_column")
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"_r_{g}"))
     groups = 1 if not group else max_groups
     bound = None if groups is None else len(columns) * groups
-    joined = long.join(broadcast_bounded(ranges, bound), condition)
-    counted = joined.groupBy(
-        *keys, equal_width_bin(F.col("x"), F.col("lo"), F.col("hi"), n_bins, True).alias("bin"),
-        "lo", "hi").agg(F.count(F.lit(1)).alias("n")).where("bin is not null")
+    named = counted.join(broadcast_bounded(by_column, bound), same).select(
+        *group, "_r.*", (F.col("_place") % F.lit(n_bins)).alias("bin"), "n")
     low, high = bin_edges(F.col("bin"), F.col("lo"), F.col("hi"), n_bins)
-    return counted.select(*keys, "bin", low.alias("lo"), high.alias("hi"), "n")
+    return named.select(*group, "feature", "bin", low.alias("lo"), high.alias("hi"), "n")
 
 
 def _with_edges(filled: DataFrame, lo: float, hi: float, n_bins: int,

@@ -85,6 +85,23 @@ def split_coverage(spark: SparkSession, d: str) -> DataFrame:
     return sets.split_coverage(fx.cand(spark, d).select("id"), parts, "id")
 
 
+@query(with_parts("cand", """
+with parts as (
+  select id from cand where id % 4 <> 0 union all select id from cand where id % 5 = 0
+  union all select -id from cand where id % 50 = 1),
+units as (select id, count(*) as p from parts group by id)
+select (select count(*) from cand)::bigint as n_whole, (select count(*) from parts)::bigint as n_parts,
+       (select count(*) from cand where id not in (select id from units))::bigint as n_missing,
+       (select count(*) from units where id not in (select id from cand))::bigint as n_extra,
+       (select count(*) from units where p > 1)::bigint as n_overlap"""))
+def split_faults(spark: SparkSession, d: str) -> DataFrame:
+    """The same proof on parts that overlap, miss units of the whole, and hold others."""
+    whole = fx.cand(spark, d).select("id")
+    parts = {"a": whole.where("id % 4 <> 0"), "b": whole.where("id % 5 = 0"),
+             "c": whole.where("id % 50 = 1").select((-F.col("id")).alias("id"))}
+    return sets.split_coverage(whole, parts, "id")
+
+
 @query(with_parts("cand", "select id, is_fake::int as is_fake, pt from cand"))
 def union_classes(spark: SparkSession, d: str) -> DataFrame:
     rows = fx.cand(spark, d).select("id", F.col("is_fake").cast("int").alias("is_fake"), "pt")

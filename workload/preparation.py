@@ -555,3 +555,19 @@ def list_stats(spark: SparkSession, d: str) -> DataFrame:
         F.filter("embedding", lambda x: x <= 0).alias("down"))
     found = stats.mixed_stats(rows, ["vec_id"], ["up", "down"], n_sigma=1.5)
     return found.select("feature", rd("mean").alias("mean"), rd("stddev").alias("stddev"), "n")
+
+
+@query(with_parts("obj", f"""
+with {ODD}
+select 'f1' as feature, count(*) filter (where f1 is null or isnan(f1))::bigint as n_nan,
+       count(*)::bigint as n_rows from odd
+union all
+select 'f2', count(*) filter (where l_partkey % 53 = 0 or l_suppkey % 7 = 0)::bigint, count(*)::bigint from obj"""))
+def nan_audit_odd(spark: SparkSession, d: str) -> DataFrame:
+    """The audit on columns that hold both NaN and NULL."""
+    line = F.col("l_linenumber")
+    f2 = (F.when(F.col("l_partkey") % 53 == 0, F.lit(float("nan")))
+          .when(F.col("l_suppkey") % 7 != 0, F.col("f2")))
+    rows = fx.objects(spark, d).select(
+        F.when(line == 1, -999.0).when(line != 2, F.col("f1")).alias("f1"), f2.alias("f2"))
+    return stats.nan_audit(rows, ["f1", "f2"])
