@@ -13,8 +13,10 @@ sorted, by their signatures; only pairs that agree enough leave the task, to be
 
 Components follow. What a large region may still hide is a link between two of its components. Members
 outside its largest component are therefore compared, by signature and block by block, with all members
-of the region that are of another component; the new pairs are confirmed in the same way. So no region
-gives more than a fixed number of pairs for each member, but for pairs of different components that agree.
+of the region that are of another component; what agrees is compared again by wide signatures (``WIDE``
+coordinates of one byte, made for these members only), which tell apart what is near the threshold and
+what only shares a passage. The new pairs are confirmed in the same way. So no region gives more than a
+fixed number of pairs for each member, but for pairs of different components that agree closely.
 
 Regions are dealt over tasks by ranges of the sorted order; one of more than ``WHOLE`` members may be cut,
 which costs the neighbours on either side of a cut this tree and nothing else.
@@ -22,7 +24,7 @@ which costs the neighbours on either side of a cut this tree and nothing else.
 A pair at the threshold shares a base prefix in some tree with probability above 0.99999997 at 0.85 and
 above 0.999996 at 0.80, and is then compared. Signatures wrongly decide against it (``ERRORS``) with
 probability 5.9e-6 and 3.0e-6 by the binomial tail, so it is confirmed with probability above 0.99999 at
-either.
+either. The wide signatures refuse it with probability below 3e-6 more.
 """
 
 from __future__ import annotations
@@ -47,6 +49,8 @@ BASE, FURTHER = 4, 12
 WINDOW = 15
 #: Members up to which a region is never cut.
 WHOLE = 512
+#: Coordinates of the signatures that compare members of large regions once more.
+WIDE = 1024
 #: Standard errors below the threshold at which signatures decide against a pair.
 ERRORS = 5.0
 #: Members of a crowded region that are compared with each other at a time.
@@ -55,6 +59,7 @@ BLOCK = 2048
 STRIP = 1 << 14
 
 _MULTIPLIERS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) << np.uint64(7)) | np.uint64(1)
+_WIDE_MULTIPLIERS = mix(np.arange(1, WIDE + 1, dtype=np.uint64) << np.uint64(23)) | np.uint64(1)
 
 
 def _signatures(values: pa.Array):
@@ -85,6 +90,25 @@ def _described(text: str) -> Column:
     return describe(text)
 
 
+def _wide_signature(text: str) -> Column:
+    """The last bytes of ``WIDE`` further minima of a text's set."""
+    @F.arrow_udf("binary")
+    def wide(values: pa.Array) -> pa.Array:
+        out = []
+        for part in slices(values):
+            members, offsets = shingle_sets(part)
+            full = np.flatnonzero(np.diff(offsets))
+            table = np.zeros((len(part), WIDE), np.uint8)
+            if len(full):
+                at = offsets[:-1][full]
+                for c, factor in enumerate(_WIDE_MULTIPLIERS):
+                    lowest = np.minimum.reduceat(members * factor >> np.uint64(32), at)
+                    table[full, c] = lowest.astype(np.uint8)
+            out += [row.tobytes() for row in table]
+        return pa.array(out, pa.binary())
+    return wide(text)
+
+
 def _set_of(text: str) -> Column:
     @F.arrow_udf("binary")
     def full_set(values: pa.Array) -> pa.Array:
@@ -191,19 +215,21 @@ def _neighbours(least: float):
     return compare
 
 
-def _least_agreement(threshold: int) -> float:
+def _least_agreement(threshold: int, coordinates: int = COORDINATES) -> float:
     share = threshold / 100.0
-    return share - ERRORS * (share * (1 - share) / COORDINATES) ** 0.5
+    return share - ERRORS * (share * (1 - share) / coordinates) ** 0.5
 
 
-def _across(least: float):
-    """Pairs of a block that agree enough, are of different components, and share no earlier tree."""
+def _across(least: float, least_wide: float):
+    """Pairs of a block that agree enough by both signatures, are of different components, and share no
+    earlier tree."""
     def compare(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         outside = np.flatnonzero(np.array(table["outside"].to_pylist(), bool))
         inside = np.flatnonzero(~np.array(table["outside"].to_pylist(), bool))
         signatures = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint32)
         signatures = signatures.reshape(-1, COORDINATES)
+        wide = np.frombuffer(b"".join(table["wide"].to_pylist()), np.uint8).reshape(-1, WIDE)
         part = np.array(table["part"].to_pylist(), np.int64)
         left, right = [], []
         if len(outside) and len(inside):
@@ -214,6 +240,7 @@ def _across(least: float):
                 if near.any():
                     trees = same[near].reshape(-1, TREES, BASE).all(axis=2)
                     found = inside[near][trees.argmax(axis=1) == tree]
+                    found = found[(wide[found] == wide[i]).mean(axis=1) >= least_wide]
                     left += [int(i)] * len(found)
                     right += found.tolist()
         ids = table["id"]
@@ -222,7 +249,8 @@ def _across(least: float):
     return compare
 
 
-def _hidden(reps: DataFrame, crowded: DataFrame, links: DataFrame, threshold: int) -> DataFrame:
+def _hidden(source: DataFrame, reps: DataFrame, crowded: DataFrame, links: DataFrame,
+            threshold: int) -> DataFrame:
     """Candidates between members of crowded regions that are not connected so far."""
     roots = materialise(components(links), "components")
     placed = (crowded.join(roots.withColumnRenamed("node", "id"), "id", "left")
@@ -232,20 +260,25 @@ def _hidden(reps: DataFrame, crowded: DataFrame, links: DataFrame, threshold: in
     placed = placed.join(largest, ["tree", "key"]).withColumn("outside", F.col("part") != F.col("main"))
     placed = materialise(placed.drop("main", "root"), "placed")
     strays = placed.where("outside").groupBy("tree", "key").agg(F.count(F.lit(1)).alias("strays"))
-    rows = placed.join(strays, ["tree", "key"]).join(reps, "id")
+    apart = placed.join(strays, ["tree", "key"])
+    wanted = broadcast_if_small(materialise(apart.select("id").distinct(), "wanted"))
+    wide = source.join(wanted, "id").select("id", _wide_signature("t").alias("wide"))
+    # Rows that repeat key and text share an id.
+    wide = materialise(wide.groupBy("id").agg(F.min("wide").alias("wide")), "wide")
+    rows = apart.join(reps.join(wide, "id"), "id")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     chunks = F.ceil(F.col("strays") / BLOCK).cast("int")
     own_block = F.pmod(F.xxhash64("id"), blocks).cast("int")
     own_chunk = F.pmod(F.xxhash64("id"), chunks).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    columns = ["tree", "key", "id", "part", "sig", "outside", "block", "chunk"]
+    columns = ["tree", "key", "id", "part", "sig", "wide", "outside", "block", "chunk"]
     tiles = (rows.withColumn("outside", F.lit(False)).withColumn("block", own_block)
              .withColumn("chunk", every(chunks)).select(*columns)
              .unionByName(rows.where("outside").withColumn("chunk", own_chunk)
                           .withColumn("block", every(blocks)).select(*columns)))
     kind = reps.schema["id"].dataType.simpleString()
     found = tiles.groupBy("tree", "key", "block", "chunk").applyInArrow(
-        _across(_least_agreement(threshold)), f"a {kind}, b {kind}")
+        _across(_least_agreement(threshold), _least_agreement(threshold, WIDE)), f"a {kind}, b {kind}")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -271,7 +304,7 @@ def _links(source: DataFrame, reps: DataFrame, threshold: int) -> DataFrame:
     links = _confirmed(materialise(pairs, "pairs"), source, threshold)
     if crowded.isEmpty():
         return links
-    hidden = materialise(_hidden(reps, crowded, links, threshold), "pairs")
+    hidden = materialise(_hidden(source, reps, crowded, links, threshold), "pairs")
     if hidden.isEmpty():
         return links
     return links.unionByName(_confirmed(hidden, source, threshold))
