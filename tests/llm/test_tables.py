@@ -7,6 +7,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from setframe.llm import embedding_join, mixing
 
 # ---- mixing -------------------------------------------------------------------------------
@@ -76,6 +77,28 @@ def test_sampled_rows_keep_their_columns(spark):
             .select("source").distinct().collect()} == {"hot", "s1"}
 
 
+def test_marginals_tell_what_was_reached(spark):
+    docs, _ = _documents(spark)
+    assert mixing.marginals(docs).agg({"error": "max"}).first()[0] < 0.01
+    rows = [(i, "w " * 10, f"s{i % 3}", f"l{i % 3}") for i in range(90)]
+    own = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    apart = mixing.Mixture(targets={"source": {"s0": 0.5, "s1": 0.3, "s2": 0.2},
+                                    "lang": {"l0": 0.2, "l1": 0.3, "l2": 0.5}, "topic": 1.0})
+    got = {(r.dimension, r.value): r for r in mixing.marginals(own, apart).collect()}
+    assert got["source", "s0"].target == pytest.approx(0.5) and got["source", "s0"].error > 0.2
+    assert got["lang", "l0"].error < 1e-9
+
+
+def test_topics_may_be_a_column(spark):
+    docs, _ = _documents(spark)
+    marked = docs.withColumn("kind", F.when(F.col("doc_id") % 2 == 0, "even"))
+    rows = mixing.probabilities(marked, mixing.Mixture(topic=F.col("kind"))).collect()
+    assert {r.topic for r in rows} == {"even", mixing.NONE} and len(rows) == docs.count()
+    shares = mixing.Mixture(topic=F.col("kind"), targets={"source": 1.0, "lang": 1.0, "topic": {"even": 1.0}})
+    kept = mixing.sampled(marked, shares)
+    assert kept.columns == marked.columns and kept.where("kind is null and text <> ''").count() == 0
+
+
 # ---- vectors ------------------------------------------------------------------------------
 
 def _vectors():

@@ -39,6 +39,34 @@ def test_tree_encodes_like_the_library():
         assert codec.decode_packed(packed) == text.encode()
 
 
+def test_blocks_are_decoded_up_a_tree(monkeypatch):
+    monkeypatch.setattr(bpe, "_BLOCK_IDS", 4)
+    codec = bpe.BytePairCodec(RANKS, public_tokenizers.PATTERN)
+    for text in ("", "a", "some words, 123 and 世界 😀 over and over " * 20):
+        packed = codec.encode(text)
+        assert codec.decode_packed(packed) == text.encode()
+
+
+def test_small_tables_change_nothing(monkeypatch):
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choice("abcxyz.,é") for _ in range(rng.randint(1, 9))) for _ in range(60))
+             for _ in range(40)]
+    codec = bpe.BytePairCodec(RANKS, public_tokenizers.PATTERN)
+    want = [codec.encode(t) for t in texts]
+    for name in ("REMEMBERED_WORDS", "REMEMBERED_SHORT", "REMEMBERED_PAIRS"):
+        monkeypatch.setattr(bpe, name, 8)
+    small = bpe.BytePairCodec(RANKS, public_tokenizers.PATTERN)
+    assert [small.encode(t) for t in texts] == want
+    assert all(len(t) <= 8 for t in (small._first, small._later, small._short, small._pairs))
+
+
+def test_patterns_with_spaces_elsewhere():
+    for pattern in (r"\S+ ?|\s", r"[a-z]+ [a-z]+|\s|\S", r"(?:\S+ )*\S+|\s", public_tokenizers.PATTERN):
+        codec = bpe.BytePairCodec(RANKS, pattern)
+        for text in ("some words here", "a b", "x, y 12 z's ", " lead"):
+            assert codec.encode(text) == codec.pack(text), (pattern, text)
+
+
 def test_long_periodic_piece():
     codec = bpe.BytePairCodec(RANKS, public_tokenizers.PATTERN)
     for text in ("a" * 50_000, "abcab" * 9000):
@@ -102,6 +130,22 @@ def _weak_prints(text):
                     zero.alias("f2"), F.sha2(F.lower(text), 256).alias("sha"))
 
 
+@pytest.mark.parametrize("chars", [1, 3, 7])
+def test_long_texts_are_compared_chunk_by_chunk(spark, monkeypatch, chars):
+    """All texts share a fingerprint; they differ in the first, a middle or the last chunk, or nowhere."""
+    monkeypatch.setattr(exact_dedup, "_prints", _weak_prints)
+    monkeypatch.setattr(exact_dedup, "CHUNK_CHARS", chars)
+    monkeypatch.setattr(exact_dedup, "MEMBERS_PER_COPY", 2)
+    texts = ["abcdefghij", "ABCDEFGHIJ", "Xbcdefghij", "abcdXfghij", "abcdefghiX", "abcdEfghij", "abcdexghij"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_duplicates(docs).collect()}
+    want = {}
+    for i, t in enumerate(texts):
+        same = [j for j, u in enumerate(texts) if u.lower() == t.lower()]
+        want[i] = (max(same), len(same))
+    assert got == want
+
+
 # ---- near-duplicates ----------------------------------------------------------------------
 
 def _set(text):
