@@ -3,9 +3,25 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from setframe.session import ship_package
+
+
+#: Rows of one Arrow batch at most: texts are long, and a batch is held by the JVM and by Python.
+BATCH_ROWS = 2000
+
+
+def ship(spark: SparkSession) -> None:
+    """:func:`setframe.session.ship_package`, and batches of at most ``BATCH_ROWS`` rows in this
+    session. Changes no result."""
+    ship_package(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = int(spark.conf.get(key))
+    if rows <= 0 or rows > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
 
 def texts(values: pa.Array) -> list[str]:
     """The strings of an Arrow column; NULL reads as empty."""

@@ -25,8 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from setframe.llm.columns import fold, labelled_sample, texts
-from setframe.session import ship_package
+from setframe.llm.columns import fold, labelled_sample, ship, texts
 
 # Characters that stand for a Latin letter.
 LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s",
@@ -76,10 +75,10 @@ class Lexicon:
                 covered.append((start, last))
             else:
                 found.append((start, entry))
-        return [(s, e) for s, e in found if not any(a <= s <= b for a, b in covered)]
+        return _outside(found, covered)
 
     def features(self, text: str) -> tuple[float, float]:
-        weight = dict(self.weights)
+        weight = _weights(self.weights)
         text = folded(text)
         total = sum(weight[e] for _, e in self.matches(text))
         return log1p(total), log1p(1000.0 * total / (text.count(" ") + 1))
@@ -90,6 +89,24 @@ class Lexicon:
         return 1.0 / (1.0 + exp(-max(-30.0, min(30.0, z))))
 
 
+def _outside(found: list[tuple[int, str]], covered: list[tuple[int, int]]) -> list[tuple[int, str]]:
+    """Matches that start in none of the covered stretches; both lists are walked once."""
+    covered = sorted(covered)
+    out, at, reach = [], 0, -1
+    for start, entry in sorted(found):
+        while at < len(covered) and covered[at][0] <= start:
+            reach = max(reach, covered[at][1])
+            at += 1
+        if start > reach:
+            out.append((start, entry))
+    return out
+
+
+@lru_cache(maxsize=4)
+def _weights(weights: tuple) -> dict[str, float]:
+    return dict(weights)
+
+
 @lru_cache(maxsize=4)
 def _automaton(weights: tuple, exceptions: tuple) -> ahocorasick.Automaton:
     automaton = ahocorasick.Automaton()
@@ -191,7 +208,7 @@ def learn(sample: DataFrame, fit: Fit | None = None, prior: float | None = None)
     show it. Without rows of both classes it matches nothing and every
     score is the share of toxic rows (0.5 without rows)."""
     fit = fit or Fit()
-    ship_package(sample.sparkSession)
+    ship(sample.sparkSession)
     sizes = {r.y: r.n for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_clean:
