@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,10 +28,12 @@ from setframe.session import ship_package
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_ATOMS, MAX_CHARS = 16, 80
-SAMPLE_ROWS = 600
+#: Texts that the field is fitted on, at most, and the characters that such a text may have.
+SAMPLE_ROWS, SAMPLE_CHARS = 600, 1 << 14
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+# A run of digits fails or matches from its first digit, so later ones are not tried.
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -68,7 +71,8 @@ def base_spans(text: str) -> list[Span]:
     if not _DIGIT.search(text):
         return found
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        parts = [p.lstrip("0") for p in m[0].split(".")]
+        if all(len(p) <= 3 and int(p or "0") <= 255 for p in parts):
             found.append((m.start(), 1, m.end()))
     for m in _CARD.finditer(text):
         digits = _digits(m[0])
@@ -317,26 +321,45 @@ def fit(sample: list[str], epochs: int = 15, rate: float = 0.5, strength: float
 def all_spans(text: str, weights: np.ndarray) -> tuple[list[Span], list[Span]]:
     """Base spans, and base spans with those of the field that touch none of them."""
     base = base_spans(text)
+    starts, stops = _union([(s[0], s[2]) for s in base])
     extra = []
     for start, stop in islands(text):
         edges, found = candidates(text, start, stop)
-        near = [s for s in base if s[0] < stop and s[2] > start]
-        extra += [s for s in decode(edges, found, weights)
-                  if not any(s[0] < b[2] and b[0] < s[2] for b in near)]
+        for span in decode(edges, found, weights):
+            # The last stretch that starts before the span's end is the only one that may touch it.
+            at = bisect_left(starts, span[2]) - 1
+            if at < 0 or stops[at] <= span[0]:
+                extra.append(span)
     return base, sorted(base + extra)
 
 
+def _union(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that spans, sorted by start, cover together."""
+    starts: list[int] = []
+    stops: list[int] = []
+    for start, stop in spans:
+        if stops and start <= stops[-1]:
+            stops[-1] = max(stops[-1], stop)
+        else:
+            starts.append(start)
+            stops.append(stop)
+    return starts, stops
+
+
 def _joined(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in spans)
 
 
-def learned_from(docs: DataFrame, rows: int = SAMPLE_ROWS, text: str = "text") -> np.ndarray:
-    """Weights fitted on at most ``rows`` different texts with marks, those of the smallest digests.
+def learned_from(docs: DataFrame, rows: int = SAMPLE_ROWS, text: str = "text",
+                 chars: int = SAMPLE_CHARS) -> np.ndarray:
+    """Weights fitted on at most ``rows`` different texts with marks and at most ``chars`` characters,
+    those of the smallest digests.
 
     Digests are chosen first, so only the sample's own texts reach the driver, each once.
     """
     ship_package(docs.sparkSession)
-    marked = docs.select(F.col(text).alias("t")).where(F.col("t").rlike("[0-9@]"))
+    marked = docs.select(F.col(text).alias("t")).where(
+        (F.length("t") <= chars) & F.col("t").rlike("[0-9@]"))
     marked = marked.withColumn("x", F.xxhash64("t"))
     edge = marked.select("x").distinct().orderBy("x").limit(rows).agg(F.max("x")).first()[0]
     if edge is None:
