@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from setframe.session import materialise
@@ -56,6 +56,8 @@ RARE = 3
 RATE = 0.05
 STEPS = 20  # grid steps to a factor of ten
 MOST_LEVEL = 400
+#: Matches that are placed one after the other.
+BLOCK = 256
 
 
 def _quoted(pattern: str) -> str:
@@ -65,25 +67,32 @@ def _quoted(pattern: str) -> str:
 def _located(pattern: str, kind: int, checked: str | None = None) -> str:
     """SQL for ``array<struct<start, kind, stop, token>>`` of a pattern's matches in ``t``.
 
-    ``checked``: the group whose length the caller tests afterwards, instead of the whole match.
+    Matches are placed within blocks first, then blocks by their lengths, so the time does not grow with
+    the square of their number. ``checked``: the group whose length the caller tests afterwards, instead of the whole match.
     """
     p = _quoted(pattern)
     shown = checked or "0"
+    span = "struct<start: int, kind: int, stop: int, token: string>"
+    matches = f"""arrays_zip(slice(split(t, {p}, -1), 1, size(regexp_extract_all(t, {p}, 0))),
+        regexp_extract_all(t, {p}, 0), regexp_extract_all(t, {p}, {shown}))"""
+    block = f"""aggregate(slice(z, b * {BLOCK} + 1, {BLOCK}),
+        named_struct('at', 0, 'spans', cast(array() as array<{span}>)),
+        (acc, m) -> named_struct(
+          'at', acc.at + length(m.`0`) + length(m.`1`),
+          'spans', concat(acc.spans, array(named_struct(
+            'start', acc.at + length(m.`0`), 'kind', {kind},
+            'stop', acc.at + length(m.`0`) + length(m.`1`), 'token', m.`2`)))))"""
+    offsets = """aggregate(blocks, named_struct('at', 0, 'all', cast(array() as array<int>)),
+        (acc, b) -> named_struct('at', acc.at + b.at, 'all', concat(acc.all, array(acc.at))),
+        acc -> acc.all)"""
+    shifted = f"""flatten(zip_with(blocks, {offsets}, (b, o) -> transform(b.spans, s -> named_struct(
+        'start', s.start + o, 'kind', s.kind, 'stop', s.stop + o, 'token', s.token))))"""
+    # ``transform(array(x), name -> ...)[0]`` names a value, so that it is computed once.
     return f"""
       case when t rlike {p} then
-        aggregate(
-          arrays_zip(slice(split(t, {p}, -1), 1, size(regexp_extract_all(t, {p}, 0))),
-                     regexp_extract_all(t, {p}, 0),
-                     regexp_extract_all(t, {p}, {shown})),
-          named_struct('at', 0, 'spans', cast(array() as
-            array<struct<start: int, kind: int, stop: int, token: string>>)),
-          (acc, m) -> named_struct(
-            'at', acc.at + length(m.`0`) + length(m.`1`),
-            'spans', concat(acc.spans, array(named_struct(
-              'start', acc.at + length(m.`0`), 'kind', {kind},
-              'stop', acc.at + length(m.`0`) + length(m.`1`), 'token', m.`2`)))),
-          acc -> acc.spans)
-      else cast(array() as array<struct<start: int, kind: int, stop: int, token: string>>) end"""
+        transform(transform(array({matches}), z ->
+            transform(sequence(0, (size(z) - 1) div {BLOCK}), b -> {block})), blocks -> {shifted})[0]
+      else cast(array() as array<{span}>) end"""
 
 
 def base_spans() -> Column:
@@ -118,7 +127,6 @@ def _tokens() -> str:
         for name, (_, shape) in ENCODINGS.items() if shape) + " end"
     alphabet = "case " + " ".join(f"when x.encoding = '{name}' then '{letters}'"
                                   for name, (letters, _) in ENCODINGS.items()) + " end"
-    value = "instr(x.alphabet, substr(x.token, i, 1)) - 1"
     joined = f"""transform({_located(TOKEN, 0)}, s -> named_struct('start', s.start,
         'stop', s.stop, 'token', translate(s.token, '_-', '/+'),
         'joined', translate(s.token, '{SEPARATORS}', '')))"""
@@ -131,7 +139,7 @@ def _tokens() -> str:
         'token', x.token, 'encoding', x.encoding, 'alphabet', {alphabet}))"""
     return f"""transform({lettered}, x -> named_struct('start', x.start, 'stop', x.stop,
         'encoding', x.encoding, 'k', length(x.alphabet), 'n', length(x.token),
-        'v', transform(sequence(1, length(x.token)), i -> {value})))"""
+        'v', transform(split(x.token, ''), c -> instr(x.alphabet, c) - 1)))"""
 
 
 def _counted() -> str:
@@ -189,15 +197,12 @@ def rejection_levels(rows: DataFrame, rate: float = RATE) -> dict[str, int]:
     """
     levels = (rows.select(F.explode("tokens").alias("token")).select("token.stratum", "token.level")
               .groupBy("stratum", "level").agg(F.count(F.lit(1)).alias("n")))
-    levels.createOrReplaceTempView("__sf_secret_levels")
-    found = rows.sparkSession.sql(f"""
-        select stratum, min(level) as level from (
-          select stratum, level,
-                 sum(n) over (partition by stratum order by level desc) as so_far,
-                 sum(n) over (partition by stratum) as total
-          from __sf_secret_levels) t
-        where power(10.0, -level / {float(STEPS)}) <= {rate} * so_far / total
-        group by stratum""")
+    stratum = Window.partitionBy("stratum")
+    found = (levels.withColumn("so_far", F.sum("n").over(stratum.orderBy(F.desc("level"))))
+             .withColumn("total", F.sum("n").over(stratum))
+             .where(F.pow(F.lit(10.0), -F.col("level") / F.lit(float(STEPS)))
+                    <= F.lit(rate) * F.col("so_far") / F.col("total"))
+             .groupBy("stratum").agg(F.min("level").alias("level")))
     return {r.stratum: r.level for r in found.collect()}
 
 
