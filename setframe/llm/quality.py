@@ -167,8 +167,11 @@ def _gradients(net: Network, values: list[bytes], y: np.ndarray, weight: np.ndar
     by_mean = (dz / data.chunks)[:, None] * net.dense[:FILTERS]
     grad = np.repeat(by_mean, data.chunks, axis=0)
     most = np.repeat(features[:, FILTERS:], data.chunks, axis=0)
-    grad += np.where(hidden == most, np.repeat(dz[:, None] * net.dense[FILTERS:-1], data.chunks,
-                                               axis=0), 0.0)
+    # Chunks overlap, so one peak may be the maximum of two: they share its gradient.
+    tied = hidden == most
+    shares = np.repeat(np.add.reduceat(tied.astype(np.int64), data.chunk_start), data.chunks, axis=0)
+    grad += np.where(tied, np.repeat(dz[:, None] * net.dense[FILTERS:-1], data.chunks, axis=0)
+                     / np.maximum(shares, 1), 0.0)
     grad *= hidden > 0
     peaks = data.peaks(hidden)
     first, second = np.zeros(net.first.shape), np.zeros(net.second.shape)
