@@ -32,13 +32,20 @@ OTHER_TOPIC = "prose"
 @dataclass(frozen=True)
 class Mixture:
     """``targets``: for each dimension shares by value, or an exponent. Values without a share are not
-    sampled; shares are normalised over the values that occur. ``budget`` is the part of all tokens."""
+    sampled; shares are normalised over the values that occur. ``budget`` is the part of all tokens.
+    ``topic`` is a column of the documents that names each one's topic; without one, marks in the text
+    tell a few kinds apart (:func:`topic`).
+
+    Targets that no weights meet together (such as sources of one language each, with shares that do not
+    add up to the languages') are followed in turn, the last dimension's exactly; :func:`marginals` says
+    what each value was to have and has."""
 
     targets: dict[str, dict[str, float] | float] = field(
         default_factory=lambda: {"source": 0.5, "lang": 0.7, "topic": 0.7})
     budget: float = 0.6
     rounds: int = 12
     seed: int = 42
+    topic: Column | None = None
 
 
 def topic(text: str | Column = "text") -> Column:
@@ -55,11 +62,12 @@ def token_count(text: str | Column = "text") -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
 
 
-def _cell(text: str) -> list[Column]:
+def _cell(text: str, mixture: Mixture) -> list[Column]:
     """Source, language and topic of a row; NULL is a value of its own."""
     columns = [F.coalesce(F.col(c).cast("string"), F.lit(NONE)).alias(f"__sf_{c}")
                for c in ("source", "lang")]
-    return [*columns, topic(text).alias("__sf_topic")]
+    own = topic(text) if mixture.topic is None else F.coalesce(mixture.topic.cast("string"), F.lit(NONE))
+    return [*columns, own.alias("__sf_topic")]
 
 
 _CELL = [f"__sf_{d}" for d in DIMENSIONS]
@@ -85,7 +93,7 @@ def _targets(cells: DataFrame, mixture: Mixture) -> DataFrame:
 
 def raked_cells(docs: DataFrame, mixture: Mixture, text: str = "text") -> DataFrame:
     """One row for every cell: its values, ``tokens``, raked ``weight`` and probability ``p``."""
-    return _raked(docs.select(*_cell(text), token_count(text).alias("n")), mixture)
+    return _raked(docs.select(*_cell(text, mixture), token_count(text).alias("n")), mixture)
 
 
 def _raked(rows: DataFrame, mixture: Mixture) -> DataFrame:
@@ -114,10 +122,23 @@ def _raked(rows: DataFrame, mixture: Mixture) -> DataFrame:
     cells = cells.withColumn("level", F.max("level").over(whole))
     share = F.when(F.col("tokens") == 0, 1.0).when(F.col("weight") <= 0, 0.0).otherwise(
         F.least(F.lit(1.0), F.col("level") * F.col("weight") / F.col("tokens")))
-    out = cells.select(*_CELL, "tokens", "weight", share.alias("p"))
+    out = cells.select(*_CELL, "tokens", "weight", share.alias("p"), *[f"t_{d}" for d in DIMENSIONS])
     return materialise(out, "raked")
 
 
+def marginals(docs: DataFrame, mixture: Mixture | None = None, text: str = "text") -> DataFrame:
+    """``(dimension, value, target, reached, error)`` of every value: the share of the weight that it was
+    to have and the share that raking gave it. Where ``error`` is not close to 0 the targets do not go
+    together, or ``rounds`` were too few."""
+    mixture = mixture or Mixture()
+    cells = raked_cells(docs, mixture, text)
+    parts = [cells.groupBy(F.col(f"__sf_{d}").alias("value")).agg(
+        F.max(f"t_{d}").alias("target"), F.sum("weight").alias("reached")).select(
+        F.lit(d).alias("dimension"), "value", "target", "reached") for d in DIMENSIONS]
+    table = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return table.withColumn("error", F.abs(F.col("reached") - F.col("target")))
+
+
 def uniform(key: str | Column, seed: int) -> Column:
     """A number in [0, 1) that depends on the key alone: 52 bits of a digest."""
     key = F.col(key) if isinstance(key, str) else key
@@ -134,7 +155,7 @@ def probabilities(docs: DataFrame, mixture: Mixture | None = None, key: str = "d
     """
     mixture = mixture or Mixture()
     narrow = materialise(docs.select(
-        F.col(key).alias("k"), *_cell(text), token_count(text).alias("n"),
+        F.col(key).alias("k"), *_cell(text, mixture), token_count(text).alias("n"),
         F.col("source"), F.col("lang")), "narrow")
     cells = _raked(narrow, mixture)
     rows = narrow.join(broadcast_if_small(cells.select(*_CELL, "p")), _CELL)
@@ -148,7 +169,7 @@ def sampled(docs: DataFrame, mixture: Mixture | None = None, key: str = "doc_id"
     """The sampled rows with all columns of ``docs``."""
     mixture = mixture or Mixture()
     cells = raked_cells(docs, mixture, text).select(*_CELL, F.col("p").alias("__sf_p"))
-    placed = docs.withColumns(dict(zip(_CELL, _cell(text), strict=True)))
+    placed = docs.withColumns(dict(zip(_CELL, _cell(text, mixture), strict=True)))
     taken = placed.join(broadcast_if_small(cells), _CELL)
     return taken.where(uniform(key, mixture.seed) < F.col("__sf_p")).select(
         *(F.col(f"`{c}`") for c in docs.columns))
