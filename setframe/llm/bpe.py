@@ -31,16 +31,18 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from setframe.llm.columns import struct_array, texts
-from setframe.session import ship_package
+from setframe.llm.columns import ship, struct_array, texts
 
-LEAF_BYTES = 8
+LEAF_BYTES = 16
 SHORT_BYTES = 16
 NO_RANK = 1 << 62
-#: Entries that each of the four tables of a worker remembers: some 30 MB in all.
-REMEMBERED = 1 << 16
+#: Entries that a worker's tables remember: words, short strings, pairs of tokens; some 70 MB in all.
+REMEMBERED_WORDS, REMEMBERED_SHORT, REMEMBERED_PAIRS = 3 << 17, 1 << 16, 1 << 16
 REMEMBERED_CHARS = 64
 _BLOCK_IDS = 1 << 16
+#: Kinds of characters around single spaces: a pattern that puts such a space inside a piece, or at
+#: its end, is not taken word by word.
+_PROBE = " ".join(["a", "Bc", "1", "23", ",", ".", "'s", "d'e", "é", "世界", "-", "(f)", "g_h", "#", "😀", "i"])
 # A space that does not start a piece: before white space or at the end.
 _LOOSE_SPACE = re.compile(r" (?=\s|\Z)")
 
@@ -56,11 +58,12 @@ def pack_ids(ids: list[int]) -> bytes:
 
 
 class _Recent(dict):
-    """A table of at most ``REMEMBERED`` entries. When half of them are new, all older ones go; what
+    """A table of at most ``limit`` entries. When half of them are new, all older ones go; what
     is looked up again in time is new again. A missing key is computed by ``made``."""
 
-    def __init__(self) -> None:
+    def __init__(self, limit: int) -> None:
         super().__init__()
+        self.limit = limit
         self._older: dict = {}
 
     def __missing__(self, key):
@@ -69,7 +72,7 @@ class _Recent(dict):
             value = self.made(key)
             if not self.worth(key):
                 return value
-        if len(self) >= REMEMBERED // 2:
+        if len(self) >= self.limit // 2:
             self._older = dict(self)
             self.clear()
         self[key] = value
@@ -89,7 +92,7 @@ class _Words(_Recent):
     """
 
     def __init__(self, codec: BytePairCodec, lead: str) -> None:
-        super().__init__()
+        super().__init__(REMEMBERED_WORDS)
         self.codec, self.lead = codec, lead
 
     def worth(self, word: str) -> bool:
@@ -108,7 +111,7 @@ class _Short(_Recent):
     """The encoding of short strings: leaves and windows recur all the time."""
 
     def __init__(self, codec: BytePairCodec) -> None:
-        super().__init__()
+        super().__init__(REMEMBERED_SHORT)
         self.codec = codec
 
     def made(self, data: bytes) -> list[int]:
@@ -119,7 +122,7 @@ class _Adjoining(_Recent):
     """Whether two tokens may stand side by side."""
 
     def __init__(self, codec: BytePairCodec) -> None:
-        super().__init__()
+        super().__init__(REMEMBERED_PAIRS)
         self.codec = codec
 
     def made(self, pair: tuple[int, int]) -> bool:
@@ -136,13 +139,18 @@ class BytePairCodec:
         self.pattern = regex.compile(pattern)
         self._short, self._pairs = _Short(self), _Adjoining(self)
         self._first, self._later = _Words(self, ""), _Words(self, " ")
+        pieces = self.pattern.findall(_PROBE)
+        self._by_word = "".join(pieces) == _PROBE and not any(" " in p[1:] for p in pieces)
 
     # ---- one piece ----------------------------------------------------------------------
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """The ids of one piece; a piece that is a token is that token."""
         rank = self.ranks.get(piece)
-        return [rank] if rank is not None else self._tree(piece)
+        if rank is not None:
+            return [rank]
+        # Words are remembered as such; only parts of longer pieces go through the tables.
+        return self.merge(piece) if len(piece) <= LEAF_BYTES else self._tree(piece)
 
     def _tree(self, data: bytes) -> list[int]:
         if len(data) <= LEAF_BYTES:
@@ -223,8 +231,9 @@ class BytePairCodec:
 
     def encode(self, text: str) -> bytes:
         """Like ``pack``, word by word: a space before a visible character starts a piece, so a
-        text without loose spaces is the concatenation of its words."""
-        if _LOOSE_SPACE.search(text):
+        text without loose spaces is the concatenation of its words. Where the pattern has spaces
+        elsewhere, the text is taken whole."""
+        if not self._by_word or _LOOSE_SPACE.search(text):
             return self.pack(text)
         first, *later = text.split(" ")
         return self._first[first] + b"".join(map(self._later.__getitem__, later))
@@ -251,7 +260,7 @@ class Vocabulary:
     """A vocabulary file (fixed size, under a megabyte) sent to the workers once."""
 
     def __init__(self, spark: SparkSession, path: str, pattern: str) -> None:
-        ship_package(spark)
+        ship(spark)
         with open(path, "rb") as file:
             self._data = spark.sparkContext.broadcast(file.read())
         self._pattern = pattern
