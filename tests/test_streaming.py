@@ -84,3 +84,33 @@ def test_processing_and_totals_continue_after_a_restart(spark, arriving, tmp_pat
         F.array(F.lit(1.0)).alias("l")).write.mode("append").parquet(path)
     once()
     assert seen == [(1000, 1000), (1000, 1000), (1010, 1010)]
+
+
+def test_totals_keep_few_states(spark, arriving, tmp_path):
+    """State for a few groups is one task and one file a trigger; the session's setting is as before."""
+    path, schema = arriving
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    out, state = f"{tmp_path}/totals", tmp_path / "state"
+    for _ in range(2):  # the second run has nothing to add
+        stream = ingest.stream_files(spark, path, schema, files_per_trigger=3)
+        ingest.keep_latest_totals(ingest.running_stats(stream, "label", ["x"]), "t", out, str(state), partitions=1)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    assert [p.name for p in (state / "state" / "0").iterdir() if p.name.isdigit()] == ["0"]
+    assert spark.read.parquet(out).select("batch_id").distinct().count() == 3
+    got = {r["label"]: r["n"] for r in ingest.latest_totals(spark, out).collect()}
+    assert got == {0: 334, 1: 333, 2: 333}
+
+
+def test_first_run_takes_only_the_named_folders(spark, tmp_path):
+    """A stream over a part of the folders, as `stream_files` runs it, goes on over the whole folder."""
+    path, out, state = f"{tmp_path}/in", f"{tmp_path}/totals", f"{tmp_path}/state"
+    spark.range(60).select("id", F.lit(1).alias("label"), (F.col("id") % 6).alias("file")).coalesce(1).write.partitionBy(
+        "file").parquet(path)  # one task: all files have one name
+    schema = spark.read.parquet(path).drop("file").schema
+    seen = []
+    for source in (f"{path}/{{file=0,file=1,file=2}}", path):
+        stream = ingest.stream_files(spark, source, schema, "*.parquet", files_per_trigger=3)
+        ingest.keep_latest_totals(ingest.running_stats(stream, "label", ["id"]), "t", out, state, partitions=1)
+        seen.append((spark.read.parquet(out).select("batch_id").distinct().count(),
+                     ingest.latest_totals(spark, out).first()["n"]))
+    assert seen == [(1, 30), (2, 60)]
