@@ -5,17 +5,19 @@ rotated and cut into blocks of a few dimensions; if two stay within that budget,
 stay within the block's proportional part of it. So every block is range-joined under its own budget, and
 what is found in any block is verified with all dimensions, in double precision.
 
-A block's range join is a grid over its first ``GRID`` coordinates: a vector is at home in one cell and
-asks in every cell that its range reaches. Cells are handled as tiles of bounded size (``TILE`` homes by
-``TILE`` askers), so a crowded cell is many tasks. A pair found in several blocks counts in the first
-of them only, which a tile sees from the vectors themselves. A tile gives link counts and links that
-span what it has connected, never all pairs.
+The vectors of a label are dealt into chunks of bounded size, and every pair of chunks is a tile: a vector
+travels once for each chunk of its label, whatever the number of blocks, and a large label is many tasks.
+Within a tile a block's range join is a tree over all of the block's coordinates: one side is halved down to
+leaves, and a vector of the other side goes down only where its range reaches. A pair found in several
+blocks counts in the first of them only. A tile gives link counts and links that span what it has
+connected, never all pairs.
 
 Vectors that are equal are one representative with a count.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -26,8 +28,11 @@ from pyspark.sql import functions as F
 from setframe.llm.components import components
 from setframe.session import broadcast_if_small, materialise, ship_package
 
-BLOCKS, GRID = 8, 2
-TILE, STRIP = 2048, 256
+BLOCKS = 8
+#: A chunk has about so many vectors at most, and so many numbers.
+TILE, TILE_VALUES = 32_768, 32_768 * 64
+#: Vectors of a leaf; pairs that are looked up together; the share of a leaf's pairs from which they are multiplied out.
+LEAF, PAIRS, DENSE = 32, 16_384, 0.05
 #: Added to budgets against rounding; verification decides.
 SLACK = 1e-9
 
@@ -55,34 +60,6 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
-def _cell(grid: np.ndarray) -> np.ndarray:
-    key = np.zeros(len(grid), np.int64)
-    for column in grid.T:
-        key = key * 1_000_003 + column
-    return key
-
-
-def _placed(vectors: np.ndarray, cosine: float) -> list[list[tuple[int, int, bool]]]:
-    """For each vector its ``(block, cell, home)``: one home in every block, and the cells it asks."""
-    d = vectors.shape[1]
-    turned = _unit(vectors) @ rotation(d)
-    out: list[list[tuple[int, int, bool]]] = [[] for _ in vectors]
-    for number, (part, budget) in enumerate(zip(blocks(d), budgets(d, cosine), strict=True)):
-        values = turned[:, part][:, :GRID]
-        reach = float(np.sqrt(budget))
-        width = 2.0 * reach
-        own = np.floor(values / width).astype(np.int64)
-        for at, cell in enumerate(_cell(own).tolist()):
-            out[at].append((number, cell, True))
-        for step in np.ndindex(*(3,) * values.shape[1]):
-            there = own + np.array(step) - 1
-            gap = np.maximum(0.0, np.maximum(there * width - values, values - (there + 1) * width))
-            near = np.flatnonzero((gap ** 2).sum(axis=1) <= budget)
-            for at, cell in zip(near.tolist(), _cell(there[near]).tolist(), strict=True):
-                out[at].append((number, cell, False))
-    return out
-
-
 def _matrix(values: pa.Array | pa.ChunkedArray) -> np.ndarray:
     if isinstance(values, pa.ChunkedArray):
         values = values.combine_chunks()
@@ -90,120 +67,178 @@ def _matrix(values: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(len(values), -1)
 
 
-def _places(vector: str, cosine: float) -> Column:
-    kind = pa.list_(pa.struct([("block", pa.int32()), ("cell", pa.int64()), ("home", pa.bool_())]))
-
-    @F.arrow_udf("array<struct<block: int, cell: bigint, home: boolean>>")
-    def places(values: pa.Array) -> pa.Array:
-        lengths = np.diff(values.offsets.to_numpy())
-        out: list = [None] * len(values)
-        for d in np.unique(lengths):
-            at = np.flatnonzero(lengths == d)
-            found = _placed(_matrix(values.take(pa.array(at))), cosine)
-            for i, places_of in zip(at, found, strict=True):
-                out[i] = [{"block": b, "cell": c, "home": h} for b, c, h in places_of]
-        return pa.array(out, kind)
-    return places(vector)
-
-
 def _usable(vector: str) -> Column:
     """Whether a vector can be compared: no NULL, NaN or infinity, and not all zero."""
     @F.arrow_udf("boolean")
     def usable(values: pa.Array) -> pa.Array:
-        out = []
-        for value in values.to_pylist():
-            fine = bool(value) and None not in value
-            if fine:
-                numbers = np.array(value, float)
-                norm = np.linalg.norm(numbers)
-                fine = bool(np.isfinite(numbers).all() and np.isfinite(norm) and norm > 0)
-            out.append(fine)
+        lengths = values.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        out = np.zeros(len(values), bool)
+        for d in np.unique(lengths[lengths > 0]):
+            at = np.flatnonzero(lengths == d)
+            numbers = _matrix(values.take(pa.array(at)))  # a NULL reads as NaN
+            with np.errstate(over="ignore", invalid="ignore"):
+                norms = np.linalg.norm(numbers, axis=1)
+            out[at] = np.isfinite(numbers).all(axis=1) & np.isfinite(norms) & (norms > 0)
         return pa.array(out, pa.bool_())
     return usable(vector)
 
 
+def _squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    out = (-2 * x) @ y.T
+    out += (x ** 2).sum(1)[:, None]
+    out += (y ** 2).sum(1)[None, :]
+    return out
+
+
+def _leaves(x: np.ndarray, y: np.ndarray, budget: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Parts of ``x`` of at most ``LEAF`` rows, each with the rows of ``y`` whose squared distance to the part's
+    box is within the budget; together they have every pair within it."""
+    box = np.full(x.shape[1], -np.inf), np.full(x.shape[1], np.inf)
+    left = [(np.arange(len(x)), np.arange(len(y)), np.zeros(len(y)), *box)]
+    while left:
+        own, near, gap, low, high = left.pop()
+        if not len(near) or len(own) <= LEAF:
+            if len(near):
+                yield own, near
+            continue
+        values = x[own]
+        axis = int(np.argmax(values.max(axis=0) - values.min(axis=0)))
+        column, there = values[:, axis], y[near, axis]
+        # The squared distance to the box, but for the axis that is cut.
+        gap = gap - np.maximum(0.0, np.maximum(low[axis] - there, there - high[axis])) ** 2
+        order = np.argpartition(column, len(own) // 2)
+        for part in (order[:len(own) // 2], order[len(own) // 2:]):
+            a, b = low.copy(), high.copy()
+            a[axis], b[axis] = column[part].min(), column[part].max()
+            now = gap + np.maximum(0.0, np.maximum(a[axis] - there, there - b[axis])) ** 2
+            kept = now <= budget
+            left.append((own[part], near[kept], now[kept], a, b))
+
+
+def _joined(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least member of everyone's set, once the sets of ``a`` and ``b`` are joined."""
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return root
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        root = root.copy()
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+
+
+class _Tile:
+    """The vectors of one or two chunks, what is linked with how many, and who is connected."""
+
+    def __init__(self, vectors: np.ndarray, copies: np.ndarray, cosine: float) -> None:
+        d = vectors.shape[1]
+        self.vectors, self.copies, self.cosine = vectors, copies, cosine
+        self.norms = np.linalg.norm(vectors, axis=1)
+        self.turned = _unit(vectors) @ rotation(d)
+        self.parts, self.limits = blocks(d), budgets(d, cosine)
+        self.count = np.zeros(len(vectors), np.int64)
+        self.root = np.arange(len(vectors))
+
+    def link(self, a: np.ndarray, b: np.ndarray) -> None:
+        np.add.at(self.count, a, self.copies[b])
+        np.add.at(self.count, b, self.copies[a])
+        self.root = _joined(self.root, a, b)
+
+    def looked_up(self, number: int, a: np.ndarray, b: np.ndarray) -> None:
+        """Link the pairs that are near enough and have ``number`` as their first block."""
+        starts = [part.start for part in self.parts]
+        for at in range(0, len(a), PAIRS):
+            x, y = a[at:at + PAIRS], b[at:at + PAIRS]
+            by_block = np.add.reduceat((self.turned[x] - self.turned[y]) ** 2, starts, axis=1)
+            near = ((by_block <= self.limits).argmax(axis=1) == number) & (by_block[:, number] <= self.limits[number])
+            near &= by_block.sum(axis=1) <= self.limits.sum()
+            x, y = x[near], y[near]
+            cos = np.einsum("ij,ij->i", self.vectors[x], self.vectors[y]) / (self.norms[x] * self.norms[y])
+            self.link(x[cos >= self.cosine], y[cos >= self.cosine])
+
+    def multiplied_out(self, number: int, a: np.ndarray, b: np.ndarray, found: np.ndarray) -> None:
+        """The same where most of the pairs of two sets of vectors may be linked."""
+        x, y = self.turned[a], self.turned[b]
+        for n in range(number + 1):
+            within = _squared(x[:, self.parts[n]], y[:, self.parts[n]]) <= self.limits[n]
+            found &= within if n == number else ~within
+            if np.count_nonzero(found) <= DENSE * found.size:
+                i, j = np.nonzero(found)
+                return self.looked_up(number, a[i], b[j])
+        found &= self.vectors[a] @ self.vectors[b].T / (self.norms[a][:, None] * self.norms[b][None, :]) >= self.cosine
+        i, j = np.nonzero(found)
+        self.link(a[i], b[j])
+
+    def join(self, own: np.ndarray, other: np.ndarray, alone: bool) -> None:
+        """Link vectors of ``own`` with those of ``other``; ``alone``: both are the same, a pair counts once."""
+        for number, part in enumerate(self.parts):
+            # Wider by as much again, so that no rounding loses a pair whose first block this is.
+            limit = self.limits[number] + SLACK
+            x, y = self.turned[own][:, part], self.turned[other][:, part]
+            waiting, n_waiting = [], 0
+            for rows, near in _leaves(x, y, limit):
+                found = _squared(x[rows], y[near]) <= limit
+                a, b = own[rows], other[near]
+                if alone:
+                    found &= a[:, None] < b[None, :]
+                if np.count_nonzero(found) > max(PAIRS, DENSE * found.size):
+                    self.multiplied_out(number, a, b, found)
+                    continue
+                i, j = np.nonzero(found)
+                waiting.append((a[i], b[j]))
+                n_waiting += len(i)
+                if n_waiting >= PAIRS:
+                    self.looked_up(number, *map(np.concatenate, zip(*waiting, strict=True)))
+                    waiting, n_waiting = [], 0
+            if waiting:
+                self.looked_up(number, *map(np.concatenate, zip(*waiting, strict=True)))
+
+
 def _link_tile(cosine: float):
-    """Link counts of a tile's homes, and links that span what the tile connects."""
+    """Link counts of a tile's vectors, and links that span what the tile connects."""
     def link(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        home = np.array(table["home"].to_pylist(), bool)
-        h, p = np.flatnonzero(home), np.flatnonzero(~home)
-        number = table["block"][0].as_py()
-        vectors = _matrix(table["e"])
-        copies = np.array(table["n"].to_pylist(), np.int64)
-        marks = np.array(table["mark"].to_pylist(), np.int64)
-        d = vectors.shape[1]
-        norms = np.linalg.norm(vectors, axis=1)
-        turned = _unit(vectors) @ rotation(d)
-        parts, limits = blocks(d), budgets(d, cosine)
-
-        def within(rows: np.ndarray, block: int) -> np.ndarray:
-            x, y = turned[rows][:, parts[block]], turned[p][:, parts[block]]
-            squared = (x ** 2).sum(1)[:, None] + (y ** 2).sum(1)[None, :] - 2 * x @ y.T
-            return squared <= limits[block]
-
-        count = np.zeros(len(table), np.int64)
-        left, right = [], []
-        for start in range(0, len(h), STRIP):
-            rows = h[start:start + STRIP]
-            found = within(rows, number) & (marks[rows][:, None] != marks[p][None, :])
-            if found.any():
-                cos = vectors[rows] @ vectors[p].T / (norms[rows][:, None] * norms[p][None, :])
-                found &= cos >= cosine
-            for earlier in range(number if found.any() else 0):
-                found &= ~within(rows, earlier)
-            i, j = np.nonzero(found)
-            np.add.at(count, rows[i], copies[p[j]])
-            left.append(rows[i])
-            right.append(p[j])
-        a = np.concatenate(left) if left else np.empty(0, np.int64)
-        b = np.concatenate(right) if right else np.empty(0, np.int64)
-        root = np.arange(len(table))
-        while len(a):
-            least = np.minimum(root[a], root[b])
-            moved = root.copy()
-            np.minimum.at(moved, a, least)
-            np.minimum.at(moved, b, least)
-            moved = moved[moved]
-            if (moved == root).all():
-                break
-            root = moved
-        out = np.flatnonzero((count > 0) | (root != np.arange(len(table))))
+        home = table["home"].to_numpy()
+        own, other = np.flatnonzero(home), np.flatnonzero(~home)
+        alone = table["first"][0] == table["second"][0]
+        tile = _Tile(_matrix(table["e"]), table["n"].to_numpy(), cosine)
+        tile.join(own, own if alone else other, alone)
+        out = np.flatnonzero((tile.count > 0) | (tile.root != np.arange(len(table))))
         ids = table["id"]
-        return pa.table({"id": ids.take(pa.array(out)), "links": pa.array(count[out]),
-                         "root": ids.take(pa.array(root[out]))})
+        return pa.table({"id": ids.take(pa.array(out)), "links": pa.array(tile.count[out]),
+                         "root": ids.take(pa.array(tile.root[out]))})
     return link
 
 
-def _tiles(reps: DataFrame, cosine: float) -> DataFrame:
-    """Rows of all tiles: every home chunk of a cell meets every chunk of its askers."""
-    cell = ["label", "d", "block", "cell"]
-    placed = reps.select("id", "mark", "label", "d", F.inline(_places("e", cosine)))
-    placed = materialise(placed, "places")
-    sizes = placed.groupBy(*cell).agg(F.sum(F.col("home").cast("int")).alias("homes"),
-                                      F.sum((~F.col("home")).cast("int")).alias("askers"))
-    # A cell whose only asker is its only home holds no pair.
-    sizes = materialise(sizes.where("homes > 0 and askers > 1"), "cells")
-    chunks = [F.ceil(F.col(c) / TILE).cast("int") for c in ("homes", "askers")]
-    own = [F.pmod(F.col("mark"), c).cast("int") for c in chunks]
-    every = [F.sequence(F.lit(0), c - 1) for c in chunks]
-    rows = placed.join(broadcast_if_small(sizes), cell)
-    rows = (rows.withColumn("h", F.explode(F.when(F.col("home"), F.array(own[0])).otherwise(every[0])))
-            .withColumn("p", F.explode(F.when(F.col("home"), every[1]).otherwise(F.array(own[1])))))
-    return rows.select("id", *cell, "home", "h", "p").join(
-        reps.select("id", "mark", "e", "n"), "id")
+def _tiles(reps: DataFrame) -> DataFrame:
+    """Rows of all tiles: every chunk of a label meets itself and every other one."""
+    sizes = reps.groupBy("label", "d").agg(F.count(F.lit(1)).alias("vectors")).where("vectors > 1")
+    sizes = materialise(sizes, "sizes")
+    chunks = F.ceil(F.col("vectors") / F.least(F.lit(TILE), F.ceil(F.lit(TILE_VALUES) / F.col("d"))))
+    rows = (reps.join(broadcast_if_small(sizes), ["label", "d"])
+            .withColumn("own", F.pmod(F.col("mark"), chunks).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), chunks.cast("int") - 1))))
+    return rows.select("id", "label", "d", F.least("own", "other").alias("first"),
+                       F.greatest("own", "other").alias("second"), (F.col("own") <= F.col("other")).alias("home"),
+                       "e", "n")
 
 
 def _linked(reps: DataFrame, cosine: float) -> tuple[DataFrame, DataFrame]:
     """``(id, links)`` and spanning links ``(a, b)`` of representatives."""
     kind = reps.schema["id"].dataType.simpleString()
-    found = _tiles(reps, cosine).groupBy("label", "d", "block", "cell", "h", "p").applyInArrow(
+    found = _tiles(reps).groupBy("label", "d", "first", "second").applyInArrow(
         _link_tile(cosine), f"id {kind}, links bigint, root {kind}")
     found = materialise(found, "tiles")
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     return counts, found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))
 
 
+def _digest(label: str, vector: str) -> Column:
+    return F.xxhash64(label, F.col(vector).cast("array<double>"))
+
+
 def near_vectors(table: DataFrame, cosine: float = 0.93, key: str = "vec_id",
                  vector: str = "embedding", label: str = "label") -> DataFrame:
     """Links of every vector: key, ``n_links``, ``component_id``, ``kept``.
@@ -215,26 +250,30 @@ def near_vectors(table: DataFrame, cosine: float = 0.93, key: str = "vec_id",
     a NULL key being larger than all others; the row with that key is kept.
     """
     ship_package(table.sparkSession)
+    single = table.schema[vector].dataType.simpleString() == "array<float>"
     rows = table.select(F.col(key).alias("k"), F.col(label).alias("label"),
-                        F.col(vector).cast("array<double>").alias("e"))
-    rows = rows.withColumn("usable", F.col("label").isNotNull() & _usable("e"))
-    rows = materialise(rows.withColumn("d", F.coalesce(F.size("e"), F.lit(-1))), "vectors")
-    mark = F.xxhash64("label", "e")
-    ident = F.struct(F.col("k").isNull().alias("none"), F.col("k").alias("k"), mark.alias("x"))
+                        F.col(vector).cast("array<float>" if single else "array<double>").alias("e"))
+    rows = rows.withColumns({
+        "usable": F.col("label").isNotNull() & _usable("e"), "d": F.coalesce(F.size("e"), F.lit(-1)),
+        "x": _digest("label", "e")})
+    ident = F.struct(F.col("k").isNull().alias("none"), "k", "x")
     reps = (rows.where("usable").groupBy("label", "d", "e")
             .agg(F.min(ident).alias("id"), F.count(F.lit(1)).alias("n")))
     reps = materialise(reps.withColumn("mark", F.xxhash64("id")), "representatives")
     counts, links = _linked(reps, cosine)
     roots = materialise(components(links), "components").withColumnRenamed("node", "id")
-    settled = (reps.select("id", "label", "d", "e", "n").join(counts, "id", "left")
+    # The digest stands for the vector, so that vectors need not travel again; the vectors decide where two share one.
+    alike = reps.select("label", "d", "id.x").distinct().count() < reps.count()
+    same = ["label", "d", "x", *(["e"] if alike else [])]
+    settled = (reps.select("id", *same[:2], "id.x", *same[3:], "n").join(counts, "id", "left")
                .join(roots, "id", "left")
-               .select("label", "d", "e", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"),
+               .select(*same, (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"),
                        F.coalesce("root", "id").alias("root")))
-    own = F.struct(F.col("k").isNull().alias("none"), F.col("k").alias("k"), mark.alias("x"))
-    linked = (rows.where("usable").join(settled, ["label", "d", "e"])
+    members = materialise(rows.select("k", "usable", *same), "members")
+    linked = (members.where("usable").join(settled, same)
               .select("k", "links", F.col("root.k").alias("component")))
-    alone = rows.where("not usable").select("k", F.lit(0).cast("bigint").alias("links"),
-                                            own["k"].alias("component"))
+    alone = members.where("not usable").select("k", F.lit(0).cast("bigint").alias("links"),
+                                               F.col("k").alias("component"))
     return linked.unionByName(alone).select(
         F.col("k").alias(key), F.col("links").alias("n_links"),
         F.col("component").alias("component_id"), F.col("k").eqNullSafe(F.col("component")).alias("kept"))

@@ -150,6 +150,55 @@ def test_repeated_vectors_and_no_vectors(spark):
     assert embedding_join.near_vectors(table.limit(0)).collect() == []
 
 
+def _results(table):
+    return sorted((tuple(r) for r in embedding_join.near_vectors(table).collect()), key=str)
+
+
+def test_vectors_with_one_digest(spark, monkeypatch):
+    """Where digests are shared, the vectors themselves tell whose links are whose."""
+    table = spark.createDataFrame(_vectors() + _vectors()[:9], "vec_id long, embedding array<double>, label int")
+    want = _results(table)
+    monkeypatch.setattr(embedding_join, "_digest", lambda label, vector: F.lit(0).cast("bigint"))
+    assert _results(table) == want
+
+
+def test_a_vector_travels_once_for_each_chunk_of_its_label(spark, monkeypatch):
+    """Neither blocks nor cells send a vector anywhere."""
+    monkeypatch.setattr(embedding_join, "TILE", 100)
+    rng = np.random.default_rng(0)
+    rows = [(i, i % 2, 8, [float(v) for v in rng.normal(size=8)], 1) for i in range(600)]
+    reps = spark.createDataFrame(rows, "id long, label int, d int, e array<double>, n long")
+    reps = reps.withColumn("mark", F.xxhash64("id"))
+    tiles = embedding_join._tiles(reps).collect()
+    assert len(tiles) == 3 * 600  # three chunks a label
+    assert len({(r.label, r.first, r.second) for r in tiles}) == 2 * 6
+
+
+@pytest.mark.parametrize("spread", [0.0, 0.02, 0.15, 1.0])
+@pytest.mark.parametrize("pairs", [7, 16_384])
+def test_tile_equals_brute_force(monkeypatch, spread, pairs):
+    """Leaves that are looked up and leaves that are multiplied out, one chunk and two."""
+    monkeypatch.setattr(embedding_join, "LEAF", 5)
+    monkeypatch.setattr(embedding_join, "PAIRS", pairs)
+    rng = np.random.default_rng(1)
+    vectors = np.repeat(rng.normal(size=(8, 20)), 40, axis=0) + spread * rng.normal(size=(320, 20))
+    vectors = rng.permutation(vectors) * rng.uniform(0.1, 9, size=(320, 1))
+    copies, n = rng.integers(1, 4, size=320), 320
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    linked = (unit @ unit.T >= 0.93) & ~np.eye(n, dtype=bool)
+    own, other = np.arange(0, n, 2), np.arange(1, n, 2)
+    for a, b, among in ((np.arange(n), np.arange(n), np.ones((n, n), bool)),
+                        (own, other, np.add.outer(np.arange(n), np.arange(n)) % 2 == 1)):
+        tile = embedding_join._Tile(vectors, copies, 0.93)
+        tile.join(a, b, a is b or len(a) == n)
+        links = linked & among
+        assert tile.count.tolist() == (links @ copies).tolist()
+        reach = np.eye(n, dtype=bool) | links
+        for _ in range(9):
+            reach = reach @ reach
+        assert tile.root.tolist() == reach.argmax(axis=1).tolist()
+
+
 # ---- pipeline -----------------------------------------------------------------------------
 
 def test_pipeline_stages(spark, tmp_path):
