@@ -114,3 +114,21 @@ def test_first_run_takes_only_the_named_folders(spark, tmp_path):
         seen.append((spark.read.parquet(out).select("batch_id").distinct().count(),
                      ingest.latest_totals(spark, out).first()["n"]))
     assert seen == [(1, 30), (2, 60)]
+
+
+def test_a_trigger_of_one_task(spark, arriving, tmp_path):
+    """Files brought to one task need no shuffle before the state; totals are as before, over a restart too,
+    and no trigger writes a mark of success."""
+    path, schema = arriving
+    out, state = tmp_path / "totals", f"{tmp_path}/state"
+    for _ in range(2):
+        stream = ingest.stream_files(spark, path, schema, files_per_trigger=2).coalesce(1)
+        ingest.keep_latest_totals(ingest.running_stats(stream, "label", ["x"]), "t", str(out), state, partitions=1)
+    stored = [p for p in out.rglob("*") if p.is_file()]
+    assert not [p for p in stored if p.name == "_SUCCESS"]
+    assert len([p for p in stored if p.suffix == ".parquet"]) == 5
+    got = {r["label"]: r for r in ingest.latest_totals(spark, str(out)).collect()}
+    for r in ingest.running_stats(spark.read.parquet(path), "label", ["x"]).collect():
+        assert got[r["label"]]["n"] == r["n"]
+        assert got[r["label"]]["x_mean"] == pytest.approx(r["x_mean"])
+        assert got[r["label"]]["x_stddev"] == pytest.approx(r["x_stddev"])
